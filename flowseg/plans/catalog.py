@@ -361,7 +361,7 @@ def flow_segments(spark, sf_dir):
 
 
 def _trained(spark, sf_dir, strategy: str, enriched: bool = False) -> DataFrame:
-    base = jobs.preprocess(flows(spark, sf_dir), SPEC).table
+    base = jobs.preprocess(flows(spark, sf_dir).drop("prediction"), SPEC).table
     if enriched:
         base = jobs.enrich_table(base, SPEC)
     _, tested = jobs.train(base, SPEC, strategy, enriched)
@@ -448,7 +448,7 @@ def rule_preview(spark, sf_dir):
 
 def learned_rules(spark, sf_dir):
     """From flows to rules: preprocess, train on all, predict all, cross with the segments."""
-    base = jobs.preprocess(flows(spark, sf_dir), SPEC).table
+    base = jobs.preprocess(flows(spark, sf_dir).drop("prediction"), SPEC).table
     model, _ = jobs.train(base, SPEC)
     return rules.rule_table(classify.predict(model, base), FIVE_TUPLE, "clusterId")
 

@@ -86,7 +86,7 @@ _PLANE = (
 
 # --- clusters -------------------------------------------------------------
 
-_DIST = "list_max(list_transform(list_zip(a.x, b.x), z -> abs(z[1] - z[2])))"
+_DIST = "list_max([abs(z[1] - z[2]) for z in list_zip(a.x, b.x)])"
 _VECTORS = "p AS (SELECT row_number() OVER (ORDER BY x, vec_id) - 1 AS n, vec_id, x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))"
 
 _REACHABILITY = f"""
@@ -168,7 +168,7 @@ ORACLES: dict[str, str] = {
     "prune_correlated": f"{_F}, c AS ({_corr_rows()}) SELECT uid, {', '.join(_PRUNED)} FROM f"
     f" WHERE (SELECT string_agg(DISTINCT col_i) FROM c WHERE i < j AND abs(r) >= {PRUNE_THRESHOLD}) = 'orig_bytes'",
     "preprocess": f"{_PREPARED} SELECT uid, {', '.join(f'{_z(c)} AS s_{c}' for c in _PREPARED_NAMES)} FROM p",
-    "pca_norms": "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x)), 6) AS squared_norm FROM embeddings",
+    "pca_norms": "SELECT vec_id, round(list_sum([x * x for x in CAST(embedding AS DOUBLE[])]), 6) AS squared_norm FROM embeddings",
     "pca_total_variance": "SELECT round(sum(v), 6) AS total_variance FROM (SELECT var_samp(x) AS v FROM ("
     "SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY k)",
     "pca_explained_variance": f"{_PLANE} SELECT CAST(1 AS INTEGER) AS component, round(s1, 6) AS share, round(s1, 6) AS cumulative FROM s"
