@@ -7,7 +7,7 @@ from flowseg.operators.enrich import PROFILE
 from flowseg.operators.evaluate import FALSE_POSITIVE, TRUE_NEGATIVE
 from flowseg.plans.catalog import CSV_COLUMNS, ENCODED, PLANE, SAMPLE_ROWS, SCALED
 from flowseg.plans.flows import FIVE_TUPLE, SPEC, VIEW_SQL
-from flowseg.specs import PRUNE_THRESHOLD, REPORT_THRESHOLD, SEED, SPECS
+from flowseg.specs import OPTICS_MIN_SAMPLES, OPTICS_XI, PRUNE_THRESHOLD, REPORT_THRESHOLD, SEED, SPECS
 
 _F = f"WITH f AS ({VIEW_SQL})"
 _MORE = f"WITH RECURSIVE f AS ({VIEW_SQL})"
@@ -87,33 +87,100 @@ _PLANE = (
 # --- clusters -------------------------------------------------------------
 
 _DIST = "list_max([abs(z[1] - z[2]) for z in list_zip(a.x, b.x)])"
-_VECTORS = "p AS (SELECT row_number() OVER (ORDER BY x, vec_id) - 1 AS n, vec_id, x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))"
 
-_REACHABILITY = f"""
-WITH RECURSIVE {_VECTORS},
-d AS MATERIALIZED (SELECT a.n AS i, b.n AS j, {_DIST} AS w FROM p a JOIN p b ON a.n <> b.n),
-st(step, n, w, lo, hi, par) AS (
-  SELECT CAST(0 AS BIGINT), j, w, i, j, i FROM d WHERE i = 0
+
+def _plot(group: str) -> str:
+    """The walk over the complete distance graph, one vertex per step, in every group."""
+    return f"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER (PARTITION BY g ORDER BY x, vec_id) - 1 AS n, g, vec_id, x
+  FROM (SELECT {group} AS g, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+),
+d AS MATERIALIZED (SELECT a.g, a.n AS i, b.n AS j, {_DIST} AS w FROM p a JOIN p b ON a.g = b.g AND a.n <> b.n),
+st(g, step, n, w, lo, hi, par) AS (
+  SELECT g, CAST(0 AS BIGINT), j, w, i, j, i FROM d WHERE i = 0
   UNION ALL
-  SELECT s.step + 1, s.n,
+  SELECT s.g, s.step + 1, s.n,
          CASE WHEN t.near THEN d.w ELSE s.w END,
          CASE WHEN t.near THEN least(s.pick, s.n) ELSE s.lo END,
          CASE WHEN t.near THEN greatest(s.pick, s.n) ELSE s.hi END,
          CASE WHEN t.near THEN s.pick ELSE s.par END
-  FROM (SELECT *, first_value(n) OVER (ORDER BY w, lo, hi) AS pick FROM st) s
-  JOIN d ON d.i = s.pick AND d.j = s.n,
+  FROM (SELECT *, first_value(n) OVER (PARTITION BY g ORDER BY w, lo, hi) AS pick FROM st) s
+  JOIN d ON d.g = s.g AND d.i = s.pick AND d.j = s.n,
   LATERAL (SELECT d.w < s.w OR (d.w = s.w AND (least(s.pick, s.n) < s.lo
            OR (least(s.pick, s.n) = s.lo AND greatest(s.pick, s.n) < s.hi))) AS near) t
 ),
 v AS (
-  SELECT step + 1 AS ord, n, w, par FROM (
-    SELECT *, row_number() OVER (PARTITION BY step ORDER BY w, lo, hi) AS rk FROM st) WHERE rk = 1
-  UNION ALL SELECT 0, 0, NULL, NULL
-)
+  SELECT g, step + 1 AS ord, n, w, par FROM (
+    SELECT *, row_number() OVER (PARTITION BY g, step ORDER BY w, lo, hi) AS rk FROM st) WHERE rk = 1
+  UNION ALL SELECT DISTINCT g, 0, 0, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM p
+)"""
+
+
+_REACHABILITY = f"""{_plot('0')}
 SELECT a.vec_id, v.ord, round(v.w, 6) AS reachability, b.vec_id AS predecessor
 FROM v JOIN p a ON a.n = v.n LEFT JOIN p b ON b.n = v.par
 """
 
+
+def _segments(group: str, columns: str) -> str:
+    """All pairs of steep areas, the latest valid one per up area, and the first fit from the left."""
+    keep = f"(1 - CAST({OPTICS_XI} AS DOUBLE))"
+    return f"""{_plot(group)},
+plot AS MATERIALIZED (
+  SELECT v.g, v.n, v.ord AS pos, coalesce(v.w, 'infinity') AS r, coalesce(q.ord, -1) AS pred,
+         coalesce(lead(v.w) OVER o, 'infinity') AS after, coalesce(lag(coalesce(v.w, 'infinity')) OVER o, 'infinity') AS before
+  FROM v LEFT JOIN v q ON q.g = v.g AND q.n = v.par WINDOW o AS (PARTITION BY v.g ORDER BY v.ord)
+),
+k AS (
+  SELECT *, CASE WHEN r > after AND (after = 0 OR r / after >= 1 / {keep}) THEN 'down'
+                 WHEN r < after AND r / after <= {keep} THEN 'up' END AS s,
+         sum(CASE WHEN r < after THEN 1 ELSE 0 END) OVER o AS ups, sum(CASE WHEN r > after THEN 1 ELSE 0 END) OVER o AS downs
+  FROM plot WINDOW o AS (PARTITION BY g ORDER BY pos)
+),
+l AS (
+  SELECT *, CASE WHEN pos - lag(pos) OVER o - 1 <= {OPTICS_MIN_SAMPLES}
+                  AND CASE s WHEN 'down' THEN ups - lag(ups) OVER o ELSE downs - lag(downs) OVER o END = 0 THEN 0 ELSE 1 END AS fresh
+  FROM k WHERE s IS NOT NULL WINDOW o AS (PARTITION BY g, s ORDER BY pos)
+),
+area AS (
+  SELECT g, s, min(pos) AS a, max(pos) AS z
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY g, s ORDER BY pos) AS nr FROM l) GROUP BY g, s, nr
+),
+pair AS (
+  SELECT d.g, d.a AS ds, d.z AS de, u.a AS us, u.z AS ue, x.r AS top, y.after AS level,
+         (SELECT max(r) FROM plot m WHERE m.g = d.g AND m.pos BETWEEN d.z + 1 AND u.a) AS high
+  FROM area d JOIN area u ON d.g = u.g AND d.s = 'down' AND u.s = 'up' AND d.z < u.a
+  JOIN plot x ON x.g = d.g AND x.pos = d.a JOIN plot y ON y.g = u.g AND y.pos = u.z
+),
+fit AS (
+  SELECT *, CASE WHEN top * {keep} >= level THEN (SELECT min(pos) FROM plot m WHERE m.g = pair.g
+                   AND m.pos BETWEEN ds AND de AND (m.pos = de OR m.after <= level)) ELSE ds END AS c0,
+            CASE WHEN top * {keep} < level AND level * {keep} >= top THEN (SELECT max(pos) FROM plot m WHERE m.g = pair.g
+                   AND m.pos BETWEEN us AND ue AND (m.pos = us OR m.before <= top)) ELSE ue END AS c9
+  FROM pair WHERE high <= top * {keep} AND high <= level * {keep}
+),
+sure AS (
+  SELECT fit.*, (SELECT max(m.pos) FROM plot m WHERE m.g = fit.g AND m.pos BETWEEN c0 + 1 AND c9
+                 AND (h.r > m.r OR m.pred >= c0)) AS c1
+  FROM fit JOIN plot h ON h.g = fit.g AND h.pos = c0
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, us ORDER BY ds DESC) AS rk FROM sure WHERE c1 >= us) WHERE rk = 1
+),
+t(g, last, c0, c1, nr) AS (
+  SELECT DISTINCT g, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), -1 FROM p
+  UNION ALL
+  SELECT g, ue, c0, c1, nr + 1 FROM (
+    SELECT t.g, b.ue, b.c0, b.c1, t.nr, row_number() OVER (PARTITION BY t.g ORDER BY b.us) AS rk
+    FROM t JOIN best b ON b.g = t.g AND b.ds > t.last) WHERE rk = 1
+)
+SELECT {columns} p.vec_id, CAST(coalesce(t.nr, -1) AS INTEGER) AS cluster_id
+FROM plot JOIN p ON p.g = plot.g AND p.n = plot.n
+LEFT JOIN t ON t.g = plot.g AND t.nr >= 0 AND plot.pos BETWEEN t.c0 AND t.c1
+"""
+
+
 # --- evaluation and rules -------------------------------------------------
 
 _RULE = 'SELECT DISTINCT "clusterId" AS "Micro-segment", ' + ", ".join(f"{c} AS {n}" for n, c in FIVE_TUPLE.items())
@@ -189,8 +256,10 @@ ORACLES: dict[str, str] = {
     "cluster_summary": f"""{_F} SELECT count(*) AS n_points, count(DISTINCT CASE WHEN "clusterId" <> -1 THEN "clusterId" END) AS n_clusters,
         CAST(sum(CASE WHEN "clusterId" = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise,
         round(sum(CASE WHEN "clusterId" = -1 THEN 1 ELSE 0 END) / count(*) * 100, 2) AS noise_pct FROM f""",
-    "core_distance": f"WITH {_VECTORS} SELECT a.vec_id, round(min({_DIST}), 6) AS core_distance FROM p a JOIN p b ON a.n <> b.n GROUP BY a.vec_id",
+    "core_distance": f"WITH p AS (SELECT vec_id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT a.vec_id, round(min({_DIST}), 6) AS core_distance FROM p a JOIN p b ON a.n <> b.n GROUP BY a.vec_id",
     "reachability": _REACHABILITY,
+    "optics_segments": _segments("0", ""),
+    "optics_by_group": _segments("label", "p.g AS label,"),
     "tree_plain": _learned(),
     "tree_undersampled": _learned(),
     "tree_weighted": _learned(),
