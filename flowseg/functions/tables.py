@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,10 +66,13 @@ def with_row_index(df: DataFrame, *order: str | Column, name: str = "idx") -> Da
     sizes = placed.groupBy("_part").agg(
         (F.max("_mid") - F.shiftleft(F.col("_part"), 33) + 1).alias("_n")
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts, total = [], 0
+    for part, n in sorted(tuple(r) for r in sizes.collect()):  # one row per partition
+        starts.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
     return (
-        placed.join(F.broadcast(starts), "_part")  # one row per partition
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_start") + F.col("_mid") - F.shiftleft(F.col("_part"), 33))
         .drop("_mid", "_part", "_start")
     )
@@ -87,15 +90,17 @@ def lookup_join(
     weight: str,
     rows: int = BROADCAST_ROWS,
     hot_keys: int = HOT_KEYS,
+    lookup_rows: int | None = None,
 ) -> DataFrame:
     """Left join on a lookup table with one row per ``key`` that counts its own matches.
 
     Small lookups (checked) are broadcast. Otherwise the ``hot_keys`` most
     frequent keys are spread over salts on both sides, so that no remaining key
     holds more than 1/hot_keys of the rows in one task. ``lookup`` should be
-    materialized; rows with a NULL key keep NULLs.
+    materialized, or come with its known number of rows; rows with a NULL key
+    keep NULLs.
     """
-    if is_small(lookup, rows):
+    if lookup_rows <= rows if lookup_rows is not None else is_small(lookup, rows):
         return df.join(F.broadcast(lookup), key, "left")
     hot = lookup.orderBy(F.desc(weight), key).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
     hot = materialize(hot)

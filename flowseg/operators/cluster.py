@@ -40,7 +40,7 @@ def _restore_groups(df: DataFrame, source: DataFrame, group_cols: Sequence[str])
 
 def _tree(points: DataFrame, block: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors and their minimum spanning tree."""
-    nodes = materialize(distinct_vectors(points))
+    nodes = distinct_vectors(points)
     first = nodes.select(F.size("arr").alias("d")).first()
     edges, is_tree = candidate_edges(nodes, first["d"] if first else 0, block)
     return nodes, edges if is_tree else spanning_tree(edges, rows)
@@ -52,30 +52,26 @@ def _plot(points: DataFrame, block: int, rows: int) -> DataFrame:
     Copies of a vector follow its first visit at distance 0, in order of id.
     """
     nodes, edges = _tree(points, block, rows)
-    order = materialize(visiting_order(nodes.select("g", "node", "mult"), edges, rows))
-    at = order.select("g", F.col("node").alias("parent"), F.col("pos").alias("pred"))
+    order = visiting_order(nodes.select("g", "node", "mult"), edges, rows)
     placed = materialize(
-        order.join(at, ["g", "parent"], "left")
-        .join(nodes, ["g", "node"])
-        .select(F.struct("g", "arr").alias("k"), "node", "mult", "pos", "w", "pred")
+        order.join(nodes, ["g", "node"]).select(F.struct("g", "arr").alias("k"), "node", "mult", "pos", "w", "pred")
     )
-    found = lookup_join(points.withColumn("k", F.struct("g", "arr")), placed, "k", "mult").drop("k", "arr")
+    n_nodes, most = placed.agg(F.count(F.lit(1)), F.max("mult")).first()
+    found = lookup_join(points.withColumn("k", F.struct("g", "arr")), placed, "k", "mult", lookup_rows=n_nodes).drop("k", "arr")
+    if not most or most == 1:
+        return found.select("g", "id", "pos", F.col("w").alias("r"), "pred")
     alone = found.filter(F.col("mult") == 1).withColumn("nth", F.lit(0).cast("long"))
-    copies = found.filter(F.col("mult") > 1)
-    if placed.filter(F.col("mult") > 1).isEmpty():
-        counted = alone
-    else:
-        ranked = materialize(with_row_index(copies, "node", "id", name="_i"))
-        firsts = ranked.groupBy("node").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_c"))
-        numbered = lookup_join(ranked, materialize(firsts), "node", "_c").withColumn("nth", F.col("_i") - F.col("_first"))
-        counted = alone.unionByName(numbered.drop("_i", "_first", "_c"))
+    ranked = materialize(with_row_index(found.filter(F.col("mult") > 1), "node", "id", name="_i"))
+    firsts = ranked.groupBy("node").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    numbered = lookup_join(ranked, materialize(firsts), "node", "_c").withColumn("nth", F.col("_i") - F.col("_first"))
+    counted = alone.unionByName(numbered.drop("_i", "_first", "_c"))
     repeat = F.col("nth") > 0
     return counted.select(
         "g",
         "id",
         (F.col("pos") + F.col("nth")).alias("pos"),
-        F.when(repeat, F.lit(0.0)).otherwise(F.coalesce("w", F.lit(float("inf")))).alias("r"),
-        F.when(repeat, F.col("pos")).otherwise(F.coalesce("pred", F.lit(-1))).alias("pred"),
+        F.when(repeat, F.lit(0.0)).otherwise(F.col("w")).alias("r"),
+        F.when(repeat, F.col("pos")).otherwise(F.col("pred")).alias("pred"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from flowseg.functions.tables import follow_pointers, materialize, with_row_index
 from flowseg.operators.spanning import TASK_ROWS
 
-ORDER_SCHEMA = "g string, node long, parent long, w double, pos long"
+ORDER_SCHEMA = "g string, node long, w double, pos long, pred long"
 _PART = ["g", "low", "high", "top"]  # a part: edge ranks in (low, high], entered at vertex top
 
 
@@ -61,11 +61,9 @@ def _order_group(pdf: pd.DataFrame) -> pd.DataFrame:
     order, before, taken = _visit(len(ids), 0, a, b, list(zip(w.tolist(), a.tolist(), b.tolist())))
     before, taken = np.array(before), np.array(taken)
     root = before < 0
-    out = pd.DataFrame({"node": ids})
-    out["parent"] = pd.array(np.where(root, 0, ids[before]), dtype="Int64")
-    out.loc[root, "parent"] = pd.NA
-    out["w"] = np.where(root, np.nan, np.append(w, np.nan)[taken])
-    out["pos"] = _offsets(order, nodes["mult"].to_numpy())
+    pos = _offsets(order, nodes["mult"].to_numpy())
+    out = pd.DataFrame({"node": ids, "w": np.where(root, np.inf, np.append(w, np.inf)[taken]), "pos": pos})
+    out["pred"] = np.where(root, -1, pos[before])
     out.insert(0, "g", pdf["g"].iloc[0])
     return out
 
@@ -206,16 +204,23 @@ def _order_large(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
         )
         solved = materialize(solved.unionByName(upper))
     final = solved.join(whole, _PART, "left_semi").select("g", F.col("v").alias("node"), F.col("off").alias("pos"))
-    return hung.join(final, ["g", "node"]).select("g", "node", "parent", "w", "pos")
+    final = materialize(final)
+    at = final.select("g", F.col("node").alias("parent"), F.col("pos").alias("pred"))
+    return (
+        hung.join(final, ["g", "node"])
+        .join(at, ["g", "parent"], "left")
+        .select("g", "node", F.coalesce("w", F.lit(float("inf"))).alias("w"), "pos", F.coalesce("pred", F.lit(-1)).alias("pred"))
+    )
 
 
 def visiting_order(nodes: DataFrame, edges: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
-    """``(g, node, parent, w, pos)`` for nodes ``(g, node, mult)`` and tree edges ``(g, a, b, w)``.
+    """``(g, node, w, pos, pred)`` for nodes ``(g, node, mult)`` and tree edges ``(g, a, b, w)``.
 
-    The walk starts at the smallest node of the group; ``pos`` counts a node
-    ``mult`` times.
+    The walk starts at the smallest node of the group, with infinite ``w`` and
+    ``pred`` -1; elsewhere these are the edge to and the position of the
+    predecessor. ``pos`` counts a node ``mult`` times.
     """
-    sizes = materialize(nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.filter(F.col("n") > rows).select("g")
     whole = (
         nodes.select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w"), "mult")
@@ -223,7 +228,7 @@ def visiting_order(nodes: DataFrame, edges: DataFrame, rows: int = TASK_ROWS) ->
     )
     if large.isEmpty():
         return whole.groupBy("g").applyInPandas(_order_group, ORDER_SCHEMA)
-    # groups beyond the limit number at most (all rows / rows)
+    large = materialize(large)  # at most (all rows / rows) groups
     small = whole.join(F.broadcast(large), "g", "left_anti").groupBy("g").applyInPandas(_order_group, ORDER_SCHEMA)
     big = _order_large(
         nodes.join(F.broadcast(large), "g", "left_semi"), edges.join(F.broadcast(large), "g", "left_semi"), rows

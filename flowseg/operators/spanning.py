@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowseg.functions.columns import chebyshev
 from flowseg.functions.tables import follow_pointers, materialize, with_row_index
 
-BLOCK = 1024  # vectors per block
+BLOCK = 2048  # vectors per block
 TASK_ROWS = 500_000  # edges or nodes that one task may hold
 EDGE_SCHEMA = "g string, a long, b long, w double"
 
@@ -38,28 +38,29 @@ def distinct_vectors(points: DataFrame) -> DataFrame:
 def _tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tree edges (i, j, w) of the rows of ``x``; ties go to the smaller index pair."""
     n = len(x)
-    index = np.arange(n)
-    weight = np.full(n, np.inf)
-    source = np.zeros(n, dtype=np.int64)
-    pair = np.full(n, np.iinfo(np.int64).max)
-    outside = np.ones(n, dtype=bool)
-    ends, starts, weights = [], [], []
-    here = 0
-    outside[here] = False
-    for _ in range(n - 1):
-        dist = np.abs(x - x[here]).max(axis=1)
-        code = np.minimum(index, here) * n + np.maximum(index, here)
-        closer = outside & ((dist < weight) | ((dist == weight) & (code < pair)))
-        weight[closer], pair[closer], source[closer] = dist[closer], code[closer], here
-        nearest = weight.min()
-        tied = np.flatnonzero(weight == nearest)
-        here = tied[np.argmin(pair[tied])]
-        starts.append(source[here])
-        ends.append(here)
-        weights.append(nearest)
-        outside[here] = False
-        weight[here], pair[here] = np.inf, np.iinfo(np.int64).max
-    return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64), np.array(weights)
+    rest = np.arange(1, n)  # vertices outside the tree, in the first m places
+    coords = np.ascontiguousarray(x[1:].T)
+    weight = np.full(n - 1, np.inf)
+    pair = np.full(n - 1, np.iinfo(np.int64).max)
+    source = np.zeros(n - 1, dtype=np.int64)
+    starts, ends = np.zeros(n - 1, dtype=np.int64), np.zeros(n - 1, dtype=np.int64)
+    weights = np.zeros(n - 1)
+    here, at = 0, x[0]
+    for m in range(n - 1, 0, -1):
+        dist = np.abs(coords[:, :m] - at[:, None]).max(axis=0)
+        code = np.minimum(rest[:m], here) * n + np.maximum(rest[:m], here)
+        closer = (dist < weight[:m]) | ((dist == weight[:m]) & (code < pair[:m]))
+        weight[:m][closer], pair[:m][closer], source[:m][closer] = dist[closer], code[closer], here
+        tied = np.flatnonzero(weight[:m] == weight[:m].min())
+        j = tied[np.argmin(pair[tied])]
+        step = n - 1 - m
+        starts[step], ends[step], weights[step] = source[j], rest[j], weight[j]
+        here, at = rest[j], coords[:, j].copy()
+        last = m - 1
+        for column in (rest, weight, pair, source):
+            column[j] = column[last]
+        coords[:, j] = coords[:, last]
+    return starts, ends, weights
 
 
 def _block_edges(pdf: pd.DataFrame, across_only: bool) -> pd.DataFrame:
@@ -126,19 +127,21 @@ def _close_pairs(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def candidate_edges(nodes: DataFrame, dims: int, block: int = BLOCK) -> tuple[DataFrame, bool]:
     """Edges that contain the minimum spanning tree of every group; True if they are the tree."""
-    blocks = materialize(nodes.select("g", "node", "arr", F.floor(F.col("node") / block).cast("long").alias("blk")))
+    blocks = nodes.select("g", "node", "arr", F.floor(F.col("node") / block).cast("long").alias("blk"))
+    per_group = blocks.groupBy("g").agg(F.countDistinct("blk").alias("n"))
+    n_blocks, most = per_group.agg(F.sum("n"), F.max("n")).first()
+    n_blocks = n_blocks or 0
+    local = blocks.repartition(_tasks(blocks, n_blocks), "g", "blk").groupBy("g", "blk").applyInPandas(_within, EDGE_SCHEMA)
+    local = materialize(local)
+    if not most or most == 1:
+        return local, True
+
     boxes = materialize(
         blocks.groupBy("g", "blk").agg(
             F.array(*[F.min(F.col("arr")[k]) for k in range(dims)]).alias("low"),
             F.array(*[F.max(F.col("arr")[k]) for k in range(dims)]).alias("high"),
         )
     )
-    n_blocks = boxes.count()
-    local = blocks.repartition(_tasks(blocks, n_blocks), "g", "blk").groupBy("g", "blk").applyInPandas(_within, EDGE_SCHEMA)
-    local = materialize(local)
-    if boxes.select("g").distinct().count() == n_blocks:
-        return local, True
-
     nearby = boxes.select("g", F.col("blk").alias("p"), (F.col("blk") + 1).alias("q")).join(
         boxes.select("g", F.col("blk").alias("q")), ["g", "q"], "left_semi"
     )

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from flowseg.operators import cluster
 from tests import brute
 
-TINY = dict(block=16, task_rows=20)
+TINY = dict(block=8, task_rows=14)
 
 
 def _blobs(seed, copies=True):
     """Three blobs and stray points, with copies and one vector that holds a third of the rows."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate([rng.normal(c, 0.3, (30, 3)) for c in (0, 3, 8)] + [rng.uniform(-4, 12, (20, 3))])
+    x = np.concatenate([rng.normal(c, 0.3, (14, 3)) for c in (0, 3, 8)] + [rng.uniform(-4, 12, (9, 3))])
     if copies:
-        x = np.concatenate([x, x[:5], np.repeat(x[40:41], 55, axis=0)])
+        x = np.concatenate([x, x[:3], np.repeat(x[20:21], 26, axis=0)])
     return x
 
 
@@ -42,7 +42,7 @@ def test_reachability_is_the_brute_force_plot(spark, sizes):
     assert np.isclose(sum(reach[1:]), brute.tree_weight(x))
 
 
-@pytest.mark.parametrize("sizes", [{}, {**TINY, "plot_block": 16}], ids=["one task", "many tasks"])
+@pytest.mark.parametrize("sizes", [{}, {**TINY, "plot_block": 9}], ids=["one task", "many tasks"])
 @pytest.mark.parametrize("min_size", [2, 10])
 def test_segments_are_the_brute_force_labels(spark, sizes, min_size):
     x = _blobs(2)
@@ -94,9 +94,9 @@ def test_block_scan_matches_brute_force_on_random_plots(seed):
 
 
 def test_groups_are_independent(spark):
-    x, y = _blobs(3, copies=False)[:40], _blobs(4, copies=False)[:50]
+    x, y = _blobs(3, copies=False)[:30], _blobs(4, copies=False)[:40]
     both = _frame(spark, x, "a").unionByName(_frame(spark, y, "b"))
-    got = cluster.optics_segments(both, "id", "v", ["k"], **TINY, plot_block=16)
+    got = cluster.optics_segments(both, "id", "v", ["k"], **TINY, plot_block=9)
     for key, part in (("a", x), ("b", y)):
         alone = {r["id"]: r["cluster_id"] for r in cluster.optics_segments(_frame(spark, part), "id", "v").collect()}
         assert {r["id"]: r["cluster_id"] for r in got.filter(F.col("k") == key).collect()} == alone
