@@ -50,6 +50,12 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan of fewer splits than cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_row_index(df: DataFrame, *order: str | Column, name: str = "idx") -> DataFrame:
     """Dense 0-based position in the global order, without a single-task window.
 

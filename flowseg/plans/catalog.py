@@ -69,12 +69,12 @@ def zeek_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zeek_parse(spark, sf_dir):
-    good, _ = files.parse_zeek(zeek_lines(spark, sf_dir), SPECS["iot23"])
+    good, _ = files.parse_zeek(materialize(zeek_lines(spark, sf_dir)), SPECS["iot23"])
     return _rounded(good, ["ts", "duration"], 6)
 
 
 def zeek_rejects(spark, sf_dir):
-    _, bad = files.parse_zeek(zeek_lines(spark, sf_dir), SPECS["iot23"])
+    _, bad = files.parse_zeek(materialize(zeek_lines(spark, sf_dir)), SPECS["iot23"])
     return bad.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
