@@ -47,10 +47,10 @@ def fit_labels(df: DataFrame, cols: list[str]) -> DataFrame:
     )
     if is_small(counts):
         order = Window.partitionBy("col").orderBy(F.desc("n"), "value")
-        return counts.withColumn("label_idx", F.row_number().over(order).cast("long") - 1)
+        return materialize(counts.withColumn("label_idx", F.row_number().over(order).cast("long") - 1))
     ranked = with_row_index(counts, "col", F.desc("n"), "value", name="_r")
     firsts = ranked.groupBy("col").agg(F.min("_r").alias("_first"))  # one row per column
-    return (
+    return materialize(
         ranked.join(F.broadcast(firsts), "col")
         .withColumn("label_idx", F.col("_r") - F.col("_first"))
         .drop("_r", "_first")
@@ -59,7 +59,6 @@ def fit_labels(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_labels(df: DataFrame, dictionary: DataFrame, cols: list[str], suffix: str = INDEX_SUFFIX) -> DataFrame:
     """Add ``<col><suffix>``; NULL and unseen values get the number of known labels."""
-    dictionary = materialize(dictionary)
     sizes = {r["col"]: r["n_labels"] for r in dictionary.groupBy("col").agg(F.count(F.lit(1)).alias("n_labels")).collect()}
     for c in cols:
         one = dictionary.filter(F.col("col") == c).select(
@@ -67,7 +66,7 @@ def apply_labels(df: DataFrame, dictionary: DataFrame, cols: list[str], suffix:
         )
         unseen = float(sizes.get(c, 0))
         df = (
-            lookup_join(df, one, c, "_n")
+            lookup_join(df, one, c, "_n", lookup_rows=sizes.get(c, 0))
             .withColumn(c + suffix, F.coalesce(F.col("_label").cast("double"), F.lit(unseen)))
             .drop("_n", "_label")
         )

@@ -3,12 +3,13 @@
 Edges are compared by (weight, smaller node, larger node). That order is total,
 so the tree is unique and every step below is deterministic.
 
-Vectors are sorted and cut into blocks of bounded size. Every edge of the tree
-is also an edge of the tree of any two blocks that hold its ends, so the trees
-of single blocks and of block pairs together contain it. A block pair matters
-only if its bounding boxes are closer than the heaviest edge of a spanning tree
-already known; the others are never formed. Tasks hold two blocks at a time and
-emit tree edges only.
+Space is cut along the widest coordinate, again and again, into blocks of
+bounded size. Every edge of the tree is also an edge of the tree of the two
+blocks that hold its ends, so the trees of single blocks and of block pairs
+together contain it. A block pair matters only if its bounding boxes are no
+farther apart than the heaviest edge of a spanning tree already known; the
+others are never formed. Tasks hold two blocks at a time and emit tree edges
+only.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from flowseg.functions.tables import follow_pointers, materialize, with_row_inde
 BLOCK = 2048  # vectors per block
 TASK_ROWS = 500_000  # edges or nodes that one task may hold
 EDGE_SCHEMA = "g string, a long, b long, w double"
+_PAIR_SCHEMA = "g string, p long, q long, a long, b long, w double"
+_CUTS = [k / 8 for k in range(1, 8)]
 
 
 def distinct_vectors(points: DataFrame) -> DataFrame:
@@ -63,29 +66,93 @@ def _tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, weights
 
 
-def _block_edges(pdf: pd.DataFrame, across_only: bool) -> pd.DataFrame:
+def _within(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Tree of one block."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    nodes = pdf["node"].to_numpy()
+    i, j, w = _tree(np.stack(pdf["arr"].to_numpy()))
+    return pd.DataFrame(
+        {"g": pdf["g"].iloc[0], "a": nodes[np.minimum(i, j)], "b": nodes[np.maximum(i, j)], "w": w},
+        columns=["g", "a", "b", "w"],
+    )
+
+
+def _between(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges between two blocks that belong to their common tree."""
     pdf = pdf.sort_values("node", ignore_index=True)
     nodes, blocks = pdf["node"].to_numpy(), pdf["blk"].to_numpy()
     i, j, w = _tree(np.stack(pdf["arr"].to_numpy()))
-    if across_only:
-        keep = blocks[i] != blocks[j]
-        i, j, w = i[keep], j[keep], w[keep]
+    across = blocks[i] != blocks[j]
+    i, j, w = i[across], j[across], w[across]
     out = pd.DataFrame({"a": nodes[np.minimum(i, j)], "b": nodes[np.maximum(i, j)], "w": w})
-    out.insert(0, "g", pdf["g"].iloc[0])
+    for at, name in enumerate(["g", "p", "q"]):
+        out.insert(at, name, pdf[name].iloc[0])
     return out
 
 
-def _within(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _block_edges(pdf, across_only=False)
+def _tasks(df: DataFrame, groups: int) -> int:
+    """Partitions for CPU-heavy groups: about one group each, within reason for the cluster."""
+    return max(1, min(groups, 8 * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def _between(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _block_edges(pdf, across_only=True)
+def _boxes(cells: DataFrame, dims: int, *keys: str) -> DataFrame:
+    """Number of vectors and bounding box per cell."""
+    return cells.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.min(F.col("arr")[k]) for k in range(dims)]).alias("low"),
+        F.array(*[F.max(F.col("arr")[k]) for k in range(dims)]).alias("high"),
+    )
 
 
-def _tasks(df: DataFrame, groups: int) -> int:
-    """Partitions for CPU-heavy groups: about one group each, within reason for the cluster."""
-    return max(1, min(groups, 8 * df.sparkSession.sparkContext.defaultParallelism))
+def space_blocks(nodes: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
+    """``(g, node, arr, blk)`` with at most ``block`` vectors per block of a group.
+
+    Cells that are too large are cut into up to eight slices along their widest
+    coordinate, at approximate quantiles; distinct vectors always leave one to
+    cut. Block numbers follow the order of the cuts, so neighbours in number are
+    neighbours in space.
+    """
+    cells = nodes.select("g", "node", "arr", F.lit("").alias("cell"))
+    while True:
+        boxes = _boxes(cells, dims, "g", "cell").filter(F.col("n") > block)
+        spreads = F.zip_with("high", "low", lambda h, l: h - l)
+        # at most (all vectors / block) cells are too large
+        large = materialize(
+            boxes.withColumn("axis", F.array_position(spreads, F.array_max(spreads)).cast("int") - 1).select(
+                "g", "cell", "n", "axis", F.get("low", F.col("axis")).alias("lo"), F.get("high", F.col("axis")).alias("hi")
+            )
+        )
+        if large.isEmpty():
+            break
+        cells = materialize(cells)
+        coordinate = F.get("arr", F.col("axis"))
+        quantiles = (
+            cells.join(F.broadcast(large), ["g", "cell"])
+            .groupBy("g", "cell")
+            .agg(F.percentile_approx(coordinate, _CUTS).alias("marks"))
+        )
+        # two, four or eight slices; where all marks equal the top value, the middle of the range
+        marks = (
+            F.when(F.col("n") <= 2 * block, F.array(F.get("marks", F.lit(3))))
+            .when(F.col("n") <= 4 * block, F.array(*[F.get("marks", F.lit(k)) for k in (1, 3, 5)]))
+            .otherwise(F.col("marks"))
+        )
+        inner = F.filter(F.array_distinct(marks), lambda m: m < F.col("hi"))
+        middle = (F.col("lo") + F.col("hi")) / 2
+        cuts = large.join(quantiles, ["g", "cell"]).select(
+            "g", "cell", "axis",
+            F.when(F.size(inner) > 0, inner)
+            .otherwise(F.array(F.when(middle < F.col("hi"), middle).otherwise(F.col("lo"))))
+            .alias("cuts"),
+        )
+        slices = F.size(F.filter("cuts", lambda c: c < F.get("arr", F.col("axis"))))
+        cells = materialize(
+            cells.join(F.broadcast(materialize(cuts)), ["g", "cell"], "left").select(
+                "g", "node", "arr", F.concat("cell", F.coalesce(slices.cast("string"), F.lit(""))).alias("cell")
+            )
+        )
+    names = with_row_index(cells.select("g", "cell").distinct(), "g", "cell", name="blk")
+    return materialize(cells.join(names, ["g", "cell"]).drop("cell"))
 
 
 def _pair_edges(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -93,24 +160,29 @@ def _pair_edges(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = materialize(pairs)
     members = pairs.withColumn("blk", F.explode(F.array("p", "q"))).join(blocks, ["g", "blk"])
     n = _tasks(blocks, pairs.count())
-    return members.repartition(n, "g", "p", "q").groupBy("g", "p", "q").applyInPandas(_between, EDGE_SCHEMA)
+    return members.repartition(n, "g", "p", "q").groupBy("g", "p", "q").applyInPandas(_between, _PAIR_SCHEMA)
 
 
 def _close_pairs(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Block pairs, not neighbours in the order, whose boxes are within the group's bound.
+    """Block pairs, not neighbours in number, whose boxes are within the group's bound.
 
-    A band join on the first coordinate: blocks are sorted by it, so the left
-    block lists the bands it can reach and the right one only its own first.
-    A block is at most as wide as its own edges allow, hence few bands each.
+    A band join on the first coordinate, with bands as wide as the bound: a block
+    lists the bands it touches, the other also those just before it. A pair is
+    kept in the later of their first common bands only. The points of a block
+    are linked by edges within the bound, so it touches few bands.
     """
     width = F.greatest("bound", F.lit(np.finfo(float).tiny))
-    banded = boxes.join(bounds, "g")
-    band = F.floor(F.col("low")[0] / width).cast("long")
+    first = F.floor(F.col("low")[0] / width).cast("long")
+    last = F.floor(F.col("high")[0] / width).cast("long")
+    banded = boxes.join(bounds, "g").withColumn("first", first).withColumn("last", last)
     left = banded.select(
         "g", F.col("blk").alias("p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"), "bound",
-        F.explode(F.sequence(band, F.floor((F.col("high")[0] + width) / width).cast("long"))).alias("band"),
+        (F.col("first") - 1).alias("first_p"), F.explode(F.expr("sequence(first - 1, last + 1)")).alias("band"),
+    )
+    right = banded.select(
+        "g", F.col("blk").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q"),
+        F.col("first").alias("first_q"), F.explode(F.expr("sequence(first, last)")).alias("band"),
     )
-    right = banded.select("g", F.col("blk").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q"), band.alias("band"))
     gap = F.array_max(
         F.zip_with(
             F.zip_with("low_q", "high_p", lambda l, h: l - h),
@@ -120,37 +192,31 @@ def _close_pairs(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     )
     return (
         left.join(right, ["g", "band"])
-        .filter((F.col("q") > F.col("p") + 1) & (gap <= F.col("bound")))
+        .filter((F.col("q") > F.col("p") + 1) & (F.col("band") == F.greatest("first_p", "first_q")) & (gap <= F.col("bound")))
         .select("g", "p", "q")
     )
 
 
 def candidate_edges(nodes: DataFrame, dims: int, block: int = BLOCK) -> tuple[DataFrame, bool]:
     """Edges that contain the minimum spanning tree of every group; True if they are the tree."""
-    blocks = nodes.select("g", "node", "arr", F.floor(F.col("node") / block).cast("long").alias("blk"))
-    per_group = blocks.groupBy("g").agg(F.countDistinct("blk").alias("n"))
-    n_blocks, most = per_group.agg(F.sum("n"), F.max("n")).first()
-    n_blocks = n_blocks or 0
-    local = blocks.repartition(_tasks(blocks, n_blocks), "g", "blk").groupBy("g", "blk").applyInPandas(_within, EDGE_SCHEMA)
+    groups, most = nodes.groupBy("g").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    if not most or most <= block:
+        whole = nodes.select("g", "node", "arr").repartition(_tasks(nodes, groups), "g")
+        return materialize(whole.groupBy("g").applyInPandas(_within, EDGE_SCHEMA)), True
+
+    blocks = space_blocks(nodes, dims, block)
+    boxes = materialize(_boxes(blocks, dims, "g", "blk"))
+    local = blocks.repartition(_tasks(blocks, boxes.count()), "g", "blk").groupBy("g", "blk").applyInPandas(_within, EDGE_SCHEMA)
     local = materialize(local)
-    if not most or most == 1:
-        return local, True
-
-    boxes = materialize(
-        blocks.groupBy("g", "blk").agg(
-            F.array(*[F.min(F.col("arr")[k]) for k in range(dims)]).alias("low"),
-            F.array(*[F.max(F.col("arr")[k]) for k in range(dims)]).alias("high"),
-        )
-    )
     nearby = boxes.select("g", F.col("blk").alias("p"), (F.col("blk") + 1).alias("q")).join(
         boxes.select("g", F.col("blk").alias("q")), ["g", "q"], "left_semi"
     )
     chain = materialize(_pair_edges(blocks, nearby.select("g", "p", "q")))
     # the local trees and the lightest edge between neighbours span each group
-    links = chain.groupBy("g", F.floor(F.col("a") / block), F.floor(F.col("b") / block)).agg(F.min("w").alias("w"))
+    links = chain.groupBy("g", "p", "q").agg(F.min("w").alias("w"))
     bounds = local.select("g", "w").unionByName(links.select("g", "w")).groupBy("g").agg(F.max("w").alias("bound"))
-    far = _pair_edges(blocks, _close_pairs(boxes, bounds))
-    return materialize(local.unionByName(chain).unionByName(far)), False
+    far = _pair_edges(blocks, _close_pairs(boxes, materialize(bounds)))
+    return materialize(local.unionByName(chain.drop("p", "q")).unionByName(far.drop("p", "q"))), False
 
 
 def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:

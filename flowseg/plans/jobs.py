@@ -50,7 +50,7 @@ def preprocess(flows: DataFrame, spec: FlowSpec, prune_vector: bool = False, fit
     strings = features.string_columns(flows, spec.protected)
     codes = {c: c + INDEX_SUFFIX for c in strings}
     if strings:
-        dictionary = materialize(features.fit_labels(flows if fit_on is None else fit_on, strings))
+        dictionary = features.fit_labels(flows if fit_on is None else fit_on, strings)
         table, train = fitted(lambda df: features.apply_labels(df, dictionary, strings))
     else:
         table, train = flows, fit_on
