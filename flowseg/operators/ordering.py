@@ -12,7 +12,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowseg.functions.tables import follow_pointers, materialize, with_row_index
@@ -187,7 +187,7 @@ def _order_large(nodes: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
     leaves = done[0]
     for d in done[1:]:
         leaves = leaves.unionByName(d)
-    n_tasks = max(1, min(8 * len(splits) + 1, 8) * nodes.sparkSession.sparkContext.defaultParallelism)
+    n_tasks = 8 * nodes.sparkSession.sparkContext.defaultParallelism
     solved = materialize(
         leaves.repartition(n_tasks, *_PART)
         .groupBy(*_PART)

@@ -156,10 +156,31 @@ def space_blocks(nodes: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
 
 
 def _pair_edges(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Tree edges across each block pair ``(g, p, q)``."""
+    """Tree edges across each block pair ``(g, p, q)``.
+
+    Where the pairs come with their boxes and a bound, vectors farther than that
+    from the other box stay behind: no edge of theirs to it can be in the tree.
+    """
     pairs = materialize(pairs)
-    members = pairs.withColumn("blk", F.explode(F.array("p", "q"))).join(blocks, ["g", "blk"])
     n = _tasks(blocks, pairs.count())
+    if "bound" in pairs.columns:
+        sides = F.array(
+            F.struct(F.col("p").alias("blk"), F.col("low_q").alias("low"), F.col("high_q").alias("high")),
+            F.struct(F.col("q").alias("blk"), F.col("low_p").alias("low"), F.col("high_p").alias("high")),
+        )
+        away = F.greatest(
+            F.array_max(F.zip_with("low", "arr", lambda l, x: l - x)),
+            F.array_max(F.zip_with("arr", "high", lambda x, h: x - h)),
+        )
+        members = (
+            pairs.select("g", "p", "q", "bound", F.explode(sides).alias("s"))
+            .select("g", "p", "q", "bound", "s.*")
+            .join(blocks, ["g", "blk"])
+            .filter(away <= F.col("bound"))
+            .select("g", "p", "q", "blk", "node", "arr")
+        )
+    else:
+        members = pairs.withColumn("blk", F.explode(F.array("p", "q"))).join(blocks, ["g", "blk"])
     return members.repartition(n, "g", "p", "q").groupBy("g", "p", "q").applyInPandas(_between, _PAIR_SCHEMA)
 
 
@@ -193,7 +214,7 @@ def _close_pairs(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
     return (
         left.join(right, ["g", "band"])
         .filter((F.col("q") > F.col("p") + 1) & (F.col("band") == F.greatest("first_p", "first_q")) & (gap <= F.col("bound")))
-        .select("g", "p", "q")
+        .select("g", "p", "q", "bound", "low_p", "high_p", "low_q", "high_q")
     )
 
 

@@ -93,6 +93,31 @@ def test_block_scan_matches_brute_force_on_random_plots(seed):
     assert X._spread(plot, spans)["cluster_id"].tolist() == want.tolist()
 
 
+def test_blocks_are_bounded_and_distant_pairs_left_out(spark):
+    """Tied coordinates, far apart blobs: every block fits, most pairs are never formed."""
+    from flowseg.operators import spanning
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.round(rng.normal(c, 1.0, (40, 3)), 1) for c in range(0, 80, 10)])
+    x[:, 1] = np.where(x[:, 0] < 40, 0.0, x[:, 1])
+    points = _frame(spark, x).select(F.lit("").alias("g"), "id", F.col("v").alias("arr"))
+    nodes = spanning.distinct_vectors(points)
+    blocks = spanning.space_blocks(nodes, 3, block=16)
+    sizes = [r["count"] for r in blocks.groupBy("blk").count().collect()]
+    assert max(sizes) <= 16 and sum(sizes) == nodes.count() == blocks.select("node").distinct().count()
+    bounds = spark.createDataFrame([("", 2.0)], "g string, bound double")
+    pairs = spanning._close_pairs(spanning._boxes(blocks, 3, "g", "blk"), bounds).select("p", "q").collect()
+    assert len(set(map(tuple, pairs))) == len(pairs) < len(sizes) * (len(sizes) - 1) / 2 / 3
+    boxes = {r["blk"]: (np.array(r["low"]), np.array(r["high"])) for r in spanning._boxes(blocks, 3, "g", "blk").collect()}
+    near = {
+        (p, q)
+        for p in boxes
+        for q in boxes
+        if q > p + 1 and max((boxes[q][0] - boxes[p][1]).max(), (boxes[p][0] - boxes[q][1]).max()) <= 2.0
+    }
+    assert set(map(tuple, pairs)) == near
+
+
 def test_groups_are_independent(spark):
     x, y = _blobs(3, copies=False)[:30], _blobs(4, copies=False)[:40]
     both = _frame(spark, x, "a").unionByName(_frame(spark, y, "b"))
