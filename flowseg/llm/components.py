@@ -13,9 +13,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        out = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select("b", "m")
         # every edge is met at its smaller end, where the larger end is the neighbour to tie
-        return out.filter("b != m").select(F.col("m").alias("a"), "b").distinct()
+        return edges.join(least, "a").select(F.col("m").alias("a"), "b").distinct()
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
     moved = edges.join(least, "b").filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()

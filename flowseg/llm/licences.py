@@ -1,7 +1,7 @@
 """Licence recognition by sentences: known sentences get identifiers, sequences of identifiers are matched by rules.
 
-A text is cut twice, into sentences (line breaks count as blanks, as in wrapped
-notices) and into lines (as in headers). Every unit is normalised: lower case,
+A text is cut twice, into sentences (single line breaks count as blanks, as in
+wrapped notices, empty lines end a sentence) and into lines (as in headers). Every unit is normalised: lower case,
 runs of other characters than letters and digits become one space, and the
 many ways to say "this is released under" become one word. Known units map to
 an identifier; the others drop out of the sequence. A rule names identifiers
@@ -137,13 +137,13 @@ def _licences(identifiers: Column) -> Column:
 
 
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``licence_sentences`` and ``licence_lines`` (identifiers in order) and ``licences`` (names in rule order)."""
+    """Adds ``licence_sentences`` and ``licence_lines`` (identifiers in order) and ``licences`` (names in alphabetical order)."""
     (low,) = fresh(docs, "_low")
     none = F.array().cast("array<string>")
     marked = F.lit(False)
     for m in MARKERS:
         marked = marked | F.col(low).contains(m)
-    sentences = F.split(F.regexp_replace(low, r"\s+", " "), r"[.!?:;][\"')\]]* ")
+    sentences = F.split(F.col(low), r"[.!?:;][\"')\]]*\s|\n[ \t\r]*\n")
     lines = F.split(F.col(low), r"[\r\n]+")
     return (
         docs.withColumn(low, F.lower(F.coalesce(F.col(text), F.lit(""))))
@@ -154,7 +154,7 @@ def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
             "licences",
             F.when(
                 (F.size("licence_sentences") > 0) | (F.size("licence_lines") > 0),
-                F.array_distinct(F.concat(_licences(F.col("licence_sentences")), _licences(F.col("licence_lines")))),
+                F.array_sort(F.array_distinct(F.concat(_licences(F.col("licence_sentences")), _licences(F.col("licence_lines"))))),
             ).otherwise(none),
         )
     )

@@ -75,7 +75,7 @@ def _choose(unit: Column, shards: int, most: Column) -> Column:
     return F.aggregate(unit, start, place, lambda state: state["placed"])
 
 
-def slot_map(units: DataFrame, shards: int, previous: DataFrame | None = None, version: int = 1, tolerance: float = 0.02) -> DataFrame:
+def slot_map(units: DataFrame, shards: int, previous: DataFrame | None = None, version: int = 1, tolerance: float = 0.005) -> DataFrame:
     """version, virtual_slot, sub, shard. ``units`` has virtual_slot, sub, bytes: a bounded number of rows.
 
     With ``previous`` (an earlier version) it is that map edited: a slot leaves its
