@@ -2,10 +2,13 @@
 
 Every learned language has a raw-content zstandard dictionary made of sample
 texts. A text is reduced to lower-case letters and single spaces, cut into
-blocks of a few KB, and each block is compressed on its own with each
-dictionary, so that a long text can't replace the dictionary by its own words.
-The language with the fewest bytes wins; the share by which the second is
-larger is the margin, and a narrow margin is a rejection.
+small blocks, and each block is compressed on its own with each dictionary, so
+that a long text can't replace the dictionary by its own words. In each block
+a language pays for the share by which it is larger than the smallest, up to
+``MOST``: a passage that some dictionary happens to hold decides its block only.
+The language that pays least over the whole text wins; what the second pays
+more, of the most there is to pay, is the margin, and a narrow margin is a
+rejection.
 
 Edge cases: a NULL, empty or letterless text is ``und`` with score 0 and is
 rejected. Equal sizes go to the language first in the alphabet, with margin 0.
@@ -28,9 +31,11 @@ from flowseg.llm.common import fresh, id_remainder
 
 DICTIONARY_BYTES = 112_640  #: bound of the sample that is learned from, in bytes a language
 MAX_LANGUAGES = 1_000
-BLOCK_BYTES = 4_096
-LEVEL = 3
-MIN_MARGIN = 0.01
+PIECE_BYTES = 1_000  #: of one text at most, from its middle, so that the sample is varied
+BLOCK_BYTES = 512
+LEVEL = 12
+MOST = 0.15
+MIN_MARGIN = 0.05
 HELD_OUT = (4, 2)
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -68,14 +73,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
         return {}
     cut = F.lit(-1.0)
     for r in found:  # eight times the rows that should be needed
-        share = 8 * (DICTIONARY_BYTES / max(r["mean"], 1) + 25) / r["n"]
+        share = 8 * (DICTIONARY_BYTES / min(PIECE_BYTES, max(r["mean"], 1)) + 25) / r["n"]
         cut = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, share))).otherwise(cut)
     few = rows.filter((drawn / F.lit(2.0**64) + 0.5) <= cut).dropDuplicates()
-    before = F.sum(F.length("text")).over(W.partitionBy("lang").orderBy(drawn, "text").rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum(F.least(F.length("text"), F.lit(PIECE_BYTES))).over(W.partitionBy("lang").orderBy(drawn, "text").rowsBetween(W.unboundedPreceding, -1))
     sample = few.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * DICTIONARY_BYTES)
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in sample.collect():
-        parts.setdefault(r["lang"], []).append((r["before"], letters(r["text"])))
+        own = letters(r["text"])
+        start = max(0, len(own) - PIECE_BYTES) // 2
+        parts.setdefault(r["lang"], []).append((r["before"], own[start : start + PIECE_BYTES]))
     # zstandard finds what is last in a dictionary most cheaply; the order has no other meaning
     return {k: b" ".join(t for _, t in sorted(v))[:DICTIONARY_BYTES] for k, v in sorted(parts.items())}
 
@@ -96,11 +103,17 @@ class Classifier:
         data = letters(text)
         if not data or not self.languages:
             return "und", 0.0
-        blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), k) for c, k in zip(self.coders, self.languages))
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
+        if len(self.languages) == 1:
+            return self.languages[0], 1.0
+        paid = [0.0] * len(self.coders)
+        for i in range(0, len(data), BLOCK_BYTES):
+            block = data[i : i + BLOCK_BYTES]
+            sizes = [len(c.compress(block)) for c in self.coders]
+            least = min(sizes)
+            for k, size in enumerate(sizes):
+                paid[k] += min(size / least - 1, MOST) * len(block)
+        first, second = sorted(range(len(paid)), key=lambda k: (paid[k], k))[:2]
+        return self.languages[first], (paid[second] - paid[first]) / (MOST * len(data))
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:

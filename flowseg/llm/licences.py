@@ -69,7 +69,7 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-form",
 }
-MARKERS = ("licen", "software", "copyright", "redistribut", "under")
+MARKERS = ("licen", "software", "copyright", "warrant", "redistribut", "under")
 UNDER = r"^(?:(?:this|the) (?:\w+ ){1,3}is |it is )?(?:dual )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
 #: Tried in this order.
 RULES = [
