@@ -7,7 +7,8 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HEX_SPAN = 16**8
+HEX_DIGITS = 15  # of a hash, compared with a threshold: 60 bits
+_HEX_SPAN = 16**HEX_DIGITS
 
 
 def row_hash(seed: int, *cols: str) -> Column:
@@ -16,15 +17,15 @@ def row_hash(seed: int, *cols: str) -> Column:
 
 
 def hash_cut(fraction: float) -> str:
-    """Eight hex digits such that a uniform hash lies below them with this probability."""
-    return f"{min(int(fraction * _HEX_SPAN), _HEX_SPAN - 1):08x}"
+    """Hex digits such that a uniform hash lies below them with this probability."""
+    return f"{min(int(fraction * _HEX_SPAN), _HEX_SPAN - 1):0{HEX_DIGITS}x}"
 
 
 def hash_below(hashed: Column, fraction: float) -> Column:
     """True for the given share of uniform hashes."""
     if fraction >= 1.0:
         return F.lit(True)
-    return F.substring(hashed, 1, 8) < F.lit(hash_cut(fraction))
+    return F.substring(hashed, 1, HEX_DIGITS) < F.lit(hash_cut(fraction))
 
 
 def chebyshev(a: Column, b: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -184,7 +183,3 @@ def save_feature_names(df_or_spark, names: list[str], path: str) -> None:
     """Ordered feature names as JSON rows ``(pos, name)``."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
     spark.createDataFrame(list(enumerate(names)), "pos int, name string").coalesce(1).write.mode("overwrite").json(path)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

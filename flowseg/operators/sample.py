@@ -101,8 +101,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, out: str = "class_weight", weights: DataFrame | None = None) -> DataFrame:
     """Attach the weight of each row's class; both classes must occur."""
     weights = weights if weights is not None else class_weights(df, label)
-    known = {r[label] for r in weights.select(label).collect()}
-    if not {0, 1} <= known:
+    known = {r[label]: r["weight"] for r in weights.select(label, "weight").collect()}  # one row per class
+    if not {0, 1} <= set(known):
         raise ValueError(f"class weights need both classes, got {sorted(known, key=str)}")
-    slim = weights.select(F.col(label), F.col("weight").alias(out))
-    return df.join(F.broadcast(slim), label, "left")  # one row per class
+    weight = F.lit(None).cast("double")
+    for value, share in known.items():
+        if value is not None:
+            weight = F.when(F.col(label) == value, F.lit(share)).otherwise(weight)
+    return df.withColumn(out, weight)

@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowseg.functions.columns import chebyshev
 from flowseg.functions.tables import follow_pointers, materialize, with_row_index
 
 BLOCK = 2048  # vectors per block

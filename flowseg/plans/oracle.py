@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowseg.functions.columns import hash_cut
+from flowseg.functions.columns import HEX_DIGITS, hash_cut
 from flowseg.operators.enrich import PROFILE
 from flowseg.operators.evaluate import FALSE_POSITIVE, TRUE_NEGATIVE
 from flowseg.plans.catalog import CSV_COLUMNS, ENCODED, PLANE, SAMPLE_ROWS, SCALED
@@ -18,7 +18,7 @@ def _md5(col: str = "uid", seed: int = SEED) -> str:
 
 
 def _below(fraction: float, col: str = "uid", seed: int = SEED) -> str:
-    return f"substr({_md5(col, seed)}, 1, 8) < '{hash_cut(fraction)}'"
+    return f"substr({_md5(col, seed)}, 1, {HEX_DIGITS}) < '{hash_cut(fraction)}'"
 
 
 def _z(expr: str, digits: int = 4, over: str = "") -> str:
@@ -247,7 +247,7 @@ ORACLES: dict[str, str] = {
     "balanced_sample": f"{_F} SELECT uid, label FROM (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY {_md5()}, uid) AS rk FROM f) WHERE rk <= {SAMPLE_ROWS // 2}",
     "hash_split": f"{_F} SELECT uid, CASE WHEN {_below(0.7)} THEN 'train' ELSE 'test' END AS part FROM f",
     "undersample": f"{_F}, c AS (SELECT CAST(sum(label) AS DOUBLE) / sum(1 - label) AS q FROM f)"
-    f" SELECT uid, label FROM f, c WHERE label = 1 OR q >= 1 OR substr({_md5(seed=SEED + 1)}, 1, 8) < format('{{:08x}}', CAST(floor(q * 4294967296) AS BIGINT))",
+    f" SELECT uid, label FROM f, c WHERE label = 1 OR q >= 1 OR substr({_md5(seed=SEED + 1)}, 1, {HEX_DIGITS}) < format('{{:0{HEX_DIGITS}x}}', CAST(floor(q * {16**HEX_DIGITS}.0::DOUBLE) AS BIGINT))",
     "class_weights": f"{_F} SELECT label, count(*) AS n, round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 6) AS weight FROM f GROUP BY label",
     "weighted_rows": f"{_F} SELECT uid, label, round(CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY label)), 6) AS class_weight FROM f",
     "attach_clusters": f"""{_F} SELECT uid, proto, CASE WHEN {_below(0.02)} THEN "clusterId" END AS "clusterId" FROM f WHERE {_below(0.05)}""",
