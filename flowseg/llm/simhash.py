@@ -96,11 +96,6 @@ def links(prints: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     return paired.unionByName(met).distinct()
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """Fingerprint ``f`` to ``root`` for those that have a link; ``prints`` has a column ``f``, repeats allowed."""
-    return components(links(materialize(prints.select("f").distinct())))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every document."""
     rows = materialize(docs.select("doc_id", fingerprints("text").alias("f")))
@@ -113,7 +108,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _with_root(firsts: DataFrame) -> DataFrame:
     """``firsts`` (one row a fingerprint ``f``) with the root of its class, itself if it has no link."""
-    found = classes(firsts).withColumnRenamed("node", "f")
+    found = components(links(firsts.select("f"))).withColumnRenamed("node", "f")
     return firsts.join(found, "f", "left").withColumn("root", F.coalesce("root", "f"))
 
 
@@ -121,21 +116,20 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group: that with the smallest doc_id (a NULL id last), then the smallest hash of its text.
 
     Of repeated rows with that id and text, one stays. Groups are worked out on
-    ids and hashes; only the join with the rows to drop meets the texts.
+    ids and hashes, and rows without a partner leave before the last joins; only
+    the join with the rows to drop meets the texts.
     """
     key, again = fresh(docs, "_key", "_n")
     mark = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text_key(F.col("text")).alias("text"))
     rows = materialize(docs.select(F.col("doc_id").alias("d"), mark.alias("m"), fingerprints("text").alias("f")))
-    marks = materialize(
-        rows.groupBy("m", "f").agg(F.count("*").alias("n"), F.min(F.struct(F.col("d").isNull(), "d", "m")).alias("first"))
-    )
-    roots = _with_root(materialize(marks.groupBy("f").agg(F.min("first").alias("first"))))
-    least = roots.groupBy("root").agg(F.min("first").alias("best"))
-    named = materialize(roots.join(least, "root").select("f", F.col("best.m").alias("kept")))
-    judged = materialize(marks.join(named, "f").select(F.col("m").alias(key), (F.col("m") == F.col("kept")).alias("stays"), F.col("n").alias(again)))
+    first = F.min(F.struct(F.col("d").isNull(), "d", "m")).alias("first")
+    roots = _with_root(materialize(rows.groupBy("f").agg(first, F.count("*").alias("n"))))
+    groups = roots.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).filter("n > 1").select("root", "best")
+    named = materialize(roots.join(groups, "root").select("f", F.col("best.m").alias("kept")))
+    judged = materialize(rows.join(named, "f").select(F.col("m").alias(key), (F.col("m") == F.col("kept")).alias("stays")))
     keyed = docs.withColumn(key, mark)
     out = keyed.join(judged.filter("NOT stays").select(key), key, "left_anti")
-    repeated = materialize(judged.filter(F.col("stays") & (F.col(again) > 1)).select(key))
+    repeated = materialize(judged.filter("stays").groupBy(key).agg(F.count("*").alias(again)).filter(F.col(again) > 1).select(key))
     if not repeated.isEmpty():
         out = out.join(repeated, key, "left_anti").unionByName(out.join(repeated, key, "left_semi").dropDuplicates([key]))
     return out.select(*docs.columns)
