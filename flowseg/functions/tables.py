@@ -111,6 +111,7 @@ def lookup_join(
     hot = lookup.orderBy(F.desc(weight), key).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
     hot = materialize(hot)
     plain = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType)) and f.name != key]
+    plain = plain or [f.name for f in df.schema if f.name != key and not isinstance(f.dataType, (T.MapType, T.VariantType))] or [key]
     spread = F.pmod(F.xxhash64(*[quoted(c) for c in plain]), F.lit(SALTS)).cast("int")
     left = df.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0)

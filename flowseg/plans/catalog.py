@@ -218,6 +218,12 @@ def preprocess(spark, sf_dir):
     return _spread_vector(done.table, "scaled_features", [f"s_{c}" for c in done.names], ["uid"])
 
 
+def preprocess_pruned(spark, sf_dir):
+    """The same without the redundant features."""
+    done = jobs.preprocess(flows(spark, sf_dir), SPEC, prune_vector=True)
+    return _spread_vector(done.table, "scaled_features", [f"s_{c}" for c in done.names], ["uid"])
+
+
 # --- components -----------------------------------------------------------
 
 
@@ -350,6 +356,27 @@ def optics_by_group(spark, sf_dir):
     return cluster.optics_segments(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
 
 
+#: Small enough for the test tables to take every way that large ones take.
+SMALL = {"block": 128, "task_rows": 200}
+
+
+def core_distance_blocks(spark, sf_dir):
+    """The same from trees of blocks and of pairs of blocks."""
+    found = cluster.core_distance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", **SMALL)
+    return _rounded(found, ["core_distance"], 6)
+
+
+def reachability_blocks(spark, sf_dir):
+    """The same with contracted edges and a plot put together from parts."""
+    found = cluster.reachability(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", **SMALL)
+    return _rounded(found, ["reachability"], 6)
+
+
+def optics_segments_blocks(spark, sf_dir):
+    """The same with a plot that is scanned in blocks."""
+    return cluster.optics_segments(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", plot_block=150, **SMALL)
+
+
 def flow_segments(spark, sf_dir):
     """A balanced sample of the flows, reduced and clustered."""
     done = jobs.preprocess(flows(spark, sf_dir), SPEC)
@@ -479,10 +506,11 @@ def rescale_behaviour(spark, sf_dir):
 QUERIES = [
     zeek_parse, zeek_rejects, zeek_scan, csv_scan, csv_header_scan, stage_reuse, save_and_load, rules_csv, feature_names,
     binary_label, add_uid, add_uid_salted,
-    label_encode, impute_mean, standardize, corr_matrix, corr_pairs, prune_correlated, preprocess,
+    label_encode, impute_mean, standardize, corr_matrix, corr_pairs, prune_correlated, preprocess, preprocess_pruned,
     pca_norms, pca_total_variance, pca_explained_variance, pca_choose_k, pca_reduce,
     hash_sample, capped_sample, balanced_sample, hash_split, undersample, class_weights, weighted_rows,
     attach_clusters, flows_in_clusters, largest_clusters, cluster_summary, core_distance, reachability,
+    core_distance_blocks, reachability_blocks, optics_segments_blocks,
     optics_segments, optics_by_group, flow_segments,
     tree_plain, tree_undersampled, tree_weighted, tree_enriched, tree_enriched_undersampled, tree_enriched_weighted, tree_reload,
     confusion, binary_metrics, benign_breakdown, attack_breakdown, outcome_means,

@@ -12,7 +12,8 @@ from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowseg.functions.tables import materialize
+from flowseg.functions.columns import quoted
+from flowseg.functions.tables import materialize, with_row_index
 from flowseg.operators import classify, cluster, enrich, evaluate, features, reduce, rules, sample
 from flowseg.operators.features import INDEX_SUFFIX
 from flowseg.sources import load, load_flows, save, stage
@@ -36,12 +37,12 @@ class Preprocessed:
 
 
 def preprocess(flows: DataFrame, spec: FlowSpec, prune_vector: bool = False, fit_on: DataFrame | None = None) -> Preprocessed:
-    """Encode, impute, scale, and find redundant features.
+    """Encode, impute, scale, and prune redundant features where asked for.
 
-    Source columns keep their names; string features gain a code column, and
-    redundant feature columns are only dropped from the feature list, so that
-    later steps still find the columns they need. ``prune_vector`` also takes
-    them out of the vector. ``fit_on`` fits every model on other rows (a
+    Source columns keep their names; string features gain a code column.
+    ``prune_vector`` takes redundant features out of the vector and of its
+    names, at the cost of one more pass; the table keeps their columns, so that
+    later steps still find those they need. ``fit_on`` fits every model on other rows (a
     training part) than it is applied to.
     """
     def fitted(apply):
@@ -64,10 +65,12 @@ def preprocess(flows: DataFrame, spec: FlowSpec, prune_vector: bool = False, fit
     vectors = features.assemble(filled, names)
     scaler = features.fit_scaler(vectors if train is None else features.assemble(filled_base, names))
     scaled = scaler.transform(vectors).drop("features")
+    if not prune_vector:
+        return Preprocessed(scaled, names, [])
     scaled_base = scaled if train is None else scaler.transform(features.assemble(filled_base, names))
     corr = features.correlation_matrix(scaled_base, names)
     dropped = [r["dropped"] for r in features.prune_list(corr).orderBy("i").collect()]
-    if prune_vector and dropped:
+    if dropped:
         kept = [c for c in names if c not in set(dropped)]
         vectors = features.assemble(scaled.drop("scaled_features"), kept)
         fit_vectors = None if train is None else features.assemble(filled_base, kept)
@@ -112,18 +115,32 @@ def cluster_sample(table: DataFrame, spec: FlowSpec) -> DataFrame:
 
 
 def cluster_table(table: DataFrame, spec: FlowSpec, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``(uid, cluster_id)`` of the sampled rows, or of all rows when grouped."""
-    if group_cols:
-        return cluster.optics_segments(table, spec.uid, "pca_features", group_cols).select(spec.uid, "cluster_id")
-    picked = materialize(cluster_sample(table, spec))
-    return cluster.attach_clusters(
-        picked.select(spec.uid), cluster.optics_segments(picked, spec.uid, "pca_features"), spec.uid
-    )
-
+    """``(uid, cluster_id)`` of all rows, or of a sample where the spec gives its size.
 
-def cluster_job(spark: SparkSession, spec: FlowSpec) -> DataFrame:
+    With ``group_cols``, groups are clustered independently, and clusters are
+    numbered through all groups.
+    """
+    picked = materialize(
+        (table if spec.sample_size is None else cluster_sample(table, spec)).select(
+            *dict.fromkeys([spec.uid, *group_cols, "pca_features"])
+        )
+    )
+    found = cluster.optics_segments(picked, spec.uid, "pca_features", group_cols)
+    if group_cols:
+        group = F.to_json(F.struct(*[quoted(c) for c in group_cols]), {"ignoreNullFields": "false"})
+        found = materialize(found.select(quoted(spec.uid), "cluster_id", group.alias("_g")))
+        numbers = with_row_index(
+            found.filter(F.col("cluster_id") != cluster.NOISE).select("_g", "cluster_id").distinct(), "_g", "cluster_id", name="_n"
+        )
+        found = found.join(numbers, ["_g", "cluster_id"], "left").select(
+            quoted(spec.uid), F.coalesce(F.col("_n"), F.lit(cluster.NOISE)).cast("int").alias("cluster_id")
+        )
+    return cluster.attach_clusters(picked.select(quoted(spec.uid)), found, spec.uid)
+
+
+def cluster_job(spark: SparkSession, spec: FlowSpec, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Cluster the reduced table and store the segments."""
-    save(cluster_table(load(spark, spec.stage(REDUCED)), spec), spec.stage(CLUSTERED))
+    save(cluster_table(load(spark, spec.stage(REDUCED)), spec, group_cols), spec.stage(CLUSTERED))
     return load(spark, spec.stage(CLUSTERED))
 
 
@@ -176,10 +193,12 @@ def rules_job(spark: SparkSession, spec: FlowSpec, strategy: str = "plain") -> t
     table = load(spark, spec.stage(PREPROCESSED))
     model, tested = train(table, spec, strategy)
     classify.save_model(model, spec.stage(TREE))
-    clustered = cluster.flows_in_clusters(table, load(spark, spec.stage(CLUSTERED)), spec.uid)
+    segments = load(spark, spec.stage(CLUSTERED))
+    clustered = cluster.flows_in_clusters(table, segments, spec.uid)
     found = materialize(rules.rule_table(classify.predict(model, clustered), spec.five_tuple))
     rules.write_rules(found, spec.stage(RULES))
-    return found, reports(tested, spec)
+    about = {"largest_clusters": cluster.largest_clusters(segments), "cluster_summary": cluster.summary(segments)}
+    return found, reports(tested, spec) | about
 
 
 def enrich_table(table: DataFrame, spec: FlowSpec) -> DataFrame:
@@ -203,9 +222,9 @@ def enriched_job(
     return model, reports(tested, spec)
 
 
-def run_all(spark: SparkSession, spec: FlowSpec) -> tuple[DataFrame, dict[str, DataFrame | None]]:
+def run_all(spark: SparkSession, spec: FlowSpec, group_cols: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, DataFrame | None]]:
     """From raw logs to rules."""
     preprocess_job(spark, spec)
     reduce_job(spark, spec)
-    cluster_job(spark, spec)
+    cluster_job(spark, spec, group_cols)
     return rules_job(spark, spec)

@@ -235,6 +235,7 @@ ORACLES: dict[str, str] = {
     "prune_correlated": f"{_F}, c AS ({_corr_rows()}) SELECT uid, {', '.join(_PRUNED)} FROM f"
     f" WHERE (SELECT string_agg(DISTINCT col_i) FROM c WHERE i < j AND abs(r) >= {PRUNE_THRESHOLD}) = 'orig_bytes'",
     "preprocess": f"{_PREPARED} SELECT uid, {', '.join(f'{_z(c)} AS s_{c}' for c in _PREPARED_NAMES)} FROM p",
+    "preprocess_pruned": f"{_PREPARED} SELECT uid, {', '.join(f'{_z(c)} AS s_{c}' for c in _PREPARED_NAMES if c != 'orig_bytes')} FROM p",
     "pca_norms": "SELECT vec_id, round(list_sum([x * x for x in CAST(embedding AS DOUBLE[])]), 6) AS squared_norm FROM embeddings",
     "pca_total_variance": "SELECT round(sum(v), 6) AS total_variance FROM (SELECT var_samp(x) AS v FROM ("
     "SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY k)",
@@ -290,3 +291,4 @@ ORACLES: dict[str, str] = {
     "rescale_behaviour": f"{_F}, s AS ({_PROFILE}), w AS (SELECT uid, orig_bytes, s.* FROM f JOIN s ON f.src_ip = s.src_ip)"
     f" SELECT uid, {', '.join(f'{_z(c)} AS {c}' for c in ['orig_bytes', *PROFILE])} FROM w",
 }
+ORACLES |= {f"{name}_blocks": ORACLES[name] for name in ("core_distance", "reachability", "optics_segments")}

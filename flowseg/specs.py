@@ -130,7 +130,7 @@ class FlowSpec:
     label_default: str | None = None  # value of a missing attack type
     pca_variance: float | None = None  # choose k by explained share ...
     pca_k: int | None = None  # ... or take it as given
-    sample_size: int = 1000
+    sample_size: int | None = None  # rows to cluster; None: all
     sample_method: str = "random"  # or "balanced"
     response_bytes: str | None = None  # answered-bytes column of the source profile
     exclude: tuple[str, ...] = ()  # further columns to keep out of the features
