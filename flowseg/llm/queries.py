@@ -80,4 +80,12 @@ QUERIES = [
     op10_katz,
 ]
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": """
+        WITH x AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        v AS (SELECT vec_id, [CAST(floor(256 * c) AS BIGINT) for c in e] AS vec FROM x WHERE len([c for c in e if c IS NULL OR NOT isfinite(c)]) = 0),
+        s AS (SELECT q.vec_id AS query_id, o.vec_id, CAST(list_sum([z[1] * z[2] for z in list_zip(q.vec, o.vec)]) AS BIGINT) AS score
+              FROM v q JOIN v o ON q.vec_id % 50 = 0 AND q.vec_id <> o.vec_id AND len(q.vec) = len(o.vec)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
