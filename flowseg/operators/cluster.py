@@ -24,9 +24,14 @@ NOISE = -1
 
 
 def _points(df: DataFrame, id_col: str, vector: str, group_cols: Sequence[str]) -> DataFrame:
-    """``(g, id, arr)``; the group columns travel as one JSON key."""
+    """``(g, id, arr)``; the group columns travel as one JSON key. A vector without a distance raises."""
     key = F.to_json(F.struct(*[quoted(c) for c in group_cols]), {"ignoreNullFields": "false"}) if group_cols else F.lit("")
-    return df.select(key.alias("g"), quoted(id_col).alias("id"), as_double_array(df, vector).alias("arr"))
+    points = df.select(key.alias("g"), quoted(id_col).alias("id"), as_double_array(df, vector).alias("arr"))
+    unusable = F.exists("arr", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = points.filter(F.col("arr").isNull() | unusable).count()
+    if bad:
+        raise ValueError(f"{bad} vectors in {vector!r} are NULL or hold NULL or non-finite components")
+    return points
 
 
 def _restore_groups(df: DataFrame, source: DataFrame, group_cols: Sequence[str]) -> DataFrame:

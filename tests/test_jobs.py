@@ -155,3 +155,29 @@ def test_pruned_vector(spark, spec):
     done = jobs.preprocess(flows.withColumn("twin", F.col(number) * 2), spec, prune_vector=True)
     assert done.dropped and not set(done.dropped) & set(done.names)
     assert len(done.table.first()["scaled_features"]) == len(done.names)
+
+
+def test_all_rows_are_clustered_and_numbered_through_groups(spark):
+    rng = random.Random(1)
+    rows = [
+        (f"{g}{c}{i}", g, [10.0 * c + rng.random(), rng.random()])
+        for g in ("a", None, "b") for c in range(2) for i in range(12)
+    ]
+    df = spark.createDataFrame(rows, "uid string, site string, pca_features array<double>")
+    spec = replace(SPECS["iot23"], uid="uid")
+    assert spec.sample_size is None and jobs.cluster_table(df, spec).count() == len(rows)
+    got = jobs.cluster_table(df, spec, ("site",)).join(df, "uid").collect()
+    assert len(got) == len(rows)
+    sites = {}
+    for r in got:
+        if r["cluster_id"] != -1:
+            sites.setdefault(r["cluster_id"], set()).add(r["site"])
+    assert sorted(sites) == list(range(len(sites))) and all(len(s) == 1 for s in sites.values())
+    assert {s for own in sites.values() for s in own} == {"a", None, "b"}
+
+
+@pytest.mark.parametrize("vector", [None, [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0]])
+def test_vectors_without_a_distance_are_refused(spark, vector):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, vector)], "uid int, v array<double>")
+    with pytest.raises(ValueError, match="1 vectors"):
+        jobs.cluster.optics_segments(df, "uid", "v")
