@@ -27,3 +27,11 @@ def test_pointers_reach_their_roots(spark):
     df = spark.createDataFrame([(1, i, p) for i, (_, p) in enumerate(chain)] + [(2, 5, 5), (2, 9, 5)], "g int, v int, p int")
     out = tables.follow_pointers(df, ["g"], "v", "p").collect()
     assert {(r["g"], r["v"]): r["p"] for r in out} == {**{(1, i): 0 for i in range(40)}, (2, 5): 5, (2, 9): 5}
+
+
+def test_salted_join_of_a_table_without_plain_columns(spark):
+    left = spark.createDataFrame([("a", [1.0]), ("a", [2.0]), (None, [3.0])], "k string, v array<double>")
+    lookup = spark.createDataFrame([("a", 2, 7)], "k string, n long, x long")
+    for df in (left, left.select("k")):
+        got = tables.lookup_join(df, lookup, "k", "n", rows=0)
+        assert sorted(r["x"] or 0 for r in got.collect()) == [0, 7, 7]
