@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +82,36 @@ QUERIES = [
     op10_katz,
 ]
 
+#: A pattern whose letters match in either case.
+_ANY_CASE = re.compile("[a-z]")
+_ASSIGN = _ANY_CASE.sub(lambda m: f"[{m[0]}{m[0].upper()}]", "(password|passwd|secret|token|api_?key)") + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: RE2 can't look behind: runs of the characters that a host consists of are taken whole, with what of an endpoint is in them.
+_RUN = r"""([a-z0-9-]+(?:[.][a-z0-9-]+)*[.](?:amazonaws|azure|googleapis)[.]com)|[A-Za-z0-9.-]*?(https?://[^ \t\n\x0B\f\r"''<>]+)|[A-Za-z0-9.-]+"""
+
+
+def _placed(source: str, pattern: str) -> str:
+    """SQL: the matches of a pattern in ``source`` (r, t), with their number and their end."""
+    return f"""(SELECT r, i, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
+                SELECT r, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g FROM (
+                SELECT r, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM {source})))"""
+
+
+def _linked(span: str, other: str) -> str:
+    """SQL: whether a span of ``other`` lies within the scope."""
+    return f"EXISTS (SELECT 1 FROM {other} o WHERE o.r = {span}.r AND {span}.s - o.e <= 256 AND o.s - {span}.e <= 256)"
+
+
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((CAST('0x' || substr(d, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)
+                   for i in range(32)], '') AS payload_digest,
+               CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, TRUE AS verified
+        FROM p JOIN f USING (d)""",
     "op7_exact_topk": """
         WITH x AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         v AS (SELECT vec_id, [CAST(floor(256 * c) AS BIGINT) for c in e] AS vec FROM x WHERE len([c for c in e if c IS NULL OR NOT isfinite(c)]) = 0),
@@ -88,4 +119,27 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v o ON q.vec_id % 50 = 0 AND q.vec_id <> o.vec_id AND len(q.vec) = len(o.vec)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_secrets": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        assigned AS (SELECT * FROM {_placed("docs", _ASSIGN)}),
+        value AS (SELECT r, unnest(range(1, len(vs) + 1)) AS i, unnest(vs) AS v FROM (SELECT r, regexp_extract_all(t, '{_ASSIGN}', 2) AS vs FROM docs)),
+        strong AS (
+            SELECT r, 0 AS k, e - length(m) AS s, e FROM assigned JOIN value USING (r, i) WHERE length(v) >= 6
+            UNION ALL SELECT r, 1, e - length(m), e FROM {_placed("docs", "AKIA[A-Z0-9]+")} WHERE length(m) >= 20
+            UNION ALL SELECT r, 2, e - length(m), e FROM {_placed("docs", "[0-9a-f]+")} WHERE length(m) >= 24),
+        candidate AS (SELECT r, t FROM docs WHERE r IN (SELECT r FROM strong WHERE k = 1)),
+        identifier AS (SELECT * FROM strong WHERE k = 1),
+        lone AS (SELECT r, 3 AS k, e - length(m) AS s, e FROM {_placed("candidate", "[A-Za-z0-9/+=]+")} WHERE length(m) = 40 AND NOT contains(m, '=')),
+        keys AS (SELECT * FROM lone x WHERE {_linked("x", "identifier")}),
+        run AS (SELECT r, e, coalesce(nullif(regexp_extract(m, '{_RUN}', 1), ''), regexp_extract(m, '{_RUN}', 2)) AS m FROM {_placed("candidate", _RUN)}),
+        place AS (SELECT r, 4 AS k, e - length(m) AS s, e FROM run WHERE m <> ''),
+        secret AS (SELECT * FROM strong WHERE k <> 1 UNION ALL SELECT * FROM keys),
+        endpoint AS (SELECT * FROM place x WHERE {_linked("x", "identifier")} AND {_linked("x", "secret")}),
+        spans AS (SELECT *, ['assign', 'access', 'hex', 'key', 'endpoint'][k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x
+                  FROM (SELECT * FROM strong UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM endpoint)),
+        digest AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                   string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM spans GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN digest USING (r)""",
 }

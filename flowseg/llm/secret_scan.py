@@ -85,14 +85,19 @@ def find_parts(docs: DataFrame, text: str, base: str, weak: str) -> DataFrame:
 
 
 def _near(spans: DataFrame, others: DataFrame) -> DataFrame:
-    """Those of ``spans`` (key, s, k, e) with one of ``others`` within ``SCOPE``: an interval join by pieces."""
+    """Those of ``spans`` (key, s, k, e) with one of ``others`` within ``SCOPE``: an interval join by pieces.
+
+    Others are filed under every piece they touch, a span asks its own pieces and
+    one more on either side. In its own pieces whatever is there is near; in the
+    outer ones the last end or the first start decides. A span that covers the
+    other, or lies far inside it, is met as well.
+    """
     piece = lambda at: F.floor(at / SCOPE).cast("long")
-    ends = others.groupBy("key", piece(F.col("e")).alias("p")).agg(F.max("e").alias("last"))
-    starts = others.groupBy("key", piece(F.col("s")).alias("p")).agg(F.min("s").alias("first"))
-    before = spans.select("*", F.explode(F.sequence(piece(F.col("s")) - 1, piece(F.col("s")))).alias("p")).join(ends, ["key", "p"])
-    after = spans.select("*", F.explode(F.sequence(piece(F.col("e")), piece(F.col("e")) + 1)).alias("p")).join(starts, ["key", "p"])
-    hit = before.filter((F.col("s") - F.col("last")) <= SCOPE).select("key", "s", "k", "e").unionByName(after.filter((F.col("first") - F.col("e")) <= SCOPE).select("key", "s", "k", "e"))
-    return hit.distinct()
+    touched = F.sequence(piece(F.col("s")), piece(F.col("e")))
+    filed = others.select("key", "s", "e", F.explode(touched).alias("p")).groupBy("key", "p").agg(F.min("s").alias("first"), F.max("e").alias("last"))
+    asked = spans.select("*", F.explode(F.sequence(piece(F.col("s")) - 1, piece(F.col("e")) + 1)).alias("p"))
+    hit = asked.join(filed, ["key", "p"]).filter(((F.col("s") - F.col("last")) <= SCOPE) & ((F.col("first") - F.col("e")) <= SCOPE))
+    return hit.select("key", "s", "k", "e").distinct()
 
 
 def link(parts: DataFrame, base: str, weak: str, key: str) -> DataFrame:

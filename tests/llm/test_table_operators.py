@@ -8,12 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowseg.llm import components, exact_topk, secret_scan, sharding, simhash, warc
+from flowseg.llm import components, exact_topk, queries, secret_scan, sharding, simhash, warc
 
 DOCS = "doc_id long, text string"
 
@@ -141,6 +143,10 @@ def secret_texts():
     key, access, hexes = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AKIA" + "Q2" * 8, "0123456789abcdef" * 2
     parts = [key, access, hexes, "https://s3.example.com/x", "bucket.amazonaws.com", "password = 'hunter22'", "token: abc", "secret=token\"=abcdefgh", "API_KEY:\"a.b-c_d\"", "AKIA12", "é日𝄞 text\n", " " * 200, " word" * 60, "PASSWD=x", "apikey=" + "0f" * 15]
     texts = [None, "", key, access, access + " " + key, key + "." * 300 + access, f"{access} {key} https://a.b/c"] + ["".join(x + rng.choice(["", " ", "\n"]) for x in rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)]
+    # a span far inside a long one, and long ones that only touch at a scope's distance
+    url = "https://s3.example.com/" + "a/" * 700 + access + "/b" * 700
+    texts += [url, url + " password = hunter22", "secret=" + "x/" * 600 + ".azure.com " + access, "secret=" + "q-" * 500 + " " + access + "/https://h.example/" + "z" * 900]
+    texts += [url + " " * n + "token: abcdefgh" for n in (255, 256, 257, 700)] + [access + " " * n + key + " foo.azure.comhttp://x" for n in (255, 256, 257, 511, 512)]
     return texts
 
 
@@ -157,6 +163,30 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_sql_finds_the_same_secrets(spark):
+    """The given tables hold no weak part near an identifier, so the SQL is compared on made texts as well."""
+    frame = pd.DataFrame({"doc_id": range(len(secret_texts())), "text": secret_texts()})
+    with duckdb.connect() as con:
+        con.register("documents", frame)
+        got = con.sql(queries.ORACLES["op8_secrets"]).select("doc_id, n_assign, n_access, n_hex, base_sha256, spans").fetchall()
+    docs = spark.createDataFrame(list(frame.itertuples(index=False, name=None)), DOCS)
+    assert Counter(got) == Counter(tuple(r) for r in secret_scan.scan(docs).collect())
+
+
+@pytest.mark.parametrize("name", ["op2_warc", "op7_exact_topk", "op8_secrets"])
+def test_queries_equal_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as con:
+        for t in ("documents", "pages", "embeddings"):
+            con.sql(f"CREATE VIEW {t} AS FROM read_parquet('{folder}/{t}.parquet')")
+        want = con.sql(queries.ORACLES[name])
+        columns = sorted(want.columns)
+        want = Counter(want.select(", ".join(columns)).fetchall())
+    got = next(q for q in queries.QUERIES if q.__name__ == name)(spark, folder)
+    assert sorted(got.columns) == columns
+    assert Counter(tuple(r) for r in got.select(columns).collect()) == want
+
+
 def test_secrets_are_masked(spark):
     texts = secret_texts()
     docs = spark.createDataFrame([(i, t, -1, "s") for i, t in enumerate(texts)], DOCS + ", n_chars long, linked string").repartition(3)
