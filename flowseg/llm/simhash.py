@@ -20,6 +20,8 @@ id there is, NULL if there is none. Repeated rows get the same result each.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -38,22 +40,29 @@ _BLOCKS = [(0xFFFF << s) - (1 << 64 if s == 48 else 0) for s in (0, 16, 32, 48)]
 _PAIRS = [(i, j) for i in range(4) for j in range(i)]
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits, each set if it is set in over half of the shingles' hashes."""
+def shingles(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles, in pieces; of a shorter text, that of all its words; none of a text without words."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     k = min(width, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), _PIECE):
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _PIECE], ends[i : i + _PIECE])]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _PIECE], ends[i : i + _PIECE])], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64 bits, each set if it is set in over half of the shingles' hashes."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingles(text, width):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return sum(1 << b for b in np.flatnonzero(2 * counts > len(starts)).tolist())
+        n += len(hashes)
+    return sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist())
 
 
 def fingerprints(text: str) -> Column:
@@ -106,24 +115,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_root(firsts: DataFrame) -> DataFrame:
+def _with_root(firsts: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``firsts`` (one row a fingerprint ``f``) with the root of its class, itself if it has no link."""
-    found = components(links(firsts.select("f"))).withColumnRenamed("node", "f")
+    found = components(links(firsts.select("f")) if edges is None else edges).withColumnRenamed("node", "f")
     return firsts.join(found, "f", "left").withColumn("root", F.coalesce("root", "f"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each class of query 9."""
+    return first_of_each(docs, {"f": fingerprints("text")})
+
+
+def first_of_each(docs: DataFrame, made: dict[str, Column], edges: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """One document of each group: that with the smallest doc_id (a NULL id last), then the smallest hash of its text.
 
+    ``made`` has the number ``f`` that documents share if they are the same, and what else ``edges`` needs. ``edges``
+    gets the rows (d, m, ``made``) and the documents with their mark ``m``, and gives the links between numbers.
     Of repeated rows with that id and text, one stays. Groups are worked out on
     ids and hashes, and rows without a partner leave before the last joins; only
     the join with the rows to drop meets the texts.
     """
     key, again = fresh(docs, "_key", "_n")
     mark = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text_key(F.col("text")).alias("text"))
-    rows = materialize(docs.select(F.col("doc_id").alias("d"), mark.alias("m"), fingerprints("text").alias("f")))
+    rows = materialize(docs.select(F.col("doc_id").alias("d"), mark.alias("m"), *[c.alias(n) for n, c in made.items()]))
+    linked = edges(rows, docs.select(mark.alias("m"), "text")) if edges else None
     first = F.min(F.struct(F.col("d").isNull(), "d", "m")).alias("first")
-    roots = _with_root(materialize(rows.groupBy("f").agg(first, F.count("*").alias("n"))))
+    roots = _with_root(materialize(rows.groupBy("f").agg(first, F.count("*").alias("n"))), linked)
     groups = roots.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).filter("n > 1").select("root", "best")
     named = materialize(roots.join(groups, "root").select("f", F.col("best.m").alias("kept")))
     judged = materialize(rows.join(named, "f").select(F.col("m").alias(key), (F.col("m") == F.col("kept")).alias("stays")))

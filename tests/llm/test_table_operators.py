@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowseg.llm import components, exact_topk, queries, secret_scan, sharding, simhash, warc
+from flowseg.llm import components, exact_topk, queries, resemblance, secret_scan, sharding, simhash, warc
 
 DOCS = "doc_id long, text string"
 
@@ -309,3 +309,41 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, str(tmp_path))
         assert now.count() == 0
+
+
+def slow_shingles(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    k = min(resemblance.WIDTH, len(words))
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset()
+
+
+@pytest.mark.parametrize("file_rows", [64, 2])
+def test_near_copies_that_differ_in_many_bits_are_linked(spark, monkeypatch, file_rows):
+    monkeypatch.setattr(resemblance, "FILE_ROWS", file_rows)
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [None, "", " \t\n", "one", "One", "x y z", "x y z w"]
+    for g in range(30):
+        words = prose(rng.randint(60, 300))
+        texts.append(" ".join(words))
+        for _ in range(3):  # from near copies to what is half new
+            other = list(words)
+            for p in rng.sample(range(len(other)), g * len(other) // 600 + rng.randint(0, 2)):
+                other[p] = f"new{rng.randrange(9999)}"
+            texts.append(" ".join(other))
+    hot = prose(200)
+    texts += [" ".join(hot[:p] + ["own"] + hot[p:]) for p in range(100)]
+    sets = [slow_shingles(t) for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and alike(sets[i], sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, "one")], DOCS).withColumn("f", F.lit(1)).repartition(3)
+    kept = resemblance.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert simhash.keep_first(docs).count() > len(set(root)) + 10  # two bits of query 9 leave near copies in
+    assert resemblance.keep_first(docs.limit(0)).count() == 0
