@@ -119,8 +119,11 @@ class Matcher:
                 here = here + ((word * walk["odd"][j] + walk["add"][j]) < 0)
         return out, at
 
-    def _candidates(self, flat: np.ndarray) -> dict[int, np.ndarray]:
-        """Windows' first positions by item: those that agree in all samples of some repetition."""
+    def _candidates(self, flat: np.ndarray, begin: np.ndarray) -> dict[int, np.ndarray]:
+        """Windows' first positions by item: those that agree in all samples of some repetition.
+
+        A window starts in the text that was met: at its first word (of ``begin``) if the item has more words before.
+        """
         known, pairs = np.flatnonzero(flat), []
         for walk, first, prefixes, keys, order, offset in self.rounds:
             at = known[first[flat[known]]]
@@ -128,7 +131,8 @@ class Matcher:
             low, high = np.searchsorted(keys, found[-1]), np.searchsorted(keys, found[-1], side="right")
             times = high - low
             item = order[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
-            pairs.append(item * len(flat) + np.maximum(np.repeat(at, times) - offset[item], 0))
+            first_word = begin[np.searchsorted(begin, at, side="right") - 1]
+            pairs.append(item * len(flat) + np.maximum(np.repeat(at, times) - offset[item], np.repeat(first_word, times)))
         item, at = np.divmod(np.unique(np.concatenate(pairs)), len(flat))
         cuts = np.flatnonzero(np.diff(item)) + 1
         return {int(i[0]): p for i, p in zip(np.split(item, cuts), np.split(at, cuts)) if len(i)}
@@ -143,17 +147,17 @@ class Matcher:
             ids.extend(map(self.ids.__getitem__, words(t)))
             ids += pad  # a window never runs into the next text
             begin.append(len(ids))
-        flat = np.array(ids, dtype=np.int64)
+        flat, begins = np.array(ids, dtype=np.int64), np.array(begin)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i, at in self._candidates(flat).items():
+        for i, at in self._candidates(flat, begins).items():
             item = self.items[i][1]
             most = int(MAX_EDITS * len(item))
             different = np.unique(item)
             own = np.full(len(self.ids) + 1, len(different), dtype=np.int64)
             own[different] = np.arange(len(different))
-            doc = np.searchsorted(begin, at, side="right") - 1
-            low = np.maximum(at - most, np.array(begin)[doc])
-            high = np.minimum(at + len(item) + most, np.array(begin)[doc + 1] - self.reach)
+            doc = np.searchsorted(begins, at, side="right") - 1
+            low = np.maximum(at - most, begins[doc])
+            high = np.minimum(at + len(item) + most, begins[doc + 1] - self.reach)
             for k in range(0, len(at), 10_000):  # an edit takes one of the item's different words away at most
                 grid = low[k : k + 10_000, None] + np.arange(len(item) + 2 * most)
                 local = np.where(grid < high[k : k + 10_000, None], own[flat[np.minimum(grid, len(flat) - 1)]], len(different))

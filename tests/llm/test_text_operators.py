@@ -171,6 +171,19 @@ def test_passages_are_found_and_others_left(spark):
     assert decontaminate.passages(table.limit(0), bench).count() == 0
 
 
+def test_items_without_their_first_words_are_found_where_documents_start():
+    rng = random.Random(11)
+    items = [(i, [f"i{i}w{k}" for k in range(30)]) for i in range(40)]
+    match = decontaminate.Matcher([(i, " ".join(w)) for i, w in items])
+    for lost in (1, 2, 3):
+        texts = [" ".join(w[lost:] + [f"x{rng.randrange(99)}" for _ in range(20)]) for _, w in items]
+        hits = match(["some words before", *texts, "and after"])
+        found = [h for h in hits[1:-1] if h]
+        assert len(found) >= 0.95 * len(items) and not hits[0] and not hits[-1]
+        for (i, _), h in zip(items, hits[1:-1]):
+            assert all(x == (i, lost, 30, 0, 30 - lost) for x in h)
+
+
 def test_items_in_blocks_give_the_same(spark):
     items = [(i, " ".join(f"a{i}b{k}" for k in range(12))) for i in range(30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
