@@ -1,7 +1,8 @@
 """Licence recognition by sentences: known sentences get identifiers, sequences of identifiers are matched by rules.
 
 A text is cut twice, into sentences (single line breaks count as blanks, as in
-wrapped notices, empty lines end a sentence) and into lines (as in headers). Every unit is normalised: lower case,
+wrapped notices, empty lines end a sentence; so does a colon or semicolon, and
+sentences with one inside are known by the parts that it leaves) and into lines (as in headers). Every unit is normalised: lower case,
 runs of other characters than letters and digits become one space, and the
 many ways to say "this is released under" become one word. Known units map to
 an identifier; the others drop out of the sequence. A rule names identifiers
@@ -65,7 +66,14 @@ SENTENCES = {
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    # the same where marks cut it: after "software", and in some notices after "foundation"
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    "either version 2 of the license or at your option any later version": "version2-later",
+    "either version 3 of the license or at your option any later version": "version3-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-form",
 }
@@ -79,8 +87,12 @@ RULES = [
     ("ISC", ["isc-grant"]),
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-hope"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope"]),
+    ("GPL-3.0-or-later", ["gpl-grant", "version3-later", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl-grant", "version2-later", "gpl-hope"]),
     ("GPL-3.0-or-later", ["gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl2-later"]),
+    ("GPL-3.0-or-later", ["gpl-grant", "version3-later"]),
+    ("GPL-2.0-or-later", ["gpl-grant", "version2-later"]),
     ("Apache-2.0", ["under-Apache-2.0", "apache-use", "apache-basis"]),
     ("Apache-2.0", ["apache-use", "apache-basis"]),
     ("MPL-2.0", ["mpl2-form"]),
@@ -143,7 +155,8 @@ def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = F.lit(False)
     for m in MARKERS:
         marked = marked | F.col(low).contains(m)
-    sentences = F.split(F.col(low), r"[.!?:;][\"')\]]*\s|\n[ \t\r]*\n")
+    # "v." before a number ends no sentence
+    sentences = F.split(F.col(low), r"(?!(?<=\bv)[.]\s+[0-9])[.!?:;][\"')\]]*\s|\n[ \t\r]*\n")
     lines = F.split(F.col(low), r"[\r\n]+")
     return (
         docs.withColumn(low, F.lower(F.coalesce(F.col(text), F.lit(""))))

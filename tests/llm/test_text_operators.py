@@ -231,3 +231,52 @@ def test_licences(spark):
     clash = spark.createDataFrame([(1, "Released under the MIT License.")], DOCS).withColumn("_low", F.lit(1))
     assert licences.recognise(clash).select("_low", "licences").first()["licences"] == ["MIT"]
     assert all(any(m in k for m in licences.MARKERS) for k in licences.known_units())
+
+
+GPL = """    This program is free software{a} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{b} either version {v} of the License, or
+    (at your option) any later version.
+"""
+HOPE = """
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v.{gap}{v}. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/{v}/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions."""
+
+
+def test_wrapped_notices_of_every_rule(spark):
+    cases = {}
+    for v in (2, 3):
+        for a in ";:":
+            for b in ";,":
+                grant = GPL.format(a=a, b=b, v=v)
+                cases[grant] = cases["Intro.\n\n" + grant + HOPE] = f"GPL-{v}.0-or-later"
+    cases |= {GPL.format(a=";", b=";", v=4) + HOPE: "", HOPE: "", GPL.format(a=";", b=";", v=2).replace("General", "Lesser General"): ""}
+    cases |= {MPL.format(gap=" ", v="2.0"): "MPL-2.0", MPL.format(gap="\n", v="2.0"): "MPL-2.0", MPL.format(gap=" ", v="1.1"): ""}
+    cases |= {ISC: "ISC", APACHE: "Apache-2.0", MIT: "MIT", BSD2: "BSD-2-Clause", BSD3: "BSD-3-Clause"}
+    cases["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it."] = "Unlicense"
+    for v in sorted(set(licences.NAMES.values())):
+        name = next(n for n, w in licences.NAMES.items() if w == v)
+        cases[f"Some text. This work is\nlicensed under the {name}.\nMore text."] = v
+    for v in licences.SPDX:
+        cases[f"/* SPDX-License-Identifier: {v} */\ncode"] = v
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(cases)), DOCS)).collect()}
+    assert got == dict(enumerate(cases.values()))
