@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowseg.llm import byte_bpe, decontaminate, exact_topk, katz, language_id, licences, secret_scan, sharding, simhash, warc
+from flowseg.llm import (
+    byte_bpe,
+    decontaminate,
+    divergence,
+    exact_topk,
+    hard_negatives,
+    katz,
+    language_id,
+    licences,
+    secret_scan,
+    sharding,
+    simhash,
+    stable_search,
+    warc,
+)
 from flowseg.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -69,6 +83,24 @@ def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_documents(table(spark, folder, "documents"))
 
 
+def op11_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th."""
+    vectors = stable_search.usable_vectors(table(spark, folder, "embeddings"))
+    return stable_search.nearest(stable_search.build_index(vectors), vectors.filter("vec_id % 20 = 0"), 20)
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every 50th vector's positives; every 7th label is one too high."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled_vectors(table(spark, folder, "embeddings"), label)
+    return hard_negatives.mine(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of sources and of their terms."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES = [
     op1_decontamination,
     op2_warc,
@@ -80,6 +112,9 @@ QUERIES = [
     op8_secrets,
     op9_simhash,
     op10_katz,
+    op11_ann,
+    op12_hard_negatives,
+    op13_divergence,
 ]
 
 #: A pattern whose letters match in either case.
@@ -119,6 +154,41 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v o ON q.vec_id % 50 = 0 AND q.vec_id <> o.vec_id AND len(q.vec) = len(o.vec)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": """
+        WITH x AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+        v AS (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(256 * c) AS BIGINT) for c in e] AS vec
+              FROM x WHERE len([c for c in e if c IS NULL OR NOT isfinite(c)]) = 0),
+        s AS (SELECT a.r, a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_sum([z[1] * z[2] for z in list_zip(a.vec, o.vec)]) AS BIGINT) AS score
+              FROM v a JOIN v o ON a.vec_id % 50 = 0 AND a.vec_id <> o.vec_id AND len(a.vec) = len(o.vec)),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+        w AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+              FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 3""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        o AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY ALL),
+        size AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(size.n, 0) + v.v)::HUGEINT AS p,
+                     1 + (1000000000 * (k.n + 1)::HUGEINT) // (v.n + v.v)::HUGEINT AS whole
+              FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+              LEFT JOIN size ON size.lang = g.lang AND size.source = g.source),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST((p - whole) * (p - whole) // whole AS BIGINT) FROM p WHERE n > 0 AND p > whole),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""".replace("\\\\", "\\"),
     "op8_secrets": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         assigned AS (SELECT * FROM {_placed("docs", _ASSIGN)}),
