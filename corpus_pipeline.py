@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowseg.functions.columns import quoted
 from flowseg.functions.tables import materialize
-from flowseg.llm import byte_bpe, decontaminate, language_id, resemblance, secret_scan
+from flowseg.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash
 from flowseg.llm.common import fresh, table
 
 
@@ -17,8 +18,8 @@ def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group."""
-    return resemblance.keep_first(docs)
+    """One document of every group of query 9: fingerprints of 3-word shingles, linked at 2 or fewer differing bits."""
+    return simhash.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "decoded_sha256": F.sha2(F.col(f"{bpe}.decoded").cast("binary"), 256),
     }
     names = fresh(docs, *added)
-    return coded.select(*docs.columns, *[column.alias(name) for name, column in zip(names, added.values())])
+    return coded.select(*[quoted(c) for c in docs.columns], *[column.alias(name) for name, column in zip(names, added.values())])
 
 
 STAGES = [
