@@ -13,36 +13,41 @@ rejection.
 Edge cases: a NULL, empty or letterless text is ``und`` with score 0 and is
 rejected. Equal sizes go to the language first in the alphabet, with margin 0.
 Without any labelled text every document is ``und``. A single learned
-language has score 1. A NULL doc_id counts as not held out.
+language has score 1. A NULL doc_id counts as not held out. Very long texts are
+judged whole, block by block. More than ``MAX_LANGUAGES`` languages to learn are an
+error, since every text is compressed once for each. An empty table gives no rows,
+repeated rows the same result each, and columns with clashing names are kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowseg.functions.columns import quoted
 from flowseg.llm.common import fresh, id_remainder
 
 DICTIONARY_BYTES = 112_640  #: bound of the sample that is learned from, in bytes a language
 MAX_LANGUAGES = 1_000
 PIECE_BYTES = 1_000  #: of one text at most, from its middle, so that the sample is varied
+MIDDLE = 8 * PIECE_BYTES  #: characters of a text, from its middle, that the piece is taken from
 BLOCK_BYTES = 512
 LEVEL = 12
 MOST = 0.15
 MIN_MARGIN = 0.05
 HELD_OUT = (4, 2)
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case letters; every other run becomes one space. Empty if there is no letter."""
+    """Lower-case letters with their combining marks; every other run becomes one space. Empty if there is no letter."""
     kept = _OTHER.sub(" ", (text or "").lower()).strip()
     return kept.encode() if any(c.isalpha() for c in kept) else b""
 
@@ -57,7 +62,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
 
     The sample is drawn by the hash of the text: rows below a cut of the hash
     range, whose width follows from the number of different texts, are ranked
-    by it. Only these few rows are shuffled, and at most the sample reaches the driver.
+    by it. Only these few rows are shuffled, each cut to ``MIDDLE`` characters first, and
+    at most the sample reaches the driver.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
@@ -75,8 +81,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
     for r in found:  # eight times the rows that should be needed
         share = 8 * (DICTIONARY_BYTES / min(PIECE_BYTES, max(r["mean"], 1)) + 25) / r["n"]
         cut = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, share))).otherwise(cut)
-    few = rows.filter((drawn / F.lit(2.0**64) + 0.5) <= cut).dropDuplicates()
-    before = F.sum(F.least(F.length("text"), F.lit(PIECE_BYTES))).over(W.partitionBy("lang").orderBy(drawn, "text").rowsBetween(W.unboundedPreceding, -1))
+    middle = F.greatest(F.lit(0), F.floor((F.length("text") - MIDDLE) / 2)).cast("int") + 1
+    chosen = rows.filter((drawn / F.lit(2.0**64) + 0.5) <= cut).withColumn("drawn", drawn)
+    few = chosen.withColumn("text", F.substr("text", middle, F.lit(MIDDLE))).dropDuplicates()
+    before = F.sum(F.least(F.length("text"), F.lit(PIECE_BYTES))).over(W.partitionBy("lang").orderBy("drawn", "text").rowsBetween(W.unboundedPreceding, -1))
     sample = few.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * DICTIONARY_BYTES)
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in sample.collect():
@@ -147,6 +155,6 @@ def keep_accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is clear, with their columns as they are."""
     dictionaries = learn(docs.filter(~held_out(F.col("doc_id"))))
     (work,) = fresh(docs, "_text")
-    names = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias(work))
+    names = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), F.col("text").alias(work))
     return classify(rows, dictionaries, work).filter("accepted").select(*names)

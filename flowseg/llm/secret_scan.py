@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowseg.functions.columns import quoted
 from flowseg.functions.tables import materialize
 from flowseg.llm.common import fresh, text_key
 
@@ -37,7 +38,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
-ENDPOINT = r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:[.][a-z0-9-]+)*[.](?:amazonaws|azure|googleapis)[.]com"""
+ENDPOINT = r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-][a-z0-9.-]*[.](?:amazonaws|azure|googleapis)[.]com"""  # where no two dots are next to each other
 KINDS = ["assign", "access", "hex", "key", "endpoint"]
 _SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
@@ -74,13 +75,15 @@ def find_parts(docs: DataFrame, text: str, base: str, weak: str) -> DataFrame:
     words = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(_SPAN)
 
-    def some(pattern: str, kind: int, least: int = 0) -> Column:
-        return F.when(words.rlike(pattern), _spans(words, pattern, kind, least)).otherwise(none)
+    def some(pattern: str, kind: int, least: int = 0, on: Column = words) -> Column:
+        return F.when(on.rlike(pattern), _spans(on, pattern, kind, least)).otherwise(none)
 
+    # a host's labels are never empty: two dots end it, as capital letters do, which keeps its pattern free of groups that repeat
+    whole = F.replace(words, F.lit(".."), F.lit("AA"))
     return docs.withColumn(base, F.array_sort(F.concat(some(ASSIGN, 0, 6), some(ACCESS, 1), some(HEX, 2)))).withColumn(
         # an identifier makes weak parts worth finding: neither kind is reported without one
         weak,
-        F.when(F.exists(base, lambda s: s["k"] == 1), F.array_sort(F.concat(some(KEY, 3), some(ENDPOINT, 4)))).otherwise(none),
+        F.when(F.exists(base, lambda s: s["k"] == 1), F.array_sort(F.concat(some(KEY, 3), some(ENDPOINT, 4, on=whole)))).otherwise(none),
     )
 
 
@@ -161,4 +164,4 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     out = joined.withColumn("text", F.when(F.size(base) > 0, masked(F.col("text"), spans)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(base) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[quoted(c) for c in docs.columns])

@@ -20,7 +20,7 @@ id there is, NULL if there is none. Repeated rows get the same result each.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowseg.functions.columns import quoted
 from flowseg.functions.tables import materialize
 from flowseg.llm.common import fresh, text_key
 from flowseg.llm.components import components
@@ -115,32 +116,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_root(firsts: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def _with_root(firsts: DataFrame) -> DataFrame:
     """``firsts`` (one row a fingerprint ``f``) with the root of its class, itself if it has no link."""
-    found = components(links(firsts.select("f")) if edges is None else edges).withColumnRenamed("node", "f")
+    found = components(links(firsts.select("f"))).withColumnRenamed("node", "f")
     return firsts.join(found, "f", "left").withColumn("root", F.coalesce("root", "f"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class of query 9."""
-    return first_of_each(docs, {"f": fingerprints("text")})
+    """One document of each class: that with the smallest doc_id (a NULL id last), then the smallest hash of its text.
 
-
-def first_of_each(docs: DataFrame, made: dict[str, Column], edges: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One document of each group: that with the smallest doc_id (a NULL id last), then the smallest hash of its text.
-
-    ``made`` has the number ``f`` that documents share if they are the same, and what else ``edges`` needs. ``edges``
-    gets the rows (d, m, ``made``) and the documents with their mark ``m``, and gives the links between numbers.
     Of repeated rows with that id and text, one stays. Groups are worked out on
     ids and hashes, and rows without a partner leave before the last joins; only
     the join with the rows to drop meets the texts.
     """
     key, again = fresh(docs, "_key", "_n")
     mark = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text_key(F.col("text")).alias("text"))
-    rows = materialize(docs.select(F.col("doc_id").alias("d"), mark.alias("m"), *[c.alias(n) for n, c in made.items()]))
-    linked = edges(rows, docs.select(mark.alias("m"), "text")) if edges else None
+    rows = materialize(docs.select(F.col("doc_id").alias("d"), mark.alias("m"), fingerprints("text").alias("f")))
     first = F.min(F.struct(F.col("d").isNull(), "d", "m")).alias("first")
-    roots = _with_root(materialize(rows.groupBy("f").agg(first, F.count("*").alias("n"))), linked)
+    roots = _with_root(materialize(rows.groupBy("f").agg(first, F.count("*").alias("n"))))
     groups = roots.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).filter("n > 1").select("root", "best")
     named = materialize(roots.join(groups, "root").select("f", F.col("best.m").alias("kept")))
     judged = materialize(rows.join(named, "f").select(F.col("m").alias(key), (F.col("m") == F.col("kept")).alias("stays")))
@@ -149,4 +142,4 @@ def first_of_each(docs: DataFrame, made: dict[str, Column], edges: Callable[[Dat
     repeated = materialize(judged.filter("stays").groupBy(key).agg(F.count("*").alias(again)).filter(F.col(again) > 1).select(key))
     if not repeated.isEmpty():
         out = out.join(repeated, key, "left_anti").unionByName(out.join(repeated, key, "left_semi").dropDuplicates([key]))
-    return out.select(*docs.columns)
+    return out.select(*[quoted(c) for c in docs.columns])

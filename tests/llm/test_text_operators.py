@@ -280,3 +280,7 @@ def test_wrapped_notices_of_every_rule(spark):
         cases[f"/* SPDX-License-Identifier: {v} */\ncode"] = v
     got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(cases)), DOCS)).collect()}
     assert got == dict(enumerate(cases.values()))
+
+
+def test_combining_marks_belong_to_words():
+    assert language_id.letters("हिन्दी, 12 भाषा!").decode() == "हिन्दी भाषा"
