@@ -138,7 +138,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     named = materialize(roots.join(groups, "root").select("f", F.col("best.m").alias("kept")))
     judged = materialize(rows.join(named, "f").select(F.col("m").alias(key), (F.col("m") == F.col("kept")).alias("stays")))
     keyed = docs.withColumn(key, mark)
-    out = keyed.join(judged.filter("NOT stays").select(key), key, "left_anti")
+    # the rows to drop grow with the input: the same join at every size, texts dealt once by their key
+    out = keyed.join(judged.filter("NOT stays").select(key).hint("merge"), key, "left_anti")
     repeated = materialize(judged.filter("stays").groupBy(key).agg(F.count("*").alias(again)).filter(F.col(again) > 1).select(key))
     if not repeated.isEmpty():
         out = out.join(repeated, key, "left_anti").unionByName(out.join(repeated, key, "left_semi").dropDuplicates([key]))
