@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from flowseg.functions.columns import as_double_array, quoted
 from flowseg.functions.tables import is_small, lookup_join, materialize, with_row_index
+from flowseg.operators.blocks import BLOCK
+from flowseg.operators.neighbours import nearest_distances
 from flowseg.operators.ordering import visiting_order
-from flowseg.operators.spanning import BLOCK, TASK_ROWS, candidate_edges, distinct_vectors, spanning_tree
+from flowseg.operators.spanning import TASK_ROWS, distinct_vectors, spanning_tree
 from flowseg.operators.xi import PLOT_BLOCK, xi_labels
 from flowseg.specs import OPTICS_MIN_SAMPLES, OPTICS_XI
 
@@ -43,12 +45,11 @@ def _restore_groups(df: DataFrame, source: DataFrame, group_cols: Sequence[str])
     return parsed.select(*[F.col("_g").getField(c).alias(c) for c in group_cols], *rest)
 
 
-def _tree(points: DataFrame, block: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors and their minimum spanning tree."""
+def _nodes(points: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct vectors and their length."""
     nodes = distinct_vectors(points)
     first = nodes.select(F.size("arr").alias("d")).first()
-    edges, is_tree = candidate_edges(nodes, first["d"] if first else 0, block)
-    return nodes, edges if is_tree else spanning_tree(edges, rows)
+    return nodes, first["d"] if first else 0
 
 
 def _plot(points: DataFrame, block: int, rows: int) -> DataFrame:
@@ -56,7 +57,8 @@ def _plot(points: DataFrame, block: int, rows: int) -> DataFrame:
 
     Copies of a vector follow its first visit at distance 0, in order of id.
     """
-    nodes, edges = _tree(points, block, rows)
+    nodes, dims = _nodes(points)
+    edges = spanning_tree(nodes, dims, block, rows)
     order = visiting_order(nodes.select("g", "node", "mult"), edges, rows)
     placed = materialize(
         order.join(nodes, ["g", "node"]).select(F.struct("g", "arr").alias("k"), "node", "mult", "pos", "w", "pred")
@@ -109,16 +111,11 @@ def core_distance(
     vector: str,
     group_cols: Sequence[str] = (),
     block: int = BLOCK,
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """``(group..., id, core_distance)``: distance to the nearest other point, NULL where there is none.
-
-    The lightest edge at a node of a minimum spanning tree leads to a nearest neighbour.
-    """
+    """``(group..., id, core_distance)``: distance to the nearest other point, NULL where there is none."""
     points = _points(df, id_col, vector, group_cols)
-    nodes, edges = _tree(points, block, task_rows)
-    ends = edges.select("g", F.explode(F.array("a", "b")).alias("node"), "w")
-    nearest = ends.groupBy("g", "node").agg(F.min("w").alias("w"))
+    nodes, dims = _nodes(points)
+    nearest = nearest_distances(nodes, dims, block)
     known = materialize(
         nodes.join(nearest, ["g", "node"], "left").select(
             F.struct("g", "arr").alias("k"), "mult",

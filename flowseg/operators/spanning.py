@@ -3,13 +3,21 @@
 Edges are compared by (weight, smaller node, larger node). That order is total,
 so the tree is unique and every step below is deterministic.
 
-Space is cut along the widest coordinate, again and again, into blocks of
-bounded size. Every edge of the tree is also an edge of the tree of the two
-blocks that hold its ends, so the trees of single blocks and of block pairs
-together contain it. A block pair matters only if its bounding boxes are no
-farther apart than the heaviest edge of a spanning tree already known; the
-others are never formed. Tasks hold two blocks at a time and emit tree edges
-only.
+Groups that fit one task are done there. Larger ones go by dual-tree Boruvka over
+the tree of cuts (``blocks``):
+
+1. In its task, a block contracts what it can answer for: a component whose
+   lightest edge inside the block is shorter than its way to the region's faces
+   takes that edge, since nothing outside the block is as near.
+2. In rounds, each component takes its lightest edge to another one. What is left
+   of the blocks' own trees, and of trees across neighbouring blocks, bounds it:
+   every component has its own radius. Only blocks within that radius that hold
+   other components are asked, and two blocks meet with the vectors that lie
+   within it alone. Components that took edges merge.
+
+An outlier widens its own component's radius and that of the rest, whose blocks
+then ask for the outlier's block only, since nodes of one component are passed
+over. So block pairs follow from what is near, about in proportion to the blocks.
 """
 
 from __future__ import annotations
@@ -20,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowseg.functions.tables import follow_pointers, materialize, with_row_index
+from flowseg.operators.blocks import BLOCK, Blocks, boxes, cut_space, lightest_across, tasks, visits
 
-BLOCK = 2048  # vectors per block
 TASK_ROWS = 500_000  # edges or nodes that one task may hold
 EDGE_SCHEMA = "g string, a long, b long, w double"
-_PAIR_SCHEMA = "g string, p long, q long, a long, b long, w double"
-_CUTS = [k / 8 for k in range(1, 8)]
+_LOCAL_SCHEMA = "g string, blk long, node long, arr array<double>, c long, ext double, a long, b long, w double, taken boolean"
+_CHAIN_SCHEMA = "g string, a long, b long, w double"
 
 
 def distinct_vectors(points: DataFrame) -> DataFrame:
@@ -77,223 +85,163 @@ def _within(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _between(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges between two blocks that belong to their common tree."""
+    """Edges between two neighbouring blocks that belong to their common tree."""
     pdf = pdf.sort_values("node", ignore_index=True)
     nodes, blocks = pdf["node"].to_numpy(), pdf["blk"].to_numpy()
     i, j, w = _tree(np.stack(pdf["arr"].to_numpy()))
     across = blocks[i] != blocks[j]
     i, j, w = i[across], j[across], w[across]
-    out = pd.DataFrame({"a": nodes[np.minimum(i, j)], "b": nodes[np.maximum(i, j)], "w": w})
-    for at, name in enumerate(["g", "p", "q"]):
-        out.insert(at, name, pdf[name].iloc[0])
-    return out
+    return pd.DataFrame({"g": pdf["g"].iloc[0], "a": nodes[np.minimum(i, j)], "b": nodes[np.maximum(i, j)], "w": w}, columns=["g", "a", "b", "w"])
 
 
-def _tasks(df: DataFrame, groups: int) -> int:
-    """Partitions for CPU-heavy groups: about one group each, within reason for the cluster."""
-    return max(1, min(groups, 8 * df.sparkSession.sparkContext.defaultParallelism))
+def _roots(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """The smallest member of the component of each of ``n`` nodes."""
+    root = list(range(n))
 
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
 
-def _boxes(cells: DataFrame, dims: int, *keys: str) -> DataFrame:
-    """Number of vectors and bounding box per cell."""
-    return cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(F.col("arr")[k]) for k in range(dims)]).alias("low"),
-        F.array(*[F.max(F.col("arr")[k]) for k in range(dims)]).alias("high"),
-    )
+    for u, v in pairs:
+        u, v = find(u), find(v)
+        root[max(u, v)] = min(u, v)
+    return np.array([find(v) for v in range(n)], dtype=np.int64)
 
 
-def space_blocks(nodes: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
-    """``(g, node, arr, blk)`` with at most ``block`` vectors per block of a group.
+def _contracted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's vectors with their components, its tree's edges with whether they are taken, side by side.
 
-    Cells that are too large are cut into up to eight slices along their widest
-    coordinate, at approximate quantiles; distinct vectors always leave one to
-    cut. Block numbers follow the order of the cuts, so neighbours in number are
-    neighbours in space.
+    ``ext`` is the least way of a vector out of the block's region.
     """
-    cells = nodes.select("g", "node", "arr", F.lit("").alias("cell"))
-    while True:
-        boxes = _boxes(cells, dims, "g", "cell").filter(F.col("n") > block)
-        spreads = F.zip_with("high", "low", lambda h, l: h - l)
-        # at most (all vectors / block) cells are too large
-        large = materialize(
-            boxes.withColumn("axis", F.array_position(spreads, F.array_max(spreads)).cast("int") - 1).select(
-                "g", "cell", "n", "axis", F.get("low", F.col("axis")).alias("lo"), F.get("high", F.col("axis")).alias("hi")
-            )
-        )
-        if large.isEmpty():
+    pdf = pdf.sort_values("node", ignore_index=True)
+    nodes, x = pdf["node"].to_numpy(), np.stack(pdf["arr"].to_numpy())
+    ext = np.minimum(x - np.asarray(pdf["rlow"].iloc[0]), np.asarray(pdf["rhigh"].iloc[0]) - x).min(axis=1)
+    i, j, w = _tree(x)
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    order = np.lexsort((j, i, w))
+    i, j, w = i[order], j[order], w[order]
+    m, comp, taken = len(w), np.arange(len(nodes)), np.zeros(len(w), dtype=bool)
+    while m:
+        reach = np.full(len(nodes), np.inf)
+        np.minimum.at(reach, comp, ext)
+        first = np.full(len(nodes), m)
+        alive = np.flatnonzero(comp[i] != comp[j])  # edges in order, so their places rank them
+        np.minimum.at(first, comp[i[alive]], alive)
+        np.minimum.at(first, comp[j[alive]], alive)
+        known = np.flatnonzero(first < m)
+        sure = np.unique(first[known[w[first[known]] < reach[known]]])
+        if not len(sure):
             break
-        cells = materialize(cells)
-        coordinate = F.get("arr", F.col("axis"))
-        quantiles = (
-            cells.join(F.broadcast(large), ["g", "cell"])
-            .groupBy("g", "cell")
-            .agg(F.percentile_approx(coordinate, _CUTS).alias("marks"))
-        )
-        # two, four or eight slices; where all marks equal the top value, the middle of the range
-        marks = (
-            F.when(F.col("n") <= 2 * block, F.array(F.get("marks", F.lit(3))))
-            .when(F.col("n") <= 4 * block, F.array(*[F.get("marks", F.lit(k)) for k in (1, 3, 5)]))
-            .otherwise(F.col("marks"))
-        )
-        inner = F.filter(F.array_distinct(marks), lambda m: m < F.col("hi"))
-        middle = (F.col("lo") + F.col("hi")) / 2
-        cuts = large.join(quantiles, ["g", "cell"]).select(
-            "g", "cell", "axis",
-            F.when(F.size(inner) > 0, inner)
-            .otherwise(F.array(F.when(middle < F.col("hi"), middle).otherwise(F.col("lo"))))
-            .alias("cuts"),
-        )
-        slices = F.size(F.filter("cuts", lambda c: c < F.get("arr", F.col("axis"))))
-        cells = materialize(
-            cells.join(F.broadcast(materialize(cuts)), ["g", "cell"], "left").select(
-                "g", "node", "arr", F.concat("cell", F.coalesce(slices.cast("string"), F.lit(""))).alias("cell")
-            )
-        )
-    names = with_row_index(cells.select("g", "cell").distinct(), "g", "cell", name="blk")
-    return materialize(cells.join(names, ["g", "cell"]).drop("cell"))
-
-
-def _pair_edges(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Tree edges across each block pair ``(g, p, q)``.
-
-    Where the pairs come with their boxes and a bound, vectors farther than that
-    from the other box stay behind: no edge of theirs to it can be in the tree.
-    """
-    pairs = materialize(pairs)
-    n = _tasks(blocks, pairs.count())
-    if "bound" in pairs.columns:
-        sides = F.array(
-            F.struct(F.col("p").alias("blk"), F.col("low_q").alias("low"), F.col("high_q").alias("high")),
-            F.struct(F.col("q").alias("blk"), F.col("low_p").alias("low"), F.col("high_p").alias("high")),
-        )
-        away = F.greatest(
-            F.array_max(F.zip_with("low", "arr", lambda l, x: l - x)),
-            F.array_max(F.zip_with("arr", "high", lambda x, h: x - h)),
-        )
-        members = (
-            pairs.select("g", "p", "q", "bound", F.explode(sides).alias("s"))
-            .select("g", "p", "q", "bound", "s.*")
-            .join(blocks, ["g", "blk"])
-            .filter(away <= F.col("bound"))
-            .select("g", "p", "q", "blk", "node", "arr")
-        )
-    else:
-        members = pairs.withColumn("blk", F.explode(F.array("p", "q"))).join(blocks, ["g", "blk"])
-    return members.repartition(n, "g", "p", "q").groupBy("g", "p", "q").applyInPandas(_between, _PAIR_SCHEMA)
-
-
-def _close_pairs(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Block pairs, not neighbours in number, whose boxes are within the group's bound.
-
-    A band join on the first coordinate, with bands as wide as the bound: a block
-    lists the bands it touches, the other also those just before it. A pair is
-    kept in the later of their first common bands only. The points of a block
-    are linked by edges within the bound, so it touches few bands.
-    """
-    width = F.greatest("bound", F.lit(np.finfo(float).tiny))
-    first = F.floor(F.col("low")[0] / width).cast("long")
-    last = F.floor(F.col("high")[0] / width).cast("long")
-    banded = boxes.join(bounds, "g").withColumn("first", first).withColumn("last", last)
-    left = banded.select(
-        "g", F.col("blk").alias("p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"), "bound",
-        (F.col("first") - 1).alias("first_p"), F.explode(F.expr("sequence(first - 1, last + 1)")).alias("band"),
-    )
-    right = banded.select(
-        "g", F.col("blk").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q"),
-        F.col("first").alias("first_q"), F.explode(F.expr("sequence(first, last)")).alias("band"),
+        taken[sure] = True
+        comp = _roots(len(nodes), list(zip(comp[i[sure]].tolist(), comp[j[sure]].tolist())))[comp]
+    out = pdf[["g", "blk", "node", "arr"]].assign(c=nodes[comp], ext=ext)
+    edges = pd.DataFrame({"a": pd.array(nodes[i], dtype="Int64"), "b": pd.array(nodes[j], dtype="Int64"), "w": w, "taken": pd.array(taken, dtype="boolean")})
+    return pd.concat([out, edges], axis=1)[[c.split()[0] for c in _LOCAL_SCHEMA.split(", ")]]
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components (c, root) of a group's picks (c, to)."""
+    names, flat = np.unique(pdf[["c", "to"]].to_numpy().ravel(), return_inverse=True)
+    roots = _roots(len(names), list(map(tuple, flat.reshape(-1, 2).tolist())))
+    return pd.DataFrame({"g": pdf["g"].iloc[0], "c": names, "root": names[roots]}, columns=["g", "c", "root"])
+
+
+def _merge(picks: DataFrame, rows: int) -> DataFrame:
+    """(g, c, root) for every component; groups of up to ``rows`` picks in a task, larger ones by pointers."""
+    if picks.groupBy("g").count().filter(F.col("count") > rows).isEmpty():
+        return materialize(picks.select("g", "c", "to").groupBy("g").applyInPandas(_merged, "g string, c long, root long"))
+    # two components that picked the same edge would point at each other: the smaller is the root
+    back = picks.select("g", F.col("c").alias("to"), F.col("to").alias("back"))
+    pointers = picks.join(back, ["g", "to"]).select(
+        "g", "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root")
     )
-    gap = F.array_max(
-        F.zip_with(
-            F.zip_with("low_q", "high_p", lambda l, h: l - h),
-            F.zip_with("low_p", "high_q", lambda l, h: l - h),
-            lambda s, t: F.greatest(s, t),
-        )
-    )
-    return (
-        left.join(right, ["g", "band"])
-        .filter((F.col("q") > F.col("p") + 1) & (F.col("band") == F.greatest("first_p", "first_q")) & (gap <= F.col("bound")))
-        .select("g", "p", "q", "bound", "low_p", "high_p", "low_q", "high_q")
+    return follow_pointers(materialize(pointers), ["g"], "c", "root")
+
+
+def _relabelled(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges between the merged components, the lightest of each pair."""
+    at_a = roots.select("g", F.col("c").alias("ca"), F.col("root").alias("ra"))
+    at_b = roots.select("g", F.col("c").alias("cb"), F.col("root").alias("rb"))
+    return materialize(
+        live.join(at_a, ["g", "ca"])
+        .join(at_b, ["g", "cb"])
+        .filter(F.col("ra") != F.col("rb"))
+        .groupBy("g", F.least("ra", "rb").alias("ca"), F.greatest("ra", "rb").alias("cb"))
+        .agg(F.min(F.struct("w", "a", "b")).alias("e"))
+        .select("g", "e.a", "e.b", "e.w", "ca", "cb")
     )
 
 
-def candidate_edges(nodes: DataFrame, dims: int, block: int = BLOCK) -> tuple[DataFrame, bool]:
-    """Edges that contain the minimum spanning tree of every group; True if they are the tree."""
-    groups, most = nodes.groupBy("g").count().agg(F.count(F.lit(1)), F.max("count")).first()
-    if not most or most <= block:
-        whole = nodes.select("g", "node", "arr").repartition(_tasks(nodes, groups), "g")
-        return materialize(whole.groupBy("g").applyInPandas(_within, EDGE_SCHEMA)), True
+def _ends(edges: DataFrame) -> DataFrame:
+    """Every edge from both of its components: (g, c, w, a, b, to)."""
+    one = edges.select("g", F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("to"))
+    return one.unionByName(edges.select("g", F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("to")))
 
-    blocks = space_blocks(nodes, dims, block)
-    boxes = materialize(_boxes(blocks, dims, "g", "blk"))
-    local = blocks.repartition(_tasks(blocks, boxes.count()), "g", "blk").groupBy("g", "blk").applyInPandas(_within, EDGE_SCHEMA)
-    local = materialize(local)
-    nearby = boxes.select("g", F.col("blk").alias("p"), (F.col("blk") + 1).alias("q")).join(
-        boxes.select("g", F.col("blk").alias("q")), ["g", "q"], "left_semi"
-    )
-    chain = materialize(_pair_edges(blocks, nearby.select("g", "p", "q")))
-    # the local trees and the lightest edge between neighbours span each group
-    links = chain.groupBy("g", "p", "q").agg(F.min("w").alias("w"))
-    bounds = local.select("g", "w").unionByName(links.select("g", "w")).groupBy("g").agg(F.max("w").alias("bound"))
-    far = _pair_edges(blocks, _close_pairs(boxes, materialize(bounds)))
-    return materialize(local.unionByName(chain.drop("p", "q")).unionByName(far.drop("p", "q"))), False
 
+def _labelled_tree(blocks: Blocks, vectors: DataFrame) -> DataFrame:
+    """The tree of cuts with the component of nodes that hold one only."""
+    held = vectors.groupBy("g", "blk").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    above = blocks.regions.select("g", "blk", "cell").join(held, ["g", "blk"]).groupBy("g", "cell")
+    pure = above.agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least = most").select("g", "cell", F.col("least").alias("pure"))
+    return materialize(blocks.tree.join(pure, ["g", "cell"], "left"))
 
-def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Tree edges among contracted components ``ca``/``cb``, small groups only."""
-    pdf = pdf.sort_values(["w", "a", "b"], ignore_index=True)
-    names, flat = np.unique(pdf[["ca", "cb"]].to_numpy().ravel(), return_inverse=True)
-    pairs = flat.reshape(-1, 2).tolist()
-    root = list(range(len(names)))
 
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    keep = []
-    for row, (u, v) in enumerate(pairs):
-        u, v = find(u), find(v)
-        if u != v:
-            root[v] = u
-            keep.append(row)
-    return pdf.iloc[keep][["g", "a", "b", "w"]]
+def _block_trees(nodes: DataFrame, dims: int, block: int, rows: int, formed: list[int] | None) -> DataFrame:
+    blocks = cut_space(nodes, dims, block)
+    n = tasks(nodes, 1 << 20)
+    regions = blocks.regions.join(blocks.tree.filter("blk IS NOT NULL").select("g", "cell"), ["g", "cell"]).select("g", "blk", "rlow", "rhigh")
+    local = blocks.vectors.join(regions, ["g", "blk"]).repartition(n, "g", "blk").groupBy("g", "blk").applyInPandas(_contracted, _LOCAL_SCHEMA)
+    local = materialize(local)
+    vectors = local.select("g", "blk", "node", "arr", "c", "ext")
+    found = [local.filter("taken").select("g", "a", "b", "w")]
+    # neighbours in number, also over blocks' ends, so that the edges known at the start span each group
+    numbers = blocks.vectors.select("g", "blk").distinct()
+    nearby = numbers.select("g", F.col("blk").alias("p"), (F.col("blk") + 1).alias("q")).join(numbers.select("g", F.col("blk").alias("q")), ["g", "q"], "left_semi")
+    sides = nearby.withColumn("blk", F.explode(F.array("p", "q"))).join(blocks.vectors, ["g", "blk"])
+    chain = materialize(sides.repartition(n, "g", "p", "q").groupBy("g", "p", "q").applyInPandas(_between, _CHAIN_SCHEMA))
+    known = local.filter("NOT taken").select("g", "a", "b", "w").unionByName(chain)
+    label = vectors.select("g", "node", "c")
+    live = known.join(label.select("g", F.col("node").alias("a"), F.col("c").alias("ca")), ["g", "a"]).join(
+        label.select("g", F.col("node").alias("b"), F.col("c").alias("cb")), ["g", "b"]
+    )
+    live = materialize(live.filter("ca != cb"))
+    while not live.isEmpty():
+        best = materialize(_ends(live).groupBy("g", "c").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")))
+        # a component asks from each of its blocks, if its bound leads out of the region
+        parts = boxes(vectors, dims, "g", "blk", "c").join(vectors.groupBy("g", "blk", "c").agg(F.min("ext").alias("ext")), ["g", "blk", "c"])
+        bounds = best.select("g", "c", F.col("e.w").alias("bound"))
+        queries = parts.join(bounds, ["g", "c"]).filter(F.col("ext") <= F.col("bound"))
+        queries = queries.select("g", F.col("blk").alias("p"), "c", "bound", "low", "high")
+        near = visits(blocks, queries, _labelled_tree(blocks, vectors))
+        if formed is not None:
+            formed.append(near.select("g", "p", "q").distinct().count())
+        across = lightest_across(vectors, near, dims)
+        label = vectors.select("g", "node", "c")
+        owner = label.select("g", F.col("node").alias("a"), F.col("c").alias("ca"))
+        other = label.select("g", F.col("node").alias("b"), F.col("c").alias("cb"))
+        met = materialize(across.select("g", "a", "b", "w").distinct().join(owner, ["g", "a"]).join(other, ["g", "b"]))
+        every = live.unionByName(met)
+        picks = materialize(_ends(every).groupBy("g", "c").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("g", "c", "e.*"))
+        found.append(picks.select("g", "a", "b", "w").distinct())
+        roots = _merge(picks, rows)
+        live = _relabelled(every, roots)
+        moved = vectors.join(roots, ["g", "c"], "left")
+        vectors = materialize(moved.select("g", "blk", "node", "arr", F.coalesce("root", "c").alias("c"), "ext"))
+    tree = found[0]
+    for part in found[1:]:
+        tree = tree.unionByName(part)
+    return materialize(tree)
 
 
-def spanning_tree(edges: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
-    """The minimum spanning tree of each group of a connected edge table.
+def spanning_tree(nodes: DataFrame, dims: int, block: int = BLOCK, rows: int = TASK_ROWS, formed: list[int] | None = None) -> DataFrame:
+    """``(g, a, b, w)``: the minimum spanning tree of every group of ``distinct_vectors``.
 
-    Groups beyond ``rows`` edges are contracted by Boruvka rounds: every
-    component picks its lightest edge, the picks are tree edges, and components
-    joined by them merge. Each round at least halves the components.
+    ``formed`` gets the number of block pairs that meet in each round.
     """
-    live = edges.select("g", "a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    found = []
-    while not live.groupBy("g").count().filter(F.col("count") > rows).isEmpty():
-        offers = live.select("g", F.col("ca").alias("c"), F.struct("w", "a", "b", F.col("cb").alias("to")).alias("e"))
-        offers = offers.unionByName(
-            live.select("g", F.col("cb").alias("c"), F.struct("w", "a", "b", F.col("ca").alias("to")).alias("e"))
-        )
-        picks = materialize(offers.groupBy("g", "c").agg(F.min("e").alias("e")).select("g", "c", "e.*"))
-        found.append(picks.select("g", "a", "b", "w").distinct())
-        # two components that picked the same edge would point at each other: the smaller is the root
-        back = picks.select("g", F.col("c").alias("to"), F.col("to").alias("back"))
-        pointers = picks.join(back, ["g", "to"]).select(
-            "g", "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root")
-        )
-        roots = follow_pointers(materialize(pointers), ["g"], "c", "root")
-        at_a = roots.select("g", F.col("c").alias("ca"), F.col("root").alias("ra"))
-        at_b = roots.select("g", F.col("c").alias("cb"), F.col("root").alias("rb"))
-        live = materialize(
-            live.join(at_a, ["g", "ca"])
-            .join(at_b, ["g", "cb"])
-            .filter(F.col("ra") != F.col("rb"))
-            .groupBy("g", F.least("ra", "rb").alias("ca"), F.greatest("ra", "rb").alias("cb"))
-            .agg(F.min(F.struct("w", "a", "b")).alias("e"))
-            .select("g", "e.a", "e.b", "e.w", "ca", "cb")
-        )
-    tree = live.groupBy("g").applyInPandas(_kruskal, EDGE_SCHEMA)
-    for part in found:
-        tree = tree.unionByName(part)
-    return materialize(tree)
+    groups, most = nodes.groupBy("g").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    if not most or most <= block:
+        whole = nodes.select("g", "node", "arr").repartition(tasks(nodes, groups), "g")
+        return materialize(whole.groupBy("g").applyInPandas(_within, EDGE_SCHEMA))
+    return _block_trees(nodes, dims, block, rows, formed)

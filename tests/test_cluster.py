@@ -93,29 +93,60 @@ def test_block_scan_matches_brute_force_on_random_plots(seed):
     assert X._spread(plot, spans)["cluster_id"].tolist() == want.tolist()
 
 
-def test_blocks_are_bounded_and_distant_pairs_left_out(spark):
-    """Tied coordinates, far apart blobs: every block fits, most pairs are never formed."""
+def _nodes(spark, x):
     from flowseg.operators import spanning
 
+    points = _frame(spark, x).select(F.lit("").alias("g"), "id", F.col("v").alias("arr"))
+    return spanning.distinct_vectors(points)
+
+
+def test_blocks_are_bounded_and_visits_are_what_is_near(spark):
+    """Tied coordinates, far apart blobs: every block fits, regions keep others out, and a search meets exactly the boxes in reach."""
+    from flowseg.operators import blocks as B
+
     rng = np.random.default_rng(7)
     x = np.concatenate([np.round(rng.normal(c, 1.0, (40, 3)), 1) for c in range(0, 80, 10)])
     x[:, 1] = np.where(x[:, 0] < 40, 0.0, x[:, 1])
-    points = _frame(spark, x).select(F.lit("").alias("g"), "id", F.col("v").alias("arr"))
-    nodes = spanning.distinct_vectors(points)
-    blocks = spanning.space_blocks(nodes, 3, block=16)
-    sizes = [r["count"] for r in blocks.groupBy("blk").count().collect()]
-    assert max(sizes) <= 16 and sum(sizes) == nodes.count() == blocks.select("node").distinct().count()
-    bounds = spark.createDataFrame([("", 2.0)], "g string, bound double")
-    pairs = spanning._close_pairs(spanning._boxes(blocks, 3, "g", "blk"), bounds).select("p", "q").collect()
-    assert len(set(map(tuple, pairs))) == len(pairs) < len(sizes) * (len(sizes) - 1) / 2 / 3
-    boxes = {r["blk"]: (np.array(r["low"]), np.array(r["high"])) for r in spanning._boxes(blocks, 3, "g", "blk").collect()}
-    near = {
-        (p, q)
-        for p in boxes
-        for q in boxes
-        if q > p + 1 and max((boxes[q][0] - boxes[p][1]).max(), (boxes[p][0] - boxes[q][1]).max()) <= 2.0
-    }
-    assert set(map(tuple, pairs)) == near
+    nodes = _nodes(spark, x)
+    cut = B.cut_space(nodes, 3, block=16)
+    sizes = [r["count"] for r in cut.vectors.groupBy("blk").count().collect()]
+    assert max(sizes) <= 16 and sum(sizes) == nodes.count() == cut.vectors.select("node").distinct().count()
+    rows = cut.vectors.collect()
+    for r in cut.regions.filter("length(cell) > 0").collect():
+        within = lambda v: all(l < a <= h for l, a, h in zip(r["rlow"], v, r["rhigh"]))
+        assert all(within(v["arr"]) for v in rows if v["blk"] == r["blk"])
+    leaves = {r["cell"]: r for r in cut.tree.filter("blk IS NOT NULL").collect()}
+    own = {(r["blk"]): r for r in cut.regions.collect() if r["cell"] in leaves}
+    for blk, r in own.items():
+        inside = [v["blk"] for v in rows if all(l < a <= h for l, a, h in zip(r["rlow"], v["arr"], r["rhigh"]))]
+        assert set(inside) == {blk}
+    boxes = {r["blk"]: (np.array(r["low"]), np.array(r["high"])) for r in leaves.values()}
+    queries = spark.createDataFrame([("", p, p, 2.0, b[0].tolist(), b[1].tolist()) for p, b in boxes.items()], "g string, p long, c long, bound double, low array<double>, high array<double>")
+    met = [(r["p"], r["q"]) for r in B.visits(cut, queries).collect()]
+    near = {(p, q) for p in boxes for q in boxes if p != q and max((boxes[q][0] - boxes[p][1]).max(), (boxes[p][0] - boxes[q][1]).max()) <= 2.0}
+    assert len(met) == len(set(met)) and set(met) == near and len(near) < len(boxes) * (len(boxes) - 1) / 3
+
+
+@pytest.mark.parametrize("outlier", [False, True])
+def test_block_pairs_grow_with_the_blocks(spark, outlier):
+    """Uniform points, with and without one far away: block pairs a block stay about the same from 16 blocks to 64."""
+    from flowseg.operators import spanning
+
+    pairs = {}
+    for n in (512, 2048):
+        rng = np.random.default_rng(n)
+        x = rng.uniform(0, np.sqrt(n), (n, 2))
+        if outlier:
+            x = np.concatenate([x, [[1e4, 1e4]]])
+        formed = []
+        nodes = _nodes(spark, x)
+        tree = spanning.spanning_tree(nodes, 2, block=32, formed=formed).collect()
+        assert len(tree) == len({(r["a"], r["b"]) for r in tree}) == len(x) - 1
+        sorted_x = x[_sorted(x)]
+        i, j, w = spanning._tree(sorted_x)
+        assert {(r["a"], r["b"], r["w"]) for r in tree} == {(min(a, b), max(a, b), v) for a, b, v in zip(i.tolist(), j.tolist(), w.tolist())}
+        pairs[n] = max(formed)
+    assert pairs[2048] < 6 * pairs[512] and pairs[2048] < 2048 / 32 * 20
 
 
 def test_groups_are_independent(spark):
@@ -129,6 +160,7 @@ def test_groups_are_independent(spark):
 
 @pytest.mark.parametrize("sizes", [{}, TINY], ids=["one task", "many tasks"])
 def test_core_distance_is_the_nearest_neighbour(spark, sizes):
+    sizes = {k: v for k, v in sizes.items() if k == "block"}
     x = _blobs(5)
     d = brute.distances(x)
     np.fill_diagonal(d, np.inf)
