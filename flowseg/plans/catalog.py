@@ -361,13 +361,13 @@ SMALL = {"block": 128, "task_rows": 200}
 
 
 def core_distance_blocks(spark, sf_dir):
-    """The same from trees of blocks and of pairs of blocks."""
-    found = cluster.core_distance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", **SMALL)
+    """The same with vectors that search beyond their block."""
+    found = cluster.core_distance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", block=SMALL["block"])
     return _rounded(found, ["core_distance"], 6)
 
 
 def reachability_blocks(spark, sf_dir):
-    """The same with contracted edges and a plot put together from parts."""
+    """The same from a tree grown in rounds and a plot put together from parts."""
     found = cluster.reachability(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", **SMALL)
     return _rounded(found, ["reachability"], 6)
 
