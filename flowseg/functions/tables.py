@@ -7,13 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowseg.functions.columns import quoted
 
 BROADCAST_ROWS = 200_000
-HOT_KEYS = 1_000
-SALTS = 64
+SHARES = 8  # of a salted join, per shuffle partition
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -95,33 +93,36 @@ def lookup_join(
     key: str,
     weight: str,
     rows: int = BROADCAST_ROWS,
-    hot_keys: int = HOT_KEYS,
     lookup_rows: int | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Left join on a lookup table with one row per ``key`` that counts its own matches.
 
-    Small lookups (checked) are broadcast. Otherwise the ``hot_keys`` most
-    frequent keys are spread over salts on both sides, so that no remaining key
-    holds more than 1/hot_keys of the rows in one task. ``lookup`` should be
-    materialized, or come with its known number of rows; rows with a NULL key
-    keep NULLs.
+    Small lookups (checked) are broadcast. Otherwise a key gets salts in proportion
+    to its ``weight``: as many as it has shares of the whole, of which there are
+    ``SHARES`` a shuffle partition, so a task gets several shares and a heavy key is in
+    many tasks. The lookup grows by as many rows as there are shares at most.
+    A row's salt is its place modulo its key's salts, so equal rows are spread too.
+    ``position`` names a stored column with that place; without one, the table is
+    written with it first, since a repeated task must deal a row the same way.
+    ``lookup`` should be materialized, or come with its known number of rows; rows
+    with a NULL key keep NULLs.
     """
     if lookup_rows <= rows if lookup_rows is not None else is_small(lookup, rows):
         return df.join(F.broadcast(lookup), key, "left")
-    hot = lookup.orderBy(F.desc(weight), key).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
-    hot = materialize(hot)
-    plain = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType)) and f.name != key]
-    plain = plain or [f.name for f in df.schema if f.name != key and not isinstance(f.dataType, (T.MapType, T.VariantType))] or [key]
-    spread = F.pmod(F.xxhash64(*[quoted(c) for c in plain]), F.lit(SALTS)).cast("int")
-    left = df.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0)
-    )
-    right = (
-        lookup.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return left.drop("_hot").join(right, [key, "_salt"], "left").drop("_salt")
+    names = df.columns
+    at = position or "_lookup_at"
+    if position is None:
+        df = materialize(df.withColumn(at, F.monotonically_increasing_id()))
+    shares = SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    salts = F.greatest(F.ceil(F.col(weight) * shares / max(total, 1)), F.lit(1)).cast("long")
+    heavy = lookup.withColumn("_salts", salts).filter("_salts > 1").select(key, "_salts")
+    left = df.join(F.broadcast(heavy), key, "left")  # fewer keys than shares
+    left = left.withColumn("_salt", F.pmod(F.col(at), F.coalesce("_salts", F.when(F.col(key).isNull(), shares).otherwise(1))))
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    joined = left.drop("_salts").join(right, [key, "_salt"], "left")
+    return joined.select(*[quoted(c) for c in names], *[quoted(c) for c in lookup.columns if c != key])
 
 
 def follow_pointers(pointers: DataFrame, keys: list[str], vertex: str, target: str) -> DataFrame:

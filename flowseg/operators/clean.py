@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowseg.functions.columns import quoted
-from flowseg.functions.tables import SALTS, materialize
+from flowseg.functions.tables import is_small, lookup_join, materialize, with_row_index
 
 MISSING = "-"
 
@@ -59,40 +59,31 @@ def binary_label(df: DataFrame, column: str, positive: str, out: str | None = No
     return df.withColumn(out or column, hit)
 
 
-def file_split() -> Column:
-    """The file split a scanned row comes from."""
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start())
-
-
-def add_uid(
-    df: DataFrame,
-    out: str = "uid",
-    columns: list[str] | None = None,
-    salt: Column | None = None,
-) -> DataFrame:
+def add_uid(df: DataFrame, out: str = "uid", columns: list[str] | None = None, scan: bool = False) -> DataFrame:
     """A content-based row id, the same on every run and under any partitioning.
 
     The id is the md5 of the given columns plus the occurrence number among
-    identical rows. Occurrences are numbered per (hash, salt) and shifted by the
-    counts of the smaller salts, so a row with very many copies is not numbered
-    by one task. Identical rows are interchangeable, so the salt does not affect
-    the result, but it must not change between evaluations: pass ``file_split()``
-    over a file scan, otherwise the salted rows are written out first.
+    identical rows. Only hashes and places are looked at to find what occurs more
+    than once, and only its further copies are numbered, by a distributed index, so
+    a row with very many copies is not numbered by one task. The rows
+    themselves are scanned once and stay where they are while the numbers are few
+    enough to be broadcast (checked); beyond that they are joined by place.
+
+    Identical rows are interchangeable, so it does not matter which of them gets
+    which number, but a row's place must not change between evaluations: pass
+    ``scan=True`` for a file scan, otherwise the rows are written out first.
     """
     columns = columns or df.columns
-    content = F.to_json(F.struct(*[quoted(c) for c in columns]), {"ignoreNullFields": "false"})
-    hashed = df.withColumn("_h", F.md5(content))
-    if salt is None:
-        hashed = materialize(hashed.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
-    else:
-        hashed = hashed.withColumn("_s", salt)
-    # any row order does within a (hash, salt) group: its rows are identical
-    numbered = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "_s").orderBy("_h")) - 1)
-    sizes = hashed.groupBy("_h", "_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("_h").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.withColumn("_before", F.sum("_c").over(before)).filter("_before > 0").drop("_c")
-    return (
-        numbered.join(shifts, ["_h", "_s"], "left")
-        .withColumn(out, F.concat_ws("-", "_h", (F.col("_k") + F.coalesce("_before", F.lit(0))).cast("string")))
-        .drop("_h", "_s", "_k", "_before")
-    )
+    hashed = F.md5(F.to_json(F.struct(*[quoted(c) for c in columns]), {"ignoreNullFields": "false"}))
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    if not scan:
+        placed = materialize(placed)
+    narrow = placed.select("_at", hashed.alias("_h"))
+    twice = narrow.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    copies = narrow.join(materialize(twice), "_h").select("_h", "_at", "_n")
+    ranked = materialize(with_row_index(copies, "_h", "_at", name="_i"))
+    firsts = materialize(ranked.groupBy("_h").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_c")))
+    numbered = lookup_join(ranked.select("_h", "_at", "_i"), firsts, "_h", "_c", position="_at").select("_at", (F.col("_i") - F.col("_first")).alias("_k"))
+    numbers = materialize(numbered.filter("_k > 0"))
+    found = placed.join(F.broadcast(numbers) if is_small(numbers) else numbers, "_at", "left")
+    return found.withColumn(out, F.concat_ws("-", hashed, F.coalesce("_k", F.lit(0)).cast("string"))).drop("_at", "_k")

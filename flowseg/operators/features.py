@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowseg.functions.columns import quoted
-from flowseg.functions.tables import is_small, lookup_join, materialize, with_row_index
+from flowseg.functions.tables import BROADCAST_ROWS, is_small, lookup_join, materialize, with_row_index
 from flowseg.specs import PRUNE_THRESHOLD, REPORT_THRESHOLD
 
 INDEX_SUFFIX = "_idx"
@@ -30,11 +30,11 @@ def numeric_columns(df: DataFrame, protected: Iterable[str] = ()) -> list[str]:
 # --- label encoding -------------------------------------------------------
 
 
-def fit_labels(df: DataFrame, cols: list[str]) -> DataFrame:
+def fit_labels(df: DataFrame, cols: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
     """Dictionary ``(col, value, n, label_idx)``: most frequent value first, ties by value.
 
     All columns are counted in one scan. The numbering is a window per column
-    while the dictionary is small and a distributed row index beyond that.
+    while the dictionary has at most ``rows`` rows and a distributed row index beyond that.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), quoted(c).alias("value")) for c in cols]))
     counts = materialize(
@@ -44,7 +44,7 @@ def fit_labels(df: DataFrame, cols: list[str]) -> DataFrame:
         .groupBy("col", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    if is_small(counts):
+    if is_small(counts, rows):
         order = Window.partitionBy("col").orderBy(F.desc("n"), "value")
         return materialize(counts.withColumn("label_idx", F.row_number().over(order).cast("long") - 1))
     ranked = with_row_index(counts, "col", F.desc("n"), "value", name="_r")
@@ -56,28 +56,47 @@ def fit_labels(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def apply_labels(df: DataFrame, dictionary: DataFrame, cols: list[str], suffix: str = INDEX_SUFFIX) -> DataFrame:
-    """Add ``<col><suffix>``; NULL and unseen values get the number of known labels."""
+def apply_labels(
+    df: DataFrame, dictionary: DataFrame, cols: list[str], suffix: str = INDEX_SUFFIX, rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Add ``<col><suffix>``; NULL and unseen values get the number of known labels.
+
+    Columns of at most ``rows`` labels look theirs up in a broadcast. All others go
+    together: their values leave the table as (row, column, value), meet the
+    dictionary in one join, and the codes come back by row, so the table itself is
+    dealt once, however many such columns there are.
+    """
     sizes = {r["col"]: r["n_labels"] for r in dictionary.groupBy("col").agg(F.count(F.lit(1)).alias("n_labels")).collect()}
+    large = [c for c in cols if sizes.get(c, 0) > rows]
     for c in cols:
-        one = dictionary.filter(F.col("col") == c).select(
-            F.col("value").alias(c), F.col("n").alias("_n"), F.col("label_idx").alias("_label")
-        )
-        unseen = float(sizes.get(c, 0))
-        df = (
-            lookup_join(df, one, c, "_n", lookup_rows=sizes.get(c, 0))
-            .withColumn(c + suffix, F.coalesce(F.col("_label").cast("double"), F.lit(unseen)))
-            .drop("_n", "_label")
-        )
-    return df
-
-
-def label_encode(df: DataFrame, cols: list[str], suffix: str = INDEX_SUFFIX, fit_on: DataFrame | None = None) -> DataFrame:
+        if c in large:
+            continue
+        one = dictionary.filter(F.col("col") == c).select(F.col("value").alias(c), F.col("label_idx").alias("_label"))
+        known = F.coalesce(F.col("_label").cast("double"), F.lit(float(sizes.get(c, 0))))
+        df = df.join(F.broadcast(one), c, "left").withColumn(c + suffix, known).drop("_label")
+    if not large:
+        return df
+    placed = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), quoted(c).alias("value")) for c in large]))
+    narrow = placed.select("_row", values.alias("_k")).filter("_k.value IS NOT NULL")
+    codes = dictionary.filter(F.col("col").isin(large)).select(F.struct("col", "value").alias("_k"), "n", "label_idx")
+    found = lookup_join(narrow, codes, "_k", "n", rows, sum(sizes[c] for c in large), "_row")
+    names = [f"_code{i}" for i in range(len(large))]
+    rejoined = found.groupBy("_row").agg(*[F.max(F.when(F.col("_k.col") == c, F.col("label_idx"))).alias(n) for c, n in zip(large, names)])
+    out = placed.join(rejoined, "_row", "left")
+    for c, n in zip(large, names):
+        out = out.withColumn(c + suffix, F.coalesce(F.col(n).cast("double"), F.lit(float(sizes[c]))))
+    return out.drop("_row", *names)
+
+
+def label_encode(
+    df: DataFrame, cols: list[str], suffix: str = INDEX_SUFFIX, fit_on: DataFrame | None = None, rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Frequency-ordered label codes beside the original string columns."""
     if not cols:
         return df
-    dictionary = fit_labels(fit_on if fit_on is not None else df, cols)
-    return apply_labels(df, dictionary, cols, suffix).select(
+    dictionary = fit_labels(fit_on if fit_on is not None else df, cols, rows)
+    return apply_labels(df, dictionary, cols, suffix, rows).select(
         *[quoted(c) for c in df.columns], *[quoted(c + suffix) for c in cols]
     )
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowseg.functions.columns import hash_below, row_hash
+from flowseg.functions.tables import materialize, with_row_index
 from flowseg.specs import CLUSTER_SAMPLE_FRACTION, SEED, TRAIN_FRACTION
 
+WINDOW_ROWS = 10_000  # of a class that one task may rank
 _PREFIX = 4  # hex digits of the hash histogram: 65,536 buckets
 
 
@@ -20,11 +22,13 @@ def fraction_sample(df: DataFrame, uid: str, fraction: float, seed: int = SEED)
     return df.filter(hash_below(row_hash(seed, uid), fraction))
 
 
-def _smallest_hashes(df: DataFrame, uid: str, n: int, label: str | None, seed: int) -> DataFrame:
+def _smallest_hashes(df: DataFrame, uid: str, n: int, label: str | None, seed: int, window_rows: int) -> DataFrame:
     """Per class the n rows with the smallest hash (ties by id).
 
     A histogram over hash prefixes finds the bucket that holds the n-th row, so
-    only about n rows per class reach the ranking, whatever the class size.
+    only about n rows per class reach the ranking, whatever the class size. Up
+    to ``window_rows`` of a class are ranked in a task; more get their places from
+    a distributed index over all classes, less the place of their class's first.
     """
     hashed = (
         df.withColumn("_g", F.col(label) if label else F.lit(0))
@@ -40,24 +44,28 @@ def _smallest_hashes(df: DataFrame, uid: str, n: int, label: str | None, seed: i
         .agg(F.max("_p").alias("_cut"))
     )
     near = hashed.join(F.broadcast(cuts), "_g").filter(F.col("_p") <= F.col("_cut"))  # one row per class
-    rank = Window.partitionBy("_g").orderBy("_h", uid)
-    return (
-        near.withColumn("_rank", F.row_number().over(rank))
-        .filter(F.col("_rank") <= n)
-        .drop("_g", "_h", "_p", "_cut", "_rank")
-    )
+    if n <= window_rows:
+        rank = Window.partitionBy("_g").orderBy("_h", uid)
+        ranked = near.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= n)
+    else:
+        places = materialize(with_row_index(near, "_g", "_h", uid, name="_i"))
+        firsts = places.groupBy("_g").agg(F.min("_i").alias("_first"))  # one row per class
+        ranked = places.join(F.broadcast(firsts), "_g").withColumn("_rank", F.col("_i") - F.col("_first")).filter(F.col("_rank") < n)
+    return ranked.drop("_g", "_h", "_p", "_cut", "_rank", "_i", "_first")
 
 
 def capped_sample(
-    df: DataFrame, uid: str, n: int, fraction: float = CLUSTER_SAMPLE_FRACTION, seed: int = SEED
+    df: DataFrame, uid: str, n: int, fraction: float = CLUSTER_SAMPLE_FRACTION, seed: int = SEED, window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """A fraction of the rows, and of those at most n."""
-    return _smallest_hashes(fraction_sample(df, uid, fraction, seed), uid, n, None, seed)
+    return _smallest_hashes(fraction_sample(df, uid, fraction, seed), uid, n, None, seed, window_rows)
 
 
-def balanced_sample(df: DataFrame, uid: str, label: str, n: int, seed: int = SEED) -> DataFrame:
+def balanced_sample(
+    df: DataFrame, uid: str, label: str, n: int, seed: int = SEED, window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """n // 2 rows of class 0 and as many of class 1 (all, where a class has fewer)."""
-    return _smallest_hashes(df.filter(F.col(label).isin(0, 1)), uid, n // 2, label, seed)
+    return _smallest_hashes(df.filter(F.col(label).isin(0, 1)), uid, n // 2, label, seed, window_rows)
 
 
 def train_test_split(

@@ -19,7 +19,9 @@ from flowseg.specs import SEED, SPECS, FlowSpec
 
 SCALED = ["duration", "orig_bytes", "orig_pkts", "orig_ip_bytes"]
 ENCODED = ["proto", "service", "conn_state"]
+LARGE_ENCODED = ["uid", "src_ip", "dst_ip", "proto"]
 SAMPLE_ROWS = 100
+LARGE_SAMPLE_ROWS = 20_000
 
 
 def _rounded(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
@@ -167,7 +169,7 @@ def binary_label(spark, sf_dir):
 
 def add_uid(spark, sf_dir):
     """Rows that are not unique: the id counts the copies."""
-    return clean.add_uid(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), salt=clean.file_split())
+    return clean.add_uid(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), scan=True)
 
 
 def add_uid_salted(spark, sf_dir):
@@ -183,6 +185,12 @@ def label_encode(spark, sf_dir):
     return features.label_encode(df, ENCODED).drop(*ENCODED)
 
 
+def label_encode_large(spark, sf_dir):
+    """Columns with more labels than are broadcast, one of them different in every row."""
+    df = flows(spark, sf_dir).select(*LARGE_ENCODED)
+    return features.label_encode(df, LARGE_ENCODED, rows=50).drop("src_ip", "dst_ip", "proto")
+
+
 def impute_mean(spark, sf_dir):
     df = flows(spark, sf_dir).select("uid", "resp_bytes", (F.col("resp_bytes") / 8.0).alias("resp_words"))
     return _rounded(features.impute_mean(df, ["resp_bytes", "resp_words"]), ["resp_words"], 3)
@@ -294,6 +302,11 @@ def balanced_sample(spark, sf_dir):
     return sample.balanced_sample(flows(spark, sf_dir).select("uid", "label"), "uid", "label", SAMPLE_ROWS)
 
 
+def balanced_sample_large(spark, sf_dir):
+    """More rows of a class than a task may rank."""
+    return sample.balanced_sample(flows(spark, sf_dir), "uid", "label", LARGE_SAMPLE_ROWS, window_rows=1_000).select("uid", "label")
+
+
 def hash_split(spark, sf_dir):
     train, test = sample.train_test_split(flows(spark, sf_dir).select("uid"), "uid")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -496,6 +509,13 @@ def enrich_join(spark, sf_dir):
     return _rounded(enrich.add_behaviour(df.select("uid", "src_ip"), _profile(df), "src_ip"), ["zero_resp_ratio"], 6)
 
 
+def enrich_join_salted(spark, sf_dir):
+    """Equal rows beside a profile that isn't broadcast."""
+    df = flows(spark, sf_dir)
+    found = enrich.add_behaviour(df.select("src_ip", "proto"), _profile(df), "src_ip", rows=0)
+    return _rounded(found, ["zero_resp_ratio"], 6)
+
+
 def rescale_behaviour(spark, sf_dir):
     df = flows(spark, sf_dir)
     base = features.standardize(features.assemble(df.select("uid", "src_ip", "orig_bytes"), ["orig_bytes"]))
@@ -506,14 +526,14 @@ def rescale_behaviour(spark, sf_dir):
 QUERIES = [
     zeek_parse, zeek_rejects, zeek_scan, csv_scan, csv_header_scan, stage_reuse, save_and_load, rules_csv, feature_names,
     binary_label, add_uid, add_uid_salted,
-    label_encode, impute_mean, standardize, corr_matrix, corr_pairs, prune_correlated, preprocess, preprocess_pruned,
+    label_encode, label_encode_large, impute_mean, standardize, corr_matrix, corr_pairs, prune_correlated, preprocess, preprocess_pruned,
     pca_norms, pca_total_variance, pca_explained_variance, pca_choose_k, pca_reduce,
-    hash_sample, capped_sample, balanced_sample, hash_split, undersample, class_weights, weighted_rows,
+    hash_sample, capped_sample, balanced_sample, balanced_sample_large, hash_split, undersample, class_weights, weighted_rows,
     attach_clusters, flows_in_clusters, largest_clusters, cluster_summary, core_distance, reachability,
     core_distance_blocks, reachability_blocks, optics_segments_blocks,
     optics_segments, optics_by_group, flow_segments,
     tree_plain, tree_undersampled, tree_weighted, tree_enriched, tree_enriched_undersampled, tree_enriched_weighted, tree_reload,
     confusion, binary_metrics, benign_breakdown, attack_breakdown, outcome_means,
     allow_rules, block_rules, rule_table, rule_preview, learned_rules,
-    source_profile, enrich_join, rescale_behaviour,
+    source_profile, enrich_join, enrich_join_salted, rescale_behaviour,
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from flowseg.functions.columns import HEX_DIGITS, hash_cut
 from flowseg.operators.enrich import PROFILE
 from flowseg.operators.evaluate import FALSE_POSITIVE, TRUE_NEGATIVE
-from flowseg.plans.catalog import CSV_COLUMNS, ENCODED, PLANE, SAMPLE_ROWS, SCALED
+from flowseg.plans.catalog import CSV_COLUMNS, ENCODED, LARGE_ENCODED, LARGE_SAMPLE_ROWS, PLANE, SAMPLE_ROWS, SCALED
 from flowseg.plans.flows import FIVE_TUPLE, SPEC, VIEW_SQL
 from flowseg.specs import OPTICS_MIN_SAMPLES, OPTICS_XI, PRUNE_THRESHOLD, REPORT_THRESHOLD, SEED, SPECS
 
@@ -227,6 +227,9 @@ ORACLES: dict[str, str] = {
         h AS (SELECT proto, conn_state, md5(CAST(to_json({'proto': proto, 'conn_state': conn_state}) AS VARCHAR)) AS m FROM f)
         SELECT proto, conn_state, concat(m, '-', row_number() OVER (PARTITION BY m) - 1) AS uid FROM h""",
     "label_encode": f"{_F}, {_codes(ENCODED)} SELECT uid, {', '.join(f'{_code(c)} AS {c}_idx' for c in ENCODED)} FROM f",
+    "label_encode_large": f"{_F}, {_codes(LARGE_ENCODED)} SELECT f.uid, "
+    + ", ".join(f"CAST(d_{c}.k AS DOUBLE) AS {c}_idx" for c in LARGE_ENCODED)
+    + " FROM f " + " ".join(f"JOIN d_{c} ON d_{c}.v = f.{c}" for c in LARGE_ENCODED),
     "impute_mean": f"{_F} SELECT uid, coalesce(resp_bytes, CAST(floor(avg(resp_bytes) OVER ()) AS BIGINT)) AS resp_bytes,"
     " round(coalesce(resp_bytes / 8.0, avg(resp_bytes / 8.0) OVER ()), 3) AS resp_words FROM f",
     "standardize": f"{_F} SELECT uid, {', '.join(f'{_z(c)} AS {c}' for c in SCALED)} FROM f",
@@ -246,6 +249,7 @@ ORACLES: dict[str, str] = {
     "hash_sample": f"{_F} SELECT uid, proto FROM f WHERE {_below(0.2)}",
     "capped_sample": f"{_F} SELECT uid, proto FROM f WHERE {_below(0.05)} ORDER BY {_md5()}, uid LIMIT {SAMPLE_ROWS}",
     "balanced_sample": f"{_F} SELECT uid, label FROM (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY {_md5()}, uid) AS rk FROM f) WHERE rk <= {SAMPLE_ROWS // 2}",
+    "balanced_sample_large": f"{_F} SELECT uid, label FROM (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY {_md5()}, uid) AS rk FROM f) WHERE rk <= {LARGE_SAMPLE_ROWS // 2}",
     "hash_split": f"{_F} SELECT uid, CASE WHEN {_below(0.7)} THEN 'train' ELSE 'test' END AS part FROM f",
     "undersample": f"{_F}, c AS (SELECT CAST(sum(label) AS DOUBLE) / sum(1 - label) AS q FROM f)"
     f" SELECT uid, label FROM f, c WHERE label = 1 OR q >= 1 OR substr({_md5(seed=SEED + 1)}, 1, {HEX_DIGITS}) < format('{{:0{HEX_DIGITS}x}}', CAST(floor(q * {16**HEX_DIGITS}.0::DOUBLE) AS BIGINT))",
@@ -288,6 +292,7 @@ ORACLES: dict[str, str] = {
     "learned_rules": f"""{_F.replace("AS (", "AS (SELECT * REPLACE (CAST(label AS DOUBLE) AS prediction) FROM (", 1)}) {_ALLOW} UNION ALL {_BLOCK}""",
     "source_profile": f"{_F}, s AS ({_PROFILE}) SELECT * REPLACE (round(zero_resp_ratio, 6) AS zero_resp_ratio) FROM s",
     "enrich_join": f"{_F}, s AS ({_PROFILE}) SELECT uid, s.* REPLACE (round(zero_resp_ratio, 6) AS zero_resp_ratio) FROM f JOIN s ON f.src_ip = s.src_ip",
+    "enrich_join_salted": f"{_F}, s AS ({_PROFILE}) SELECT proto, s.* REPLACE (round(zero_resp_ratio, 6) AS zero_resp_ratio) FROM f JOIN s ON f.src_ip = s.src_ip",
     "rescale_behaviour": f"{_F}, s AS ({_PROFILE}), w AS (SELECT uid, orig_bytes, s.* FROM f JOIN s ON f.src_ip = s.src_ip)"
     f" SELECT uid, {', '.join(f'{_z(c)} AS {c}' for c in ['orig_bytes', *PROFILE])} FROM w",
 }

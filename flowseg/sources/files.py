@@ -19,7 +19,7 @@ def read_csv_flows(spark: SparkSession, spec: FlowSpec) -> DataFrame:
         nanValue="NaN",
     )
     if spec.generated_uid:
-        df = clean.add_uid(df, spec.uid, spec.schema.names, clean.file_split())
+        df = clean.add_uid(df, spec.uid, spec.schema.names, scan=True)
     if spec.positive_label is not None:
         df = clean.binary_label(df, spec.label, spec.positive_label)
     return df

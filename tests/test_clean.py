@@ -46,13 +46,25 @@ def test_binary_label_is_exact(spark):
     assert out.schema["l"].dataType == T.IntegerType()
 
 
-@pytest.mark.parametrize("salt", [None, "0", "s"])
-def test_uid_numbers_copies_whatever_the_salt(spark, salt):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_uid_numbers_copies_wherever_they_are(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(clean, "is_small", lambda df: df.limit(broadcast_rows + 1).count() <= broadcast_rows)
     rows = [("a", 1)] * 7 + [("b", None)] * 2 + [(None, 3)]
     df = spark.createDataFrame([(x, y, i % 3) for i, (x, y) in enumerate(rows)], "x string, y int, s long")
-    out = clean.add_uid(df, columns=["x", "y"], salt=salt and F.expr(salt)).collect()
-    ids = sorted(r["uid"] for r in out)
+    out = clean.add_uid(df, columns=["x", "y"])
+    assert out.columns == ["x", "y", "s", "uid"]
+    ids = sorted(r["uid"] for r in out.collect())
     assert len(set(ids)) == len(rows)
-    assert sorted(int(r["uid"].split("-")[1]) for r in out if r["x"] == "a") == list(range(7))
-    again = clean.add_uid(df.repartition(5), columns=["x", "y"], salt=F.lit(1)).collect()
-    assert sorted(r["uid"] for r in again) == ids
+    assert sorted(int(r["uid"].split("-")[1]) for r in out.collect() if r["x"] == "a") == list(range(7))
+    assert sorted(r["uid"] for r in clean.add_uid(df.repartition(5), columns=["x", "y"]).collect()) == ids
+    assert clean.add_uid(df.limit(0), columns=["x", "y"]).count() == 0
+
+
+def test_uid_leaves_rows_of_a_scan_where_they_are(spark, tmp_path):
+    df = spark.range(400).select((F.col("id") % 150).alias("x"), F.lit("payload").alias("wide"))
+    df.repartition(3).write.parquet(f"{tmp_path}/rows")
+    out = clean.add_uid(spark.read.parquet(f"{tmp_path}/rows"), scan=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("wide") and "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    rows = out.collect()
+    assert len({r["uid"] for r in rows}) == 400 and {r["uid"].split("-")[1] for r in rows} == {"0", "1", "2"}

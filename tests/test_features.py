@@ -16,20 +16,20 @@ def test_columns_by_type(spark):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_label_encode(spark, small, monkeypatch):
-    if not small:
-        monkeypatch.setattr(features, "is_small", lambda df: False)
+def test_label_encode(spark, small):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "y"), ("c", "y"), ("c", "x")], "s string, t string")
-    out = features.label_encode(df, ["s", "t"])
+    out = features.label_encode(df, ["s", "t"], rows=200_000 if small else 0)
     assert out.columns == ["s", "t", "s_idx", "t_idx"]
     got = {(r["s"], r["t"]): (r["s_idx"], r["t_idx"]) for r in out.collect()}
     assert got == {("b", "x"): (2.0, 0.0), ("a", "x"): (1.0, 0.0), (None, "y"): (3.0, 1.0), ("c", "y"): (0.0, 1.0), ("c", "x"): (0.0, 0.0)}
 
 
-def test_label_encode_unseen_value(spark):
+@pytest.mark.parametrize("rows", [200_000, 1])
+def test_label_encode_unseen_value(spark, rows):
     train = spark.createDataFrame([("a",), ("b",)], "s string")
     other = spark.createDataFrame([("z",), ("a",), (None,)], "s string")
-    assert [r["s_idx"] for r in features.label_encode(other, ["s"], fit_on=train).collect()] == [2.0, 0.0, 2.0]
+    found = features.label_encode(other, ["s"], fit_on=train, rows=rows).collect()
+    assert {r["s"]: r["s_idx"] for r in found} == {"z": 2.0, "a": 0.0, None: 2.0}
 
 
 def test_impute_mean(spark):

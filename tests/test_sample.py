@@ -35,6 +35,13 @@ def test_sizes(rows):
     assert sample.balanced_sample(rows, "uid", "label", 1000).filter("label = 1").count() == 300
 
 
+def test_large_samples_are_the_same(rows):
+    for n in (60, 1000):
+        window, ranked = (sample.balanced_sample(rows, "uid", "label", n, window_rows=w) for w in (10_000, 1))
+        assert window.columns == ranked.columns and _ids(window) == _ids(ranked)
+    assert _ids(sample.capped_sample(rows, "uid", 40, 0.5, window_rows=1)) == _ids(sample.capped_sample(rows, "uid", 40, 0.5))
+
+
 @pytest.mark.parametrize("method", ["hash", "random"])
 def test_split_covers_the_table_once(rows, method):
     train, test = sample.train_test_split(rows, "uid", method=method)
