@@ -50,14 +50,17 @@ _PART = "lang string, source string, part string, item string, value long"
 _KEYS = ["lang", "source", "term"]
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most ``BATCH_BYTES`` of text, of one row at least."""
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``most`` bytes of text, of one row at least.
+
+    Rows are taken, not sliced: a slice that is cast keeps its first offset, which ``ascii_lower`` doesn't look at.
+    """
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         done = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, side="right")))
-        yield batch.slice(at, end - at)
+        end = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.take(pa.array(np.arange(at, end)))
         at = end
 
 
@@ -87,24 +90,24 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     return table.select([*_KEYS, "n_sum", "docs_sum"]).rename_columns([*_KEYS, "n", "docs"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], batch_bytes: int, held_rows: int) -> Iterator[pa.RecordBatch]:
     """A task's counts by language, source and term."""
     held: list[pa.Table] = []
     for batch in batches:
-        for piece in _pieces(batch):
+        for piece in _pieces(batch, batch_bytes):
             held.append(_terms(piece))
-            if sum(len(t) for t in held) > HELD_ROWS:
+            if sum(len(t) for t in held) > held_rows:
                 held = [_merged(held)]
-                if len(held[0]) > HELD_ROWS // 2:
+                if len(held[0]) > held_rows // 2:
                     yield from held.pop().to_batches(max_chunksize=65_536)
     if held:
         yield from _merged(held).to_batches(max_chunksize=65_536)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, batch_bytes: int = BATCH_BYTES, held_rows: int = HELD_ROWS) -> DataFrame:
     """lang, source, term, n (occurrences), docs (texts): merged, a row for each; '' as term marks a group that is there."""
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")}
-    partial = docs.select(*text.values()).mapInArrow(_counted, _COUNTS)
+    partial = docs.select(*text.values()).mapInArrow(lambda batches: _counted(batches, batch_bytes, held_rows), _COUNTS)
     return materialize(partial.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 

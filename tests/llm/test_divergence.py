@@ -67,14 +67,12 @@ def texts(seed, n=120):
 
 
 @pytest.mark.parametrize("piece, held, shard", [(4 << 20, 400_000, 200_000), (300, 40, 50)])
-def test_divergence(spark, monkeypatch, piece, held, shard):
-    monkeypatch.setattr(divergence, "BATCH_BYTES", piece)
-    monkeypatch.setattr(divergence, "HELD_ROWS", held)
+def test_divergence(spark, piece, held, shard):
     rows = texts(1)
     rows += [(" ".join(["alpha"] * 20_000 + ["long"]), "en", "a")] + [("copy of a text", "en", "b")] * 30
     rows += [(None, "fr", "a"), ("", "fr", "b"), ("one two", "fr", "c")]  # a language without kept terms
     df = spark.createDataFrame([(i, *row, "clash") for i, row in enumerate(rows)], DOCS).repartition(4)
-    got = divergence.divergences(divergence.term_counts(df), shard_rows=shard).collect()
+    got = divergence.divergences(divergence.term_counts(df, piece, held), shard_rows=shard).collect()
     got = {(r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in got}
     want = audited(rows)
     assert got == want
