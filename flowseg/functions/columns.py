@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEX_DIGITS = 15  # of a hash, compared with a threshold: 60 bits
 _HEX_SPAN = 16**HEX_DIGITS
@@ -45,3 +46,11 @@ def as_double_array(df: DataFrame, name: str) -> Column:
 def quoted(name: str) -> Column:
     """A column by its literal name, also when the name holds dots, slashes or dashes."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def usable(name: str, dtype: T.DataType) -> Column:
+    """The value, or NULL where it is missing: NULL, NaN or infinite."""
+    c = quoted(name)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return c

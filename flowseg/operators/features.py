@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowseg.functions.columns import quoted
+from flowseg.functions.columns import quoted, usable
 from flowseg.functions.tables import BROADCAST_ROWS, is_small, lookup_join, materialize, with_row_index
+from flowseg.operators.moments import Moments
 from flowseg.specs import PRUNE_THRESHOLD, REPORT_THRESHOLD
 
 INDEX_SUFFIX = "_idx"
@@ -104,18 +106,10 @@ def label_encode(
 # --- imputation -----------------------------------------------------------
 
 
-def _usable(name: str, dtype: T.DataType) -> Column:
-    """The value, or NULL where it is missing: NULL, NaN or infinite."""
-    c = quoted(name)
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    return c
-
-
 def column_means(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """Mean of the usable values per column, in one aggregation; an empty column raises."""
     types = {f.name: f.dataType for f in df.schema}
-    row = df.agg(*[F.avg(_usable(c, types[c])).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(usable(c, types[c])).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     means = {c: row[f"m{i}"] for i, c in enumerate(cols)}
     empty = [c for c, m in means.items() if m is None]
     if empty:
@@ -129,10 +123,13 @@ def impute_mean(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
         return df
     means = column_means(fit_on if fit_on is not None else df, cols)
     types = {f.name: f.dataType for f in df.schema}
-    filled = {}
-    for c in cols:
-        mean = means[c] if isinstance(types[c], T.FractionalType) else int(means[c])
-        filled[c] = F.coalesce(_usable(c, types[c]), F.lit(mean).cast(types[c])).alias(c)
+    return fill_missing(df, {c: means[c] if isinstance(types[c], T.FractionalType) else int(means[c]) for c in cols})
+
+
+def fill_missing(df: DataFrame, fills: dict[str, float | int]) -> DataFrame:
+    """Missing numbers replaced by the given ones."""
+    types = {f.name: f.dataType for f in df.schema}
+    filled = {c: F.coalesce(usable(c, types[c]), F.lit(fill).cast(types[c])).alias(c) for c, fill in fills.items()}
     return df.select(*[filled.get(c, quoted(c)) for c in df.columns])
 
 
@@ -155,6 +152,18 @@ def standardize(
     return fit_scaler(fit_on if fit_on is not None else df, vector, out).transform(df)
 
 
+def scale_by_moments(df: DataFrame, moments: Moments, names: list[str], out: str = "scaled_features") -> DataFrame:
+    """``standardize`` of the named columns with means and deviations that are known already."""
+    place = {c: i for i, c in enumerate(moments.names)}
+    means, deviations = moments.mean.tolist(), moments.deviations().tolist()
+    scaled = [
+        (quoted(c).cast("double") - means[place[c]]) / deviations[place[c]] if deviations[place[c]] > 0 else F.lit(0.0)
+        for c in names
+    ]
+    size = {"ml_attr": {"num_attrs": len(names)}}
+    return df.select(*[quoted(c) for c in df.columns], array_to_vector(F.array(*scaled)).alias(out, metadata=size))
+
+
 # --- correlation ----------------------------------------------------------
 
 
@@ -163,7 +172,11 @@ def correlation_matrix(df: DataFrame, cols: list[str], vector: str = "scaled_fea
 
     Only the d x d matrix passes through the driver, never rows.
     """
-    matrix = Correlation.corr(df.select(vector), vector, "pearson").first()[0].toArray()
+    return correlation_table(df, cols, Correlation.corr(df.select(vector), vector, "pearson").first()[0].toArray())
+
+
+def correlation_table(df: DataFrame, cols: list[str], matrix) -> DataFrame:
+    """A d x d matrix as rows ``(i, j, col_i, col_j, r)``."""
     rows = [
         (i, j, cols[i], cols[j], float(matrix[i, j])) for i in range(len(cols)) for j in range(len(cols))
     ]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowseg.functions.columns import quoted
 from flowseg.functions.tables import materialize, with_row_index
-from flowseg.operators import classify, cluster, enrich, evaluate, features, reduce, rules, sample
+from flowseg.operators import classify, cluster, enrich, evaluate, features, moments, reduce, rules, sample
 from flowseg.operators.features import INDEX_SUFFIX
 from flowseg.sources import load, load_flows, save, stage
 from flowseg.specs import PCA_SAMPLE_FRACTION, FlowSpec
@@ -41,7 +41,7 @@ def preprocess(flows: DataFrame, spec: FlowSpec, prune_vector: bool = False, fit
 
     Source columns keep their names; string features gain a code column.
     ``prune_vector`` takes redundant features out of the vector and of its
-    names, at the cost of one more pass; the table keeps their columns, so that
+    names; the table keeps their columns, so that
     later steps still find those they need. ``fit_on`` fits every model on other rows (a
     training part) than it is applied to.
     """
@@ -57,26 +57,16 @@ def preprocess(flows: DataFrame, spec: FlowSpec, prune_vector: bool = False, fit
         table, train = flows, fit_on
     numbers = features.numeric_columns(table, spec.protected | {c for c in codes.values()})
     names = numbers + [codes[c] for c in strings]
-    # every later fit reads the encoded table once more
+    # the moments of the encoded columns say all that is fitted from here on
     table = materialize(table)
-    base = table if train is None else materialize(train)
-    filled = features.impute_mean(table, names, base)
-    filled_base = filled if train is None else features.impute_mean(base, names, base)
-    vectors = features.assemble(filled, names)
-    scaler = features.fit_scaler(vectors if train is None else features.assemble(filled_base, names))
-    scaled = scaler.transform(vectors).drop("features")
-    if not prune_vector:
-        return Preprocessed(scaled, names, [])
-    scaled_base = scaled if train is None else scaler.transform(features.assemble(filled_base, names))
-    corr = features.correlation_matrix(scaled_base, names)
-    dropped = [r["dropped"] for r in features.prune_list(corr).orderBy("i").collect()]
-    if dropped:
-        kept = [c for c in names if c not in set(dropped)]
-        vectors = features.assemble(scaled.drop("scaled_features"), kept)
-        fit_vectors = None if train is None else features.assemble(filled_base, kept)
-        scaled = features.standardize(vectors, fit_on=fit_vectors).drop("features")
-        return Preprocessed(scaled, kept, dropped)
-    return Preprocessed(scaled, names, dropped)
+    known = moments.filled_moments(table if train is None else train, names)
+    filled = features.fill_missing(table, known.fills)
+    dropped: list[str] = []
+    if prune_vector:
+        corr = features.correlation_table(table, names, known.correlations())
+        dropped = [r["dropped"] for r in features.prune_list(corr).orderBy("i").collect()]
+    kept = [c for c in names if c not in set(dropped)]
+    return Preprocessed(features.scale_by_moments(filled, known, kept), kept, dropped)
 
 
 def preprocess_job(spark: SparkSession, spec: FlowSpec, prune_vector: bool = False) -> DataFrame:
