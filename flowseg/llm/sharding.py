@@ -7,9 +7,10 @@ version. Rebalancing edits it: a slot stays where it is as long as its shard has
 room, and the rest move. Records themselves never move between slots.
 
 A slot with over ``HOT_SHARE`` of a shard's fair bytes (an id that holds many of
-the rows) is split by the part of the input that a record comes from, so that
-its parts can go to different shards. There are at most SLOTS + 1 / HOT_SHARE parts a
-shard of these, whatever the input's size.
+the rows) is split into pieces by what its records hold, equal ones dealt in turn, so
+that its pieces can go to different shards. There are at most SLOTS + 1 / HOT_SHARE
+pieces a shard of these, whatever the input's size, and the same ones however the input
+is read, so a stored map fits the next reading.
 
 A row's position in its shard is gapless. It is the number of rows in the
 shard's earlier parts plus the row's number in its own part of a slot, so no
@@ -26,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowseg.functions.tables import materialize
+from flowseg.functions.tables import materialize, scratch_path
+from flowseg.sources.stages import path_exists
 
 SLOTS = 4096
 HOT_SHARE = 1 / 64
 HEAD_BYTES = 16
+_MAP = "virtual_slot int, sub int, shard int, version int"
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -45,14 +48,32 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def slot_parts(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows and bytes by virtual slot, hot slots by ``sub`` as well. ``sub`` is 0 for all other slots."""
-    counts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-    slots = counts.groupBy("virtual_slot").agg(F.sum("bytes").alias("slot_bytes"))
+def with_sub(rows: DataFrame, shards: int) -> DataFrame:
+    """Adds ``sub``: 0, or for rows of a hot slot the piece of it that they belong to.
+
+    Equal rows are numbered through, over all input parts, and dealt in turn, from a
+    piece that their content names. So it depends on what is there, not on how it was read.
+    """
+    slots = rows.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"))
     fair = F.sum("slot_bytes").over(W.partitionBy()) / shards * HOT_SHARE  # one row a slot
-    pieces = slots.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("slot_bytes") / fair)).cast("int"))
-    sub = F.pmod(F.hash("part"), F.col("pieces")).cast("int")
-    return counts.join(pieces.select("virtual_slot", "pieces"), "virtual_slot").withColumn("sub", sub)
+    pieces = slots.select("virtual_slot", F.greatest(F.lit(1), F.ceil(F.col("slot_bytes") / fair)).cast("int").alias("pieces"))
+    pieces = materialize(pieces.filter("pieces > 1"))
+    if pieces.isEmpty():
+        return rows.withColumn("sub", F.lit(0))
+    marked = rows.join(F.broadcast(pieces), "virtual_slot", "left").withColumn("content", F.xxhash64("doc_id", "text_crc32", "size"))  # SLOTS rows at most
+    hot = marked.filter("pieces IS NOT NULL")
+    counts = hot.groupBy("virtual_slot", "content", "part").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("virtual_slot", "content").orderBy("part")) - F.col("c")
+    number = F.row_number().over(W.partitionBy("virtual_slot", "content", "part").orderBy("size")) - 1
+    dealt = hot.withColumn("k", number).join(counts.withColumn("before", before).drop("c"), ["virtual_slot", "content", "part"])
+    dealt = dealt.withColumn("sub", F.pmod(F.pmod("content", "pieces") + F.col("before") + F.col("k"), F.col("pieces")).cast("int"))
+    rest = marked.filter("pieces IS NULL").withColumn("sub", F.lit(0))
+    return materialize(rest.select(*rows.columns, "sub").unionByName(dealt.select(*rows.columns, "sub")))
+
+
+def slot_parts(rows: DataFrame) -> DataFrame:
+    """Rows and bytes by virtual slot, ``sub`` and input part."""
+    return rows.groupBy("virtual_slot", "sub", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
 def _choose(unit: Column, shards: int, most: Column) -> Column:
@@ -93,12 +114,28 @@ def slot_map(units: DataFrame, shards: int, previous: DataFrame | None = None, v
     return placed.select(F.lit(version).alias("version"), "p.*")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """Every document's shard by the law of near equal bytes, and its position there."""
-    rows = materialize(records(docs))
-    parts = materialize(slot_parts(rows, shards))
+def edit_map(units: DataFrame, shards: int, path: str) -> DataFrame:
+    """The map table at ``path`` gets its next version, an edit of the last one, which is returned.
+
+    Versions are partitions of the table, so earlier ones stay as they were.
+    """
+    spark = units.sparkSession
+    last = spark.read.schema(_MAP).parquet(path).agg(F.max("version")).first()[0] if path_exists(spark, path) else None
+    previous = None if last is None else spark.read.schema(_MAP).parquet(path).filter(F.col("version") == last)
+    version = 1 if last is None else last + 1
+    slot_map(units, shards, previous, version).write.mode("append").partitionBy("version").parquet(path)
+    return spark.read.schema(_MAP).parquet(path).filter(F.col("version") == version).select("version", "virtual_slot", "sub", "shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, map_path: str | None = None) -> DataFrame:
+    """Every document's shard by the law of near equal bytes, and its position there.
+
+    ``map_path`` is where the map is kept from one run to the next.
+    """
+    rows = with_sub(materialize(records(docs)), shards)
+    parts = materialize(slot_parts(rows))
     units = parts.groupBy("virtual_slot", "sub").agg(F.sum("bytes").alias("bytes"))
-    placed = materialize(slot_map(units, shards))
+    placed = edit_map(units, shards, map_path or scratch_path(docs.sparkSession, "slot_map"))
     runs = parts.select("virtual_slot", "part", "sub", "rows").join(placed, ["virtual_slot", "sub"])
     # positions: shards' units one after the other, in each unit the input parts one after the other
     in_unit = F.sum("rows").over(W.partitionBy("virtual_slot", "sub").orderBy("part")) - F.col("rows")
@@ -108,12 +145,12 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     offsets = (
         runs.withColumn("in_unit", in_unit)
         .join(starts, ["virtual_slot", "sub"])
-        .select("virtual_slot", "part", "shard", "version", (F.col("before") + F.col("in_unit")).alias("offset"))
+        .select("virtual_slot", "sub", "part", "shard", "version", (F.col("before") + F.col("in_unit")).alias("offset"))
     )
-    number = F.row_number().over(W.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
+    number = F.row_number().over(W.partitionBy("virtual_slot", "sub", "part").orderBy("doc_id", "text_crc32", "size"))
     return (
         rows.withColumn("number", number)
-        .join(materialize(offsets), ["virtual_slot", "part"])
+        .join(materialize(offsets), ["virtual_slot", "sub", "part"])
         .select(
             "doc_id",
             "size",

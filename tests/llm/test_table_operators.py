@@ -83,6 +83,37 @@ def test_shards_are_even_and_gapless(spark, hot):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["copies", "nulls"])
+def test_one_hot_id_in_few_parts(spark, kind):
+    """A third of the rows under one id, equal or without an id, read in one part and in five: even, and the same pieces."""
+    rng = random.Random(3)
+    rows = [(7 if kind == "copies" else None, "x" * (200 if kind == "copies" else rng.randint(1, 400))) if i % 3 == 0 else (i, "x" * rng.randint(1, 400)) for i in range(6000)]
+    docs, found = spark.createDataFrame(rows, DOCS), []
+    for parts in (1, 5):
+        df = docs.coalesce(1) if parts == 1 else docs.repartition(5, "text")
+        got = sharding.shard_documents(df, 40).collect()
+        loads, places = Counter(), {}
+        for r in got:
+            loads[r["shard"]] += r["size"]
+            places.setdefault(r["shard"], []).append(r["slot"])
+        mean = sum(loads.values()) / 40
+        assert len(got) == 6000 and len(loads) == 40 and max(abs(x - mean) for x in loads.values()) < 0.03 * mean
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        found.append(Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got))
+    assert found[0] == found[1]
+
+
+def test_a_kept_map_is_edited(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(1, 400)) for i in range(3000)]
+    path, docs = f"{tmp_path}/map", spark.createDataFrame(rows, DOCS)
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 8, path).collect()}
+    more = docs.unionByName(spark.createDataFrame([(5000 + i, "y" * rng.randint(1, 400)) for i in range(60)], DOCS))
+    again = sharding.shard_documents(more, 8, path).collect()
+    assert {r["map_version"] for r in again} == {2} and {r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()} == {1, 2}
+    assert sum(first[r["doc_id"]] != r["shard"] for r in again if r["doc_id"] in first) < 0.1 * len(rows)
+
+
 def test_rebalancing_moves_little(spark):
     rng = random.Random(2)
     units = spark.createDataFrame([(i, 0, rng.randint(1, 1000)) for i in range(500)], "virtual_slot int, sub int, bytes long")
