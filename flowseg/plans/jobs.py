@@ -6,7 +6,7 @@ run alone once the ones before it have.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from flowseg.functions.columns import quoted
 from flowseg.functions.tables import materialize, with_row_index
 from flowseg.operators import classify, cluster, enrich, evaluate, features, moments, reduce, rules, sample
 from flowseg.operators.features import INDEX_SUFFIX
-from flowseg.sources import load, load_flows, save, stage
+from flowseg.sources import load, load_flows, save, stage, stage_mark
 from flowseg.specs import PCA_SAMPLE_FRACTION, FlowSpec
 
 PREPROCESSED = "preprocessed_data"
@@ -70,13 +70,14 @@ def preprocess(flows: DataFrame, spec: FlowSpec, prune_vector: bool = False, fit
 
 
 def preprocess_job(spark: SparkSession, spec: FlowSpec, prune_vector: bool = False) -> DataFrame:
-    """Load and preprocess a dataset, or read the stored stage."""
+    """Load and preprocess a dataset, or read the stage stored with the same settings."""
     def build() -> DataFrame:
         done = preprocess(load_flows(spark, spec), spec, prune_vector)
         features.save_feature_names(spark, done.names, spec.stage(FEATURE_NAMES))
         return done.table
 
-    return stage(spark, spec.stage(PREPROCESSED), build)
+    settings = replace(spec, pca_variance=None, pca_k=None, sample_size=None, sample_method="")
+    return stage(spark, spec.stage(PREPROCESSED), build, repr((settings, prune_vector)))
 
 
 def reduce_table(table: DataFrame, spec: FlowSpec) -> DataFrame:
@@ -90,9 +91,9 @@ def reduce_table(table: DataFrame, spec: FlowSpec) -> DataFrame:
 
 
 def reduce_job(spark: SparkSession, spec: FlowSpec) -> DataFrame:
-    return stage(
-        spark, spec.stage(REDUCED), lambda: reduce_table(load(spark, spec.stage(PREPROCESSED)), spec)
-    )
+    source = spec.stage(PREPROCESSED)
+    settings = repr((spec.pca_variance, spec.pca_k, spec.uid, stage_mark(spark, source)))
+    return stage(spark, spec.stage(REDUCED), lambda: reduce_table(load(spark, source), spec), settings)
 
 
 def cluster_sample(table: DataFrame, spec: FlowSpec) -> DataFrame:

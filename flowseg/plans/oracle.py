@@ -213,6 +213,7 @@ ORACLES: dict[str, str] = {
     "csv_scan": f"{_F} SELECT {', '.join('round(duration, 6) AS duration' if c == 'duration' else c for c in CSV_COLUMNS)} FROM f",
     "csv_header_scan": f"{_F} SELECT service, count(*) AS n_flows, count(*) AS n_uids, CAST(sum(resp_bytes) AS BIGINT) AS resp_bytes FROM f GROUP BY service",
     "stage_reuse": f"{_F} SELECT uid, proto, orig_bytes FROM f",
+    "stage_rebuilt": f"{_F} SELECT uid, proto, orig_bytes FROM f WHERE orig_bytes > 30000",
     "save_and_load": f"{_F} SELECT uid, detailed_label, orig_pkts FROM f",
     "rules_csv": f"{_F} {_ALLOW} UNION ALL {_BLOCK}",
     "feature_names": _F + " " + " UNION ALL ".join(

@@ -8,7 +8,7 @@ from flowseg.sources.files import (
     read_zeek_lines,
     save,
 )
-from flowseg.sources.stages import stage, stage_exists
+from flowseg.sources.stages import stage, stage_exists, stage_mark
 
 __all__ = [
     "load",
@@ -19,4 +19,5 @@ __all__ = [
     "save",
     "stage",
     "stage_exists",
+    "stage_mark",
 ]

@@ -135,6 +135,8 @@ def test_stage_is_built_once(spark, tmp_path):
 
     assert stage(spark, path, build).count() == 5
     assert stage(spark, path, build).count() == 5 and len(calls) == 1
+    for settings, n in (("a", 2), ("a", 2), ("b", 3), ("a", 4), (None, 4)):
+        assert stage(spark, path, build, settings).count() == 5 and len(calls) == n
     assert load(spark, path).count() == 5
 
 
