@@ -18,18 +18,34 @@ def source_profile(
 ) -> DataFrame:
     """One row per source: distinct targets and ports, flows, share of unanswered flows.
 
-    The distinct counts first reduce to (source, target) and (source, port)
-    pairs, so a source that owns most flows is spread over its targets.
-    ``exact=False`` keeps sketches instead of pairs.
+    The flows reduce to (source, target) pairs, which also carry the flow counts, and
+    to (source, port) pairs, so a source that owns most flows is spread over its
+    targets, and no row is copied for the second distinct count: both kinds of pairs
+    are added up by source together. ``df`` is read once for each kind.
+    ``exact=False`` keeps sketches instead of pairs, in one reading.
+    NULL targets and ports are not counted; NULL is a source of its own.
     """
-    distinct = F.countDistinct if exact else F.approx_count_distinct
     silent = F.sum(F.when(quoted(response_bytes) == 0, 1).otherwise(0))
     flows = F.count(F.lit(1))
-    return df.groupBy(src_ip).agg(
-        distinct(quoted(dst_ip)).alias(PROFILE[0]),
-        distinct(quoted(dst_port)).alias(PROFILE[1]),
-        flows.alias(PROFILE[2]),
-        (silent / flows).alias(PROFILE[3]),
+    source = quoted(src_ip)
+    if not exact:
+        return df.groupBy(source).agg(
+            F.approx_count_distinct(quoted(dst_ip)).alias(PROFILE[0]),
+            F.approx_count_distinct(quoted(dst_port)).alias(PROFILE[1]),
+            flows.alias(PROFILE[2]),
+            (silent / flows).alias(PROFILE[3]),
+        )
+    known, none = F.col("_target").isNotNull().cast("long"), F.lit(0).cast("long")
+    ips = df.groupBy(source, quoted(dst_ip).alias("_target")).agg(flows.alias("_flows"), silent.alias("_silent"))
+    ports = df.select(source, quoted(dst_port).alias("_target")).distinct()
+    pairs = ips.select(source, known.alias("_ip"), none.alias("_port"), "_flows", "_silent").unionByName(
+        ports.select(source, none.alias("_ip"), known.alias("_port"), none.alias("_flows"), none.alias("_silent"))
+    )
+    return pairs.groupBy(source).agg(
+        F.sum("_ip").alias(PROFILE[0]),
+        F.sum("_port").alias(PROFILE[1]),
+        F.sum("_flows").alias(PROFILE[2]),
+        (F.sum("_silent") / F.sum("_flows")).alias(PROFILE[3]),
     )
 
 

@@ -125,6 +125,38 @@ def csv_header_scan(spark, sf_dir):
     )
 
 
+def _damaged_csv(spark, sf_dir) -> FlowSpec:
+    """The flows as records: some cut short, some with a field too many, some with a value that is no number."""
+    root = scratch_path(spark, "csv")
+    source = flows(spark, sf_dir).select(*CSV_COLUMNS, "orig_pkts")
+    fields = [f"coalesce(CAST({c} AS STRING), '-')" for c in CSV_COLUMNS]
+    odd = [f"CASE WHEN {CSV_ODD_VALUE} THEN 'n/a' ELSE {x} END" if c == "resp_bytes" else x for c, x in zip(CSV_COLUMNS, fields)]
+    record = (
+        f"CASE WHEN {CSV_SHORT} THEN concat_ws(',', {', '.join(fields[:5])})"
+        f" WHEN {CSV_LONG} THEN concat_ws(',', {', '.join(fields)}, 'more') ELSE concat_ws(',', {', '.join(odd)}) END"
+    )
+    source.select(F.expr(record).alias("value")).write.text(root)
+    return replace(_csv_spec(source.drop("orig_pkts").schema, root, False), file_glob="*.txt")
+
+
+CSV_SHORT = "src_port = 40002 AND orig_pkts % 10 = 2"
+CSV_LONG = "src_port = 40003 AND orig_pkts % 10 = 3"
+CSV_ODD_VALUE = "src_port = 40004 AND orig_pkts % 10 = 4"
+
+
+def csv_parse(spark, sf_dir):
+    """Records of the right width; a value that does not parse is NULL."""
+    good, _ = files.parse_csv_flows(spark, _damaged_csv(spark, sf_dir))
+    return _rounded(good.drop("uid"), ["duration"], 6)
+
+
+def csv_rejects(spark, sf_dir):
+    """Records of another width, as they stood in the file."""
+    _, bad = files.parse_csv_flows(spark, _damaged_csv(spark, sf_dir))
+    first = F.split("value", ",")[0].alias("src_ip")
+    return bad.groupBy("n_fields", first).agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def stage_reuse(spark, sf_dir):
     """The second call reads the stored stage; its own builder would drop all rows."""
     path = scratch_path(spark, "stage")
@@ -288,6 +320,15 @@ def pca_choose_k(spark, sf_dir):
     return df.sparkSession.createDataFrame(targets, "target double, k int")
 
 
+def pca_plane(spark, sf_dir):
+    """One component of two, turned so that it grows with the first input."""
+    df = features.assemble(flows(spark, sf_dir).select("uid", *PLANE), PLANE, "scaled_features")
+    first = vector_to_array("pca_features")[0].alias("first")
+    reduced = materialize(jobs.reduce_table(df, replace(SPEC, pca_k=1)).select("uid", PLANE[0], first))
+    sign = -1.0 if reduced.agg(F.covar_samp("first", PLANE[0])).first()[0] < 0 else 1.0
+    return reduced.select("uid", F.round(F.col("first") * sign, 4).alias("first"))
+
+
 def pca_reduce(spark, sf_dir):
     """The number of components chosen on a sample, then fitted on and applied to all flows."""
     done = jobs.preprocess(flows(spark, sf_dir), SPEC)
@@ -358,6 +399,12 @@ def largest_clusters(spark, sf_dir):
     return cluster.largest_clusters(flows(spark, sf_dir).filter("orig_pkts > 10"), 4, "clusterId")
 
 
+def largest_clusters_all(spark, sf_dir):
+    """The ten largest of many segments, over all flows."""
+    segment = F.when(F.col("dst_port") % 23 == 0, cluster.NOISE).otherwise(F.col("dst_port") % 23).alias("segment")
+    return cluster.largest_clusters(flows(spark, sf_dir).select(segment), cluster="segment")
+
+
 def cluster_summary(spark, sf_dir):
     return cluster.summary(flows(spark, sf_dir), "clusterId")
 
@@ -441,6 +488,61 @@ def tree_enriched_weighted(spark, sf_dir):
     return _trained(spark, sf_dir, "weighted", enriched=True)
 
 
+#: Noisy labels over few different vectors: a tree's answer is the (weighted) majority of the rows with the vector,
+#: so the strategies and the enrichment give different predictions.
+VOTES = {"third": "CAST(floor((orig_pkts - 1) / 17) AS INT)", "label": "CASE WHEN orig_bytes % 100 < 40 + orig_pkts THEN 1 ELSE 0 END"}
+VOTES_SPEC = replace(SPEC, five_tuple=FIVE_TUPLE | {"SIP": "src_port"})
+
+
+def _votes_table(spark, sf_dir, columns: list[str]) -> DataFrame:
+    df = flows(spark, sf_dir).drop("prediction", "label").withColumn("third", F.expr(VOTES["third"])).withColumn("label", F.expr(VOTES["label"]))
+    return features.assemble(df, columns, "scaled_features")
+
+
+def _votes(spark, sf_dir, strategy: str, enriched: bool = False) -> DataFrame:
+    """``enriched`` knows a flow's line only by the behaviour of the source."""
+    base = _votes_table(spark, sf_dir, ["third"] if enriched else ["third", "src_port"])
+    if enriched:
+        base = jobs.enrich_table(base, VOTES_SPEC)
+    _, tested = jobs.train(materialize(base), VOTES_SPEC, strategy, enriched)
+    return tested.select("uid", "label", "prediction")
+
+
+def votes_plain(spark, sf_dir):
+    return _votes(spark, sf_dir, "plain")
+
+
+def votes_undersampled(spark, sf_dir):
+    return _votes(spark, sf_dir, "undersample")
+
+
+def votes_weighted(spark, sf_dir):
+    return _votes(spark, sf_dir, "weighted")
+
+
+def votes_enriched(spark, sf_dir):
+    return _votes(spark, sf_dir, "plain", enriched=True)
+
+
+def votes_enriched_undersampled(spark, sf_dir):
+    return _votes(spark, sf_dir, "undersample", enriched=True)
+
+
+def votes_enriched_weighted(spark, sf_dir):
+    return _votes(spark, sf_dir, "weighted", enriched=True)
+
+
+def enriched_job(spark, sf_dir):
+    """The job over stored stages, beside a stored plain tree: metrics of the enriched, weighted one."""
+    spec = VOTES_SPEC.at(scratch_path(spark, "stages"))
+    base = _votes_table(spark, sf_dir, ["third"])
+    save(base, spec.stage(jobs.PREPROCESSED))
+    model, _ = jobs.train(load(spark, spec.stage(jobs.PREPROCESSED)), spec)
+    classify.save_model(model, spec.stage(jobs.TREE))
+    _, found = jobs.enriched_job(spark, spec, "weighted")
+    return _metrics_rounded(found["metrics"])
+
+
 def tree_reload(spark, sf_dir):
     """A stored tree, applied to all flows."""
     path = scratch_path(spark, "tree")
@@ -475,6 +577,27 @@ def outcome_means(spark, sf_dir):
     return _rounded(found, ["duration", "orig_bytes", "orig_pkts"], 4)
 
 
+def outcome_means_coded(spark, sf_dir):
+    """Text features are averaged by their codes."""
+    coded = ["conn_state", "service"]
+    df = flows(spark, sf_dir).select("label", "detailed_label", "prediction", "duration", *coded)
+    found = evaluate.outcome_feature_means(
+        features.label_encode(df, coded), "label", "detailed_label", features=("duration", "history", *coded),
+        sources={c: c + features.INDEX_SUFFIX for c in coded},
+    )
+    return _rounded(found, ["duration", *coded], 4)
+
+
+def reports_guarded(spark, sf_dir):
+    """Without an attack column the reports by attack are left out, the others stay."""
+    found = jobs.reports(flows(spark, sf_dir).drop("detailed_label"), SPEC)
+    counts = [df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows")) for name, df in found.items() if df is not None]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 # --- rules ----------------------------------------------------------------
 
 
@@ -502,6 +625,19 @@ def learned_rules(spark, sf_dir):
     return rules.rule_table(classify.predict(model, base), FIVE_TUPLE, "clusterId")
 
 
+#: Of the vector that segments are looked for in.
+SEGMENT_PLANE = ["duration", "orig_pkts"]
+
+
+def segment_rules(spark, sf_dir):
+    """All flows, clustered by source and numbered through the sources, with a tree's predictions, to rules."""
+    df = features.assemble(flows(spark, sf_dir).drop("prediction", "clusterId"), SEGMENT_PLANE, "scaled_features")
+    df = materialize(df.withColumn("pca_features", F.array(*[F.col(c).cast("double") for c in SEGMENT_PLANE])))
+    segments = jobs.cluster_table(df, replace(SPEC, sample_size=None), ("src_ip",))
+    clustered = cluster.flows_in_clusters(df, segments, "uid")
+    return rules.rule_table(classify.predict(classify.train_tree(df, "label"), clustered), FIVE_TUPLE)
+
+
 # --- behaviour ------------------------------------------------------------
 
 
@@ -533,16 +669,17 @@ def rescale_behaviour(spark, sf_dir):
 
 
 QUERIES = [
-    zeek_parse, zeek_rejects, zeek_scan, csv_scan, csv_header_scan, stage_reuse, stage_rebuilt, save_and_load, rules_csv, feature_names,
+    zeek_parse, zeek_rejects, zeek_scan, csv_scan, csv_header_scan, csv_parse, csv_rejects, stage_reuse, stage_rebuilt, save_and_load, rules_csv, feature_names,
     binary_label, add_uid, add_uid_salted,
     label_encode, label_encode_large, impute_mean, standardize, corr_matrix, corr_pairs, prune_correlated, preprocess, preprocess_pruned,
-    pca_norms, pca_total_variance, pca_explained_variance, pca_choose_k, pca_reduce,
+    pca_norms, pca_total_variance, pca_explained_variance, pca_choose_k, pca_plane, pca_reduce,
     hash_sample, capped_sample, balanced_sample, balanced_sample_large, hash_split, undersample, class_weights, weighted_rows,
-    attach_clusters, flows_in_clusters, largest_clusters, cluster_summary, core_distance, reachability,
+    attach_clusters, flows_in_clusters, largest_clusters, largest_clusters_all, cluster_summary, core_distance, reachability,
     core_distance_blocks, reachability_blocks, optics_segments_blocks,
     optics_segments, optics_by_group, flow_segments,
     tree_plain, tree_undersampled, tree_weighted, tree_enriched, tree_enriched_undersampled, tree_enriched_weighted, tree_reload,
-    confusion, binary_metrics, benign_breakdown, attack_breakdown, outcome_means,
-    allow_rules, block_rules, rule_table, rule_preview, learned_rules,
+    votes_plain, votes_undersampled, votes_weighted, votes_enriched, votes_enriched_undersampled, votes_enriched_weighted, enriched_job,
+    confusion, binary_metrics, benign_breakdown, attack_breakdown, outcome_means, outcome_means_coded, reports_guarded,
+    allow_rules, block_rules, rule_table, rule_preview, learned_rules, segment_rules,
     source_profile, enrich_join, enrich_join_salted, rescale_behaviour,
 ]

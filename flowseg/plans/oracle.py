@@ -5,7 +5,9 @@ from __future__ import annotations
 from flowseg.functions.columns import HEX_DIGITS, hash_cut
 from flowseg.operators.enrich import PROFILE
 from flowseg.operators.evaluate import FALSE_POSITIVE, TRUE_NEGATIVE
-from flowseg.plans.catalog import CSV_COLUMNS, ENCODED, LARGE_ENCODED, LARGE_SAMPLE_ROWS, PLANE, SAMPLE_ROWS, SCALED
+from flowseg.plans.catalog import (
+    CSV_COLUMNS, CSV_LONG, CSV_ODD_VALUE, CSV_SHORT, ENCODED, LARGE_ENCODED, LARGE_SAMPLE_ROWS, PLANE, SAMPLE_ROWS, SCALED, SEGMENT_PLANE, VOTES,
+)
 from flowseg.plans.flows import FIVE_TUPLE, SPEC, VIEW_SQL
 from flowseg.specs import OPTICS_MIN_SAMPLES, OPTICS_XI, PRUNE_THRESHOLD, REPORT_THRESHOLD, SEED, SPECS
 
@@ -89,12 +91,15 @@ _PLANE = (
 _DIST = "list_max([abs(z[1] - z[2]) for z in list_zip(a.x, b.x)])"
 
 
-def _plot(group: str) -> str:
+_EMBEDDINGS = "SELECT {group} AS g, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+
+
+def _plot(group: str, points: str = _EMBEDDINGS) -> str:
     """The walk over the complete distance graph, one vertex per step, in every group."""
     return f"""
 WITH RECURSIVE p AS (
   SELECT row_number() OVER (PARTITION BY g ORDER BY x, vec_id) - 1 AS n, g, vec_id, x
-  FROM (SELECT {group} AS g, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+  FROM ({points.format(group=group)})
 ),
 d AS MATERIALIZED (SELECT a.g, a.n AS i, b.n AS j, {_DIST} AS w FROM p a JOIN p b ON a.g = b.g AND a.n <> b.n),
 st(g, step, n, w, lo, hi, par) AS (
@@ -123,10 +128,10 @@ FROM v JOIN p a ON a.n = v.n LEFT JOIN p b ON b.n = v.par
 """
 
 
-def _segments(group: str, columns: str) -> str:
+def _segments(group: str, columns: str, points: str = _EMBEDDINGS) -> str:
     """All pairs of steep areas, the latest valid one per up area, and the first fit from the left."""
     keep = f"(1 - CAST({OPTICS_XI} AS DOUBLE))"
-    return f"""{_plot(group)},
+    return f"""{_plot(group, points)},
 plot AS MATERIALIZED (
   SELECT v.g, v.n, v.ord AS pos, coalesce(v.w, 'infinity') AS r, coalesce(q.ord, -1) AS pred,
          coalesce(lead(v.w) OVER o, 'infinity') AS after, coalesce(lag(coalesce(v.w, 'infinity')) OVER o, 'infinity') AS before
@@ -206,12 +211,48 @@ def _learned(where: str = _TEST) -> str:
     return f"{_F} SELECT uid, label, CAST(label AS DOUBLE) AS prediction FROM f WHERE {where}"
 
 
+# undersampling keeps what hashes below the ratio of the classes; weights make the classes weigh the same
+_KEPT = f"(label = 0 OR q >= 1 OR substr({_md5(seed=SEED + 1)}, 1, {HEX_DIGITS}) < format('{{:0{HEX_DIGITS}x}}', CAST(floor(least(q, 1) * {16**HEX_DIGITS}.0::DOUBLE) AS BIGINT)))"
+
+
+def _votes(strategy: str) -> str:
+    """Majority of the training rows with the same vector, counted after undersampling or by weight; ties are benign."""
+    kept = _KEPT if strategy == "undersample" else "true"
+    one, zero = ("n1 * c0", "n0 * c1") if strategy == "weighted" else ("n1", "n0")
+    return f"""{_F}, v AS (SELECT * REPLACE ({VOTES["label"]} AS label), {VOTES["third"]} AS third FROM f),
+        tr AS (SELECT * FROM v WHERE {_below(0.7)}),
+        c AS (SELECT sum(label) AS c1, sum(1 - label) AS c0, CAST(sum(1 - label) AS DOUBLE) / sum(label) AS q FROM tr),
+        g AS (SELECT third, src_port, sum(label) AS n1, sum(1 - label) AS n0 FROM tr, c WHERE {kept} GROUP BY 1, 2),
+        t AS (SELECT uid, label, CAST(CASE WHEN {one} > {zero} THEN 1 ELSE 0 END AS DOUBLE) AS prediction
+              FROM (SELECT * FROM v WHERE {_TEST}) LEFT JOIN g USING (third, src_port), c)"""
+
+
+def _metrics(before: str, cells: str) -> str:
+    """All measures of the predictions in a table of the given CTEs."""
+    return f"""{before}, c2 AS ({cells}), m AS (SELECT *, tp + tn + fp + fn AS total FROM c2),
+        q AS (SELECT *, coalesce(tp / nullif(tp + fn, 0), 0) AS se, coalesce(tp / nullif(tp + fp, 0), 0) AS pr FROM m)
+        SELECT tp, tn, fp, fn, total, round(coalesce((tp + tn) / nullif(total, 0), 0), 6) AS accuracy, round(se, 6) AS sensitivity,
+        round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, round(pr, 6) AS precision,
+        round(coalesce(2 * pr * se / nullif(pr + se, 0), 0), 6) AS f1 FROM q"""
+
+
+_BY_SOURCE = f"SELECT {{group}} AS g, uid AS vec_id, [{', '.join(f'CAST({c} AS DOUBLE)' for c in SEGMENT_PLANE)}] AS x FROM ({VIEW_SQL})"
+_SEGMENTED = f"""WITH seg AS ({_segments("src_ip", "p.g AS g,", _BY_SOURCE)}),
+    nr AS (SELECT g, cluster_id, CAST(row_number() OVER (ORDER BY g, cluster_id) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT g, cluster_id FROM seg WHERE cluster_id <> -1)),
+    f AS (SELECT v.* REPLACE (CAST(v.label AS DOUBLE) AS prediction, coalesce(nr.k, -1) AS "clusterId")
+          FROM ({VIEW_SQL}) v JOIN seg ON seg.vec_id = v.uid LEFT JOIN nr ON nr.g = seg.g AND nr.cluster_id = seg.cluster_id)"""
+
+
 ORACLES: dict[str, str] = {
     "zeek_parse": f"{_F} SELECT {_ZEEK_COLUMNS} FROM f WHERE {_WHOLE}",
     "zeek_rejects": f"{_F} SELECT CAST(9 AS INTEGER) AS n_fields, count(*) AS n_lines FROM f WHERE ({_SHORT}) AND NOT ({_COMMENT}) HAVING count(*) > 0",
     "zeek_scan": f"{_F} SELECT proto, label, count(*) AS n_flows, CAST(sum(orig_bytes) AS BIGINT) AS orig_bytes, count(service) AS n_service FROM f WHERE {_WHOLE} GROUP BY proto, label",
     "csv_scan": f"{_F} SELECT {', '.join('round(duration, 6) AS duration' if c == 'duration' else c for c in CSV_COLUMNS)} FROM f",
     "csv_header_scan": f"{_F} SELECT service, count(*) AS n_flows, count(*) AS n_uids, CAST(sum(resp_bytes) AS BIGINT) AS resp_bytes FROM f GROUP BY service",
+    "csv_parse": f"{_F} SELECT {', '.join(CSV_COLUMNS)} FROM (SELECT * REPLACE (round(duration, 6) AS duration,"
+    f" CASE WHEN {CSV_ODD_VALUE} THEN NULL ELSE resp_bytes END AS resp_bytes) FROM f WHERE NOT ({CSV_SHORT}) AND NOT ({CSV_LONG}))",
+    "csv_rejects": f"{_F} SELECT CAST(CASE WHEN {CSV_SHORT} THEN 5 ELSE {len(CSV_COLUMNS) + 1} END AS INTEGER) AS n_fields, src_ip, count(*) AS n_records"
+    f" FROM f WHERE ({CSV_SHORT}) OR ({CSV_LONG}) GROUP BY 1, 2",
     "stage_reuse": f"{_F} SELECT uid, proto, orig_bytes FROM f",
     "stage_rebuilt": f"{_F} SELECT uid, proto, orig_bytes FROM f WHERE orig_bytes > 30000",
     "save_and_load": f"{_F} SELECT uid, detailed_label, orig_pkts FROM f",
@@ -247,6 +288,8 @@ ORACLES: dict[str, str] = {
     " UNION ALL SELECT 2, round(1 - s1, 6), 1.0 FROM s",
     "pca_choose_k": f"{_PLANE} SELECT t AS target, CAST(CASE WHEN s1 >= t THEN 1 ELSE 2 END AS INTEGER) AS k"
     " FROM s, (SELECT unnest([0.5::DOUBLE, 0.99::DOUBLE, 2.0::DOUBLE]) AS t)",
+    "pca_plane": f"{_PLANE}, e AS (SELECT (a + b) * s1 - b AS u, c AS w FROM m, s)"
+    f" SELECT uid, round(({PLANE[0]} * u + {PLANE[1]} * w) / sqrt(u * u + w * w), 4) AS first FROM f, e",
     "hash_sample": f"{_F} SELECT uid, proto FROM f WHERE {_below(0.2)}",
     "capped_sample": f"{_F} SELECT uid, proto FROM f WHERE {_below(0.05)} ORDER BY {_md5()}, uid LIMIT {SAMPLE_ROWS}",
     "balanced_sample": f"{_F} SELECT uid, label FROM (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY {_md5()}, uid) AS rk FROM f) WHERE rk <= {SAMPLE_ROWS // 2}",
@@ -259,6 +302,7 @@ ORACLES: dict[str, str] = {
     "attach_clusters": f"""{_F} SELECT uid, proto, CASE WHEN {_below(0.02)} THEN "clusterId" END AS "clusterId" FROM f WHERE {_below(0.05)}""",
     "flows_in_clusters": f"""{_F} SELECT uid, src_ip, label, "clusterId" FROM f WHERE {_below(0.05)}""",
     "largest_clusters": f"""{_F} SELECT "clusterId", count(*) AS count FROM f WHERE "clusterId" <> -1 AND orig_pkts > 10 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4""",
+    "largest_clusters_all": f"{_F} SELECT dst_port % 23 AS segment, count(*) AS count FROM f WHERE dst_port % 23 <> 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "cluster_summary": f"""{_F} SELECT count(*) AS n_points, count(DISTINCT CASE WHEN "clusterId" <> -1 THEN "clusterId" END) AS n_clusters,
         CAST(sum(CASE WHEN "clusterId" = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise,
         round(sum(CASE WHEN "clusterId" = -1 THEN 1 ELSE 0 END) / count(*) * 100, 2) AS noise_pct FROM f""",
@@ -272,6 +316,11 @@ ORACLES: dict[str, str] = {
     "tree_enriched": _learned(),
     "tree_enriched_undersampled": _learned(),
     "tree_enriched_weighted": _learned(),
+    **{
+        f"votes_{'enriched' * e}{'_' * (e and bool(tail))}{tail}" if e else f"votes_{tail or 'plain'}": f"{_votes(strategy)} SELECT uid, label, prediction FROM t"
+        for e in (False, True) for strategy, tail in (("plain", ""), ("undersample", "undersampled"), ("weighted", "weighted"))
+    },
+    "enriched_job": _metrics(_votes("weighted"), _CELLS.replace("FROM f", "FROM t")),
     "tree_reload": f"{_F} SELECT uid, CAST(label AS DOUBLE) AS prediction FROM f",
     "confusion": f"{_F} SELECT label, prediction, count(*) AS count FROM f GROUP BY 1, 2",
     "binary_metrics": f"""{_F}, c AS ({_CELLS}), m AS (SELECT *, tp + tn + fp + fn AS total FROM c),
@@ -286,11 +335,16 @@ ORACLES: dict[str, str] = {
     "outcome_means": f"""{_F} SELECT CASE WHEN label = 0 AND prediction = 1 THEN '{FALSE_POSITIVE}' WHEN label = 0 AND prediction = 0 THEN '{TRUE_NEGATIVE}'
         WHEN label = 1 AND prediction = 0 THEN 'FN-' || detailed_label ELSE 'TP-' || detailed_label END AS analysis_group, count(*) AS flow_count,
         round(avg(duration), 4) AS duration, round(avg(orig_bytes), 4) AS orig_bytes, round(avg(orig_pkts), 4) AS orig_pkts FROM f GROUP BY 1""",
+    "outcome_means_coded": f"""{_F}, {_codes(["conn_state", "service"])} SELECT CASE WHEN label = 0 AND prediction = 1 THEN '{FALSE_POSITIVE}' WHEN label = 0 AND prediction = 0 THEN '{TRUE_NEGATIVE}'
+        WHEN label = 1 AND prediction = 0 THEN 'FN-' || detailed_label ELSE 'TP-' || detailed_label END AS analysis_group, count(*) AS flow_count,
+        round(avg(duration), 4) AS duration, round(avg({_code("conn_state")}), 4) AS conn_state, round(avg({_code("service")}), 4) AS service FROM f GROUP BY 1""",
+    "reports_guarded": f"{_F} SELECT 'confusion' AS report, count(*) AS n_rows FROM (SELECT DISTINCT label, prediction FROM f) UNION ALL SELECT 'metrics', 1",
     "allow_rules": f"{_F} {_ALLOW}",
     "block_rules": f"{_F} {_BLOCK}",
     "rule_table": f"{_F} {_ALLOW} UNION ALL {_BLOCK}",
     "rule_preview": f'{_F}, r AS ({_ALLOW} UNION ALL {_BLOCK}) SELECT * FROM r ORDER BY "Micro-segment", Action, {", ".join(FIVE_TUPLE)} LIMIT 20',
     "learned_rules": f"""{_F.replace("AS (", "AS (SELECT * REPLACE (CAST(label AS DOUBLE) AS prediction) FROM (", 1)}) {_ALLOW} UNION ALL {_BLOCK}""",
+    "segment_rules": f"{_SEGMENTED} {_ALLOW} UNION ALL {_BLOCK}",
     "source_profile": f"{_F}, s AS ({_PROFILE}) SELECT * REPLACE (round(zero_resp_ratio, 6) AS zero_resp_ratio) FROM s",
     "enrich_join": f"{_F}, s AS ({_PROFILE}) SELECT uid, s.* REPLACE (round(zero_resp_ratio, 6) AS zero_resp_ratio) FROM f JOIN s ON f.src_ip = s.src_ip",
     "enrich_join_salted": f"{_F}, s AS ({_PROFILE}) SELECT proto, s.* REPLACE (round(zero_resp_ratio, 6) AS zero_resp_ratio) FROM f JOIN s ON f.src_ip = s.src_ip",
