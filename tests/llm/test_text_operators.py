@@ -282,5 +282,70 @@ def test_wrapped_notices_of_every_rule(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+NAMES_CLAUSE = " nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_holders_lists_and_repeated_notices(spark):
+    two_then_three, three_then_two = BSD2 + "\n\n" + BSD3, BSD3 + "\n\n" + BSD2
+    lesser = GPL.replace("General", "Lesser General").replace("program", "library")
+    cases = {
+        BSD2 + "\n3. Neither the name of the Example University" + NAMES_CLAUSE: "BSD-3-Clause",
+        BSD2 + "\n * Neither the name of Example Inc." + NAMES_CLAUSE: "BSD-3-Clause",
+        BSD2.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "b) Redistributions in"): "BSD-2-Clause",
+        two_then_three: "BSD-2-Clause,BSD-3-Clause", three_then_two: "BSD-2-Clause,BSD-3-Clause",
+        "\n\n".join([BSD2] * 1000): "BSD-2-Clause", "\n\n".join([BSD2] * 999 + [BSD3]): "BSD-2-Clause,BSD-3-Clause",
+        lesser.format(a=";", b=";", v="2.1") + HOPE: "LGPL-2.1-or-later", lesser.format(a=":", b=",", v=3): "LGPL-3.0-or-later",
+        GPL.replace("General", "Affero General").format(a=":", b=",", v=3) + HOPE: "AGPL-3.0-or-later",
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode": "Apache-2.0,MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later AND BSD-3-Clause\n": "BSD-3-Clause,GPL-2.0-or-later",
+        "Text.\n\nLicensed under either of the Apache License, Version 2.0 or the MIT license at your option.": "Apache-2.0,MIT",
+        "\n          Apache License\n    Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n TERMS": "Apache-2.0",
+    }
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(cases)), DOCS)).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert licences.scan(spark.createDataFrame([], DOCS)).count() == 0
+    dotted = spark.createDataFrame([("MIT" * 3, "Released under the MIT License.", 1)], "`a.b` string, text string, `licences.x` int")
+    assert licences.recognise(dotted).select("licences").first()["licences"] == ["MIT"]
+
+
+def _match_by_places(ids):
+    """Rules over a list of identifiers, places struck off one by one."""
+    left, found = list(ids), set()
+    for name, rule in licences.RULES:
+        start = 0
+        while True:
+            places, at = [], start
+            for want in rule:
+                while at < len(left) and left[at] != want:
+                    at += 1
+                if at == len(left):
+                    places = None
+                    break
+                places.append(at)
+                at += 1
+            if places is None:
+                break
+            found.add(name)
+            for place in places:
+                left[place] = None
+            start = at
+    return sorted(found | {licences.NAMED[i] for i in left if i in licences.NAMED})
+
+
+def test_rules_equal_a_search_by_places(spark):
+    rng = random.Random(11)
+    known = licences.known_units()
+    units = {i: u for u, i in known.items()}
+    used = sorted({i for _, rule in licences.RULES for i in rule} | {"under-MIT", "spdx-Zlib", "mit-warranty"})
+    rows, want = [], []
+    for n in range(400):
+        pool = rng.sample(used, rng.randint(1, 8))
+        ids = [rng.choice(pool) for _ in range(rng.randint(0, 25))]
+        rows.append((n, "\n\n".join(units[i] + "." if not i.startswith("spdx") else units[i] for i in ids)))
+        want.append((",".join(_match_by_places(ids)), ",".join(ids)))
+    got = licences.scan(spark.createDataFrame(rows, DOCS).repartition(3)).orderBy("doc_id").collect()
+    assert [(r["licences"], r["sentence_ids"]) for r in got] == want
+
+
 def test_combining_marks_belong_to_words():
     assert language_id.letters("हिन्दी, 12 भाषा!").decode() == "हिन्दी भाषा"
