@@ -14,12 +14,17 @@ so most are looked at for a step or two. A passage equal to the item meets it
 in every repetition. ``REPETITIONS`` is set for a recall of 0.95 where a tenth of
 the words are edited (tests/llm measures it).
 
-Items with fewer than ``MIN_WORDS`` words, among them NULL and empty ones, are
-common phrases rather than evidence and never match. A NULL or empty document
-has no passage. Equal items (repeated rows) each give their own row.
-
-The items are taken to the driver in blocks of at most ``BLOCK_BYTES``; each block
-is a pass over the documents, whose texts are not shuffled.
+Words are runs of letters and digits; scripts written without spaces count by
+the character. An item of fewer than ``MIN_WORDS`` words, for whose few words a share of
+edits means nothing, is looked up as it is, word for word. One of fewer than ``LEAST_WORDS``
+words, among them NULL and empty ones, is an answer rather than a passage and never
+matches: any text holds it. A NULL or empty document has no passage. Very long texts are
+searched whole, in portions of whole texts.
+
+Items of equal text count once, under their smallest id (NULL only where none has one);
+``equal_items`` says which ids stand together. The items are taken to the driver in blocks
+of at most ``BLOCK_BYTES`` of different texts; each block is a pass over the documents, whose
+texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -32,19 +37,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowseg.functions.tables import materialize
 from flowseg.llm.byte_bpe import portions
 
 MAX_EDITS = 0.2  #: share of an item's words
-MIN_WORDS = 8
+MIN_WORDS = 8  #: of an item that may be met with edits
+LEAST_WORDS = 4  #: of an item that may be met at all
 REPETITIONS = 9
 SAMPLES = 5
 STEPS = (9, 16)  #: steps of a walk, from and below
 BLOCK_BYTES = 8_000_000
 
-_WORD = re.compile(r"\w+")
+# Thai to Myanmar, Khmer, kana, and Chinese characters
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 
 
 def words(text: str | None) -> list[str]:
+    """Lower-case runs of letters and digits; single characters in scripts without spaces."""
     return _WORD.findall((text or "").lower())
 
 
@@ -79,7 +89,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int | None, str]], repetitions: int = REPETITIONS, seed: int = 7):
         split = [(i, words(t)) for i, t in items]
-        split = sorted(((i, w) for i, w in split if len(w) >= MIN_WORDS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        split = sorted(((i, w) for i, w in split if len(w) >= LEAST_WORDS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = _Ids((w, n) for n, w in enumerate(sorted({w for _, ws in split for w in ws}), 1))
         self.items = [(i, np.array([self.ids[w] for w in ws], dtype=np.int64)) for i, ws in split]
         self.reach = max([0, *(len(x) for _, x in self.items)]) * 2 + STEPS[1] + 2
@@ -87,6 +97,13 @@ class Matcher:
         begin = np.cumsum([0] + [len(x) + self.reach for _, x in self.items])[:-1]
         sizes = np.array([len(x) for _, x in self.items], dtype=np.int64)
         rng, self.rounds = np.random.default_rng(seed), []
+        # items that are looked up word for word: by number of words, their keys in order and which items they are
+        self.mix, self.lookups = rng.integers(0, 1 << 62, MIN_WORDS, dtype=np.int64) * 2 + 1, []
+        for n in range(LEAST_WORDS, MIN_WORDS):
+            short = np.flatnonzero(sizes == n)
+            if len(short):
+                keys = self._keys(np.concatenate([self.items[i][1] for i in short]), n)[::n]
+                self.lookups.append((n, np.sort(keys), short[np.argsort(keys, kind="stable")]))
         for _ in range(repetitions if self.items else 0):
             steps = int(rng.integers(*STEPS))
             walk = {
@@ -101,6 +118,11 @@ class Matcher:
             first[flat[begin + offset]] = True
             self.rounds.append((walk, first, [np.unique(k) for k in keys], keys[-1][order], order, offset))
 
+    def _keys(self, flat: np.ndarray, n: int) -> np.ndarray:
+        """A key for every n words that follow each other."""
+        with np.errstate(over="ignore"):
+            return sum((flat[k : len(flat) - n + 1 + k] * self.mix[k] for k in range(n)), np.zeros(max(len(flat) - n + 1, 0), dtype=np.int64))
+
     @staticmethod
     def _walk(flat, at, walk, prefixes):
         """Keys after each sample. With ``prefixes``, positions whose key so far no item has are given up."""
@@ -125,6 +147,12 @@ class Matcher:
         A window starts in the text that was met: at its first word (of ``begin``) if the item has more words before.
         """
         known, pairs = np.flatnonzero(flat), []
+        for n, keys, items in self.lookups:
+            here = self._keys(flat, n)
+            low, high = np.searchsorted(keys, here), np.searchsorted(keys, here, side="right")
+            at = np.flatnonzero(high > low)
+            times = (high - low)[at]
+            pairs.append(items[np.repeat(low[at] - np.cumsum(times) + times, times) + np.arange(times.sum())] * len(flat) + np.repeat(at, times))
         for walk, first, prefixes, keys, order, offset in self.rounds:
             at = known[first[flat[known]]]
             found, at = self._walk(flat, at, walk, prefixes)
@@ -151,7 +179,7 @@ class Matcher:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i, at in self._candidates(flat, begins).items():
             item = self.items[i][1]
-            most = int(MAX_EDITS * len(item))
+            most = int(MAX_EDITS * len(item)) if len(item) >= MIN_WORDS else 0
             different = np.unique(item)
             own = np.full(len(self.ids) + 1, len(different), dtype=np.int64)
             own[different] = np.arange(len(different))
@@ -173,13 +201,25 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, one at a time on the driver."""
+def _different(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(i, t): every text once, with the smallest id of the items that have it."""
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    return rows.groupBy("t").agg(F.min("i").alias("i")).select("i", "t")
+
+
+def equal_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, found_as): the id under which passages of an item are reported, for every item that has a text."""
+    own = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("t"))
+    return own.join(_different(items, item_id, text), "t").select("item_id", F.col("i").alias("found_as"))
+
+
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The different items in blocks of bounded size, one at a time on the driver."""
+    rows = materialize(_different(items, item_id, text))
     size = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     count = -(-size // (block_bytes // 2))
     for k in range(count):
-        part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k) if count > 1 else rows
+        part = rows.filter(F.pmod(F.xxhash64("t"), F.lit(count)) == k) if count > 1 else rows
         yield [(r["i"], r["t"]) for r in part.collect()]
 
 

@@ -191,6 +191,30 @@ def test_items_in_blocks_give_the_same(spark):
     assert len(blocks) > 3 and sorted(x for b in blocks for x in b) == items
 
 
+def test_short_items_and_unspaced_scripts_are_met_word_for_word():
+    rng = random.Random(8)
+    items = [(i, [f"s{rng.randrange(6)}" for _ in range(rng.randint(1, 10))]) for i in range(60)]
+    match = decontaminate.Matcher([(i, " ".join(w)) for i, w in items])
+    texts = [[f"s{rng.randrange(6)}" for _ in range(rng.randint(0, 60))] for _ in range(80)]
+    for text, hits in zip(texts, match([" ".join(t) for t in texts])):
+        want = {(i, next(k for k in range(len(text)) if text[k : k + len(w)] == w)) for i, w in items
+                if 4 <= len(w) < 8 and any(text[k : k + len(w)] == w for k in range(len(text)))}
+        assert {(i, a) for i, d, n, a, b in hits if n < 8} == want and all(d == 0 and b == a + n for _, d, n, a, b in hits if n < 8)
+    chinese = "今天天气很好我们一起去公园散步吧"
+    (hits,) = decontaminate.Matcher([(1, chinese), (2, "ไปเที่ยวทะเลกันเถอะวันนี้")])(["前言。" + chinese.replace("很", "真") + "！结束"])
+    assert [(h[0], h[1]) for h in hits] == [(1, 1)] and decontaminate.words("Ab1日本 c") == ["ab1", "日", "本", "c"]
+
+
+def test_equal_items_count_once(spark):
+    text = " ".join(f"word{k}" for k in range(20))
+    bench = spark.createDataFrame([(7, text), (3, text), (None, text), (5, "quite another item, with eight words or more"), (6, None)], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench.union(bench.crossJoin(spark.range(500)).select("item_id", "text")), block_bytes=600))
+    assert sorted(x[0] for b in blocks for x in b) == [3, 5]
+    docs = spark.createDataFrame([(1, "so " + text), (1, text), (2, "nothing")], DOCS)
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in decontaminate.passages(docs, bench).collect()) == [(1, 3, 0), (1, 3, 1)]
+    assert {(r["item_id"], r["found_as"]) for r in decontaminate.equal_items(bench).collect()} == {(7, 3), (3, 3), (None, 3), (5, 5)}
+
+
 MIT = """Copyright (c) 2020 Somebody
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
