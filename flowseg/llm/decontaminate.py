@@ -98,7 +98,7 @@ class Matcher:
         sizes = np.array([len(x) for _, x in self.items], dtype=np.int64)
         rng, self.rounds = np.random.default_rng(seed), []
         # items that are looked up word for word: by number of words, their keys in order and which items they are
-        self.mix, self.lookups = rng.integers(0, 1 << 62, MIN_WORDS, dtype=np.int64) * 2 + 1, []
+        self.mix, self.lookups = np.random.default_rng(seed + 1).integers(0, 1 << 62, MIN_WORDS, dtype=np.int64) * 2 + 1, []
         for n in range(LEAST_WORDS, MIN_WORDS):
             short = np.flatnonzero(sizes == n)
             if len(short):
