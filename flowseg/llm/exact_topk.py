@@ -17,13 +17,16 @@ Edge cases: vectors that are NULL or hold NULL or non-finite components take no
 part, neither as queries nor as candidates; nor do rows with a NULL id.
 Only vectors of a query's length are its candidates. Repeated rows of one id
 and vector are one candidate, and a query once; a query's own id is never its
-candidate. Ties go to the smaller id. A component beyond 2**26 is an error,
-since scores must fit 64 bits.
+candidate. Ties go to the smaller id. Bounds are doubles, widened by what rounding
+may have taken from them where scores may pass 2**51. Where scores may pass 2**62, exact
+ones are worked out in integers of any size; only a result that doesn't fit
+64 bits is an error, as is a component beyond 2**56.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -37,18 +40,17 @@ CELLS = 64
 QUERY_BLOCK = 4_096
 FIRST_ROUND = 16
 CHUNK = 2_000_000  #: bounds held at a time in a task
-LARGEST = 1 << 26
+LARGEST = 1 << 56  #: a component; 2**14 products of two of them fit 38 digits
 
 
 def integer_vectors(table: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id, vec: floor(scale * x) of every component, for vectors that take part."""
     x = F.col("embedding").cast("array<double>")
     usable = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    fits = F.assert_true(F.forall("vec", lambda v: F.abs(v) <= LARGEST), F.lit("a component is too large for 64-bit scores"))
-    return (
-        table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, F.transform(x, lambda v: F.floor(v * scale).cast("long"))).alias("vec"))
-        .filter("vec IS NOT NULL AND vec_id IS NOT NULL")
-        .filter(F.coalesce(fits.cast("boolean"), F.lit(True)))
+    large = F.raise_error(F.lit("a component is too large for exact scores")).cast("long")
+    floor = F.transform(x, lambda v: F.when(F.abs(v * scale) <= LARGEST, F.floor(v * scale).cast("long")).otherwise(large))
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable & F.col("vec_id").isNotNull(), floor).alias("vec")).filter(
+        "vec IS NOT NULL AND vec_id IS NOT NULL"
     )
 
 
@@ -78,16 +80,28 @@ def _cells(vectors: DataFrame) -> tuple[DataFrame, dict[int, tuple[np.ndarray, n
     return vectors.select("v", "dim", quantised("vec").alias("cells")), grids
 
 
+def _largest_score(low: np.ndarray, width: np.ndarray) -> int:
+    """A bound of every score's size, and of that of the terms it is made of."""
+    return sum(max(abs(a), abs(a + CELLS * w)) ** 2 for a, w in zip(low.tolist(), width.tolist()))
+
+
 def _bounds(cells: DataFrame, grids: dict, sent, dim: int, k: int) -> DataFrame:
     """(q, v, lower, upper) that may be among a query's k best, judged by what the task has met so far."""
     low, width = grids[dim]
+    largest = _largest_score(low, width)
+    exact = largest < 1 << 51  # up to 3 of them add up
+    slack = 0.0 if exact else float(largest) * (dim + 8) * 2.0**-50
+    if not exact:
+        low, width = low.astype(np.float64), width.astype(np.float64)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, queries = sent.value
+        if not exact:
+            queries = queries.astype(np.float64)
         base = (queries @ low).astype(np.float64)
         weights = (queries * width).astype(np.float64)
-        below = np.minimum(queries, 0) @ (width - 1)
-        above = np.maximum(queries, 0) @ (width - 1)
+        below = np.minimum(queries, 0) @ (width - 1) - slack
+        above = np.maximum(queries, 0) @ (width - 1) + slack
         kth = np.full(len(names), -np.inf)
         tops = np.full((len(names), k), -np.inf)
         step = max(1, CHUNK // max(1, len(names)))
@@ -100,14 +114,14 @@ def _bounds(cells: DataFrame, grids: dict, sent, dim: int, k: int) -> DataFrame:
                 tops = -np.sort(-np.concatenate((tops, best + below[:, None]), axis=1), axis=1)[:, :k]
                 kth = tops[:, k - 1]
                 q, i = np.nonzero(scores + above[:, None] >= kth[:, None])
-                score = scores[q, i].astype(np.int64)
+                score = scores[q, i]
                 yield pd.DataFrame({"q": names[q], "v": part["v"].to_numpy()[i], "lower": score + below[q], "upper": score + above[q]})
 
-    return cells.select("v", "cells").mapInPandas(scan, "q long, v long, lower long, upper long")
+    return cells.select("v", "cells").mapInPandas(scan, "q long, v long, lower double, upper double")
 
 
-def _exact(pairs: DataFrame, vectors: DataFrame, sent) -> DataFrame:
-    """(q, v, ids, score) of the pairs, from the exact vectors."""
+def _exact(pairs: DataFrame, vectors: DataFrame, sent, wide: bool) -> DataFrame:
+    """(q, v, ids, score) of the pairs, from the exact vectors; ``wide`` scores are decimals."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, queries = sent.value
@@ -116,10 +130,14 @@ def _exact(pairs: DataFrame, vectors: DataFrame, sent) -> DataFrame:
             if len(rows):
                 q = order[np.searchsorted(names, rows["q"].to_numpy(), sorter=order)]
                 exact = np.stack(rows["vec"].to_list()) if len(rows["vec"].iloc[0]) else np.zeros((len(rows), 0), np.int64)
-                yield pd.DataFrame({"q": rows["q"], "v": rows["v"], "ids": rows["ids"], "score": (queries[q] * exact).sum(axis=1)})
+                if wide:
+                    scores = [Decimal(sum(a * b for a, b in zip(x, y))) for x, y in zip(queries[q].tolist(), exact.tolist())]
+                else:
+                    scores = (queries[q] * exact).sum(axis=1)
+                yield pd.DataFrame({"q": rows["q"], "v": rows["v"], "ids": rows["ids"], "score": scores})
 
     joined = pairs.select("q", "v").join(vectors.select("v", "ids", "vec"), "v").select("q", "v", "ids", "vec")
-    return joined.mapInPandas(score, "q long, v long, ids array<long>, score long")
+    return joined.mapInPandas(score, f"q long, v long, ids array<long>, score {'decimal(38,0)' if wide else 'long'}")
 
 
 def _best(rows: DataFrame, by: Column, n: int) -> DataFrame:
@@ -140,6 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     asked = materialize(queries.select("vec_id", "vec").distinct().join(different.select("vec", "v", "dim"), "vec").select("vec_id", "v", "dim"))
     wanted = asked.select("v", "dim").distinct().join(different.select("v", "vec"), "v")
     wanted = materialize(wanted.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(2**31 - 1))))
+    wide = any(_largest_score(*grid) >= 1 << 62 for grid in grids.values())
     found = None
     for dim, count in sorted((r["dim"], r["count"]) for r in wanted.groupBy("dim").count().collect()):
         blocks = -(-2 * count // query_block) if count > query_block else 1
@@ -155,10 +174,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
             left = bounds.join(floor, "q").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor"))).drop("floor")
             number = F.row_number().over(W.partitionBy("q").orderBy(F.desc("upper"), "v"))
             left = materialize(left.withColumn("n", number))
-            first = materialize(_exact(left.filter(F.col("n") <= FIRST_ROUND), own, sent))
+            first = materialize(_exact(left.filter(F.col("n") <= FIRST_ROUND), own, sent, wide))
             certain = _best(first, F.col("score"), n).groupBy("q").agg(F.when(F.count("*") >= n, F.min("score")).alias("floor"))
-            rest = left.filter(F.col("n") > FIRST_ROUND).join(certain, "q").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
-            part = first.unionByName(_exact(rest, own, sent))
+            rest = left.filter(F.col("n") > FIRST_ROUND).join(certain, "q").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor").cast("double")))
+            part = first.unionByName(_exact(rest, own, sent, wide))
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.range(0).selectExpr("id AS query_id", "CAST(NULL AS int) AS rank", "id AS vec_id", "id AS score")
@@ -166,4 +185,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     ids = materialize(_best(found.select("q", F.explode("ids").alias("v"), "score"), F.col("score"), n))
     answers = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(ids, "q").filter("v <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "v"))
-    return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("v").alias("vec_id"), "score")
+    return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("v").alias("vec_id"), F.col("score").cast("long").alias("score"))

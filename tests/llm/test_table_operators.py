@@ -127,11 +127,14 @@ def test_rebalancing_moves_little(spark):
     assert sum(r["bytes"] for r in both if r["old"] != r["shard"]) < 0.15 * sum(loads.values())
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_exact_topk(spark, block):
+@pytest.mark.parametrize("block, large", [(4096, None), (8, None), (4096, 20), (4096, 36)])
+def test_exact_topk(spark, block, large):
+    """``large``: two opposite vectors with a component of that power of two, so scores pass 2**53, or 2**64."""
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
     vectors += [(i, vectors[5][1]) for i in range(300, 340)] + [(50, vectors[50][1]), (400, None), (450, [1.0, None]), (500, [float("nan")] * 6), (550, [1.0, 2.0]), (600, [0.5, -2.0]), (650, []), (700, []), (None, vectors[1][1])]
+    if large:
+        vectors += [(1000, [2.0**large, 0.25, 1.0, 0.0, 0.0, 3.0]), (1001, [-(2.0**large), 0.0, 1.0, 0.0, 0.0, 5.0])]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("v", F.lit(0)).repartition(4)
     ready = exact_topk.integer_vectors(table)
     got = exact_topk.top_k(ready, ready.filter("vec_id % 50 = 0"), 5, block).collect()
@@ -145,6 +148,17 @@ def test_exact_topk(spark, block):
     assert exact_topk.top_k(ready.limit(0), ready.limit(0)).count() == 0
 
 
+def test_topk_of_many_ties_and_of_what_is_too_large(spark):
+    rows = [(i, [1.0, i % 40 / 1000]) for i in range(400)]
+    ready = exact_topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = exact_topk.top_k(ready, ready.filter("vec_id = 0"), 5).orderBy("rank").collect()
+    best = sorted((-65536, i) for i in range(1, 400))[:5]  # the query's second component is 0, so all scores tie
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    beyond = exact_topk.integer_vectors(spark.createDataFrame([(1, [2.0**60])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="too large for exact scores"):
+        beyond.collect()
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
