@@ -40,6 +40,7 @@ CELLS = 64
 QUERY_BLOCK = 4_096
 FIRST_ROUND = 16
 CHUNK = 2_000_000  #: bounds held at a time in a task
+SALTS = 16  #: shares of a query's rows that are ranked apart
 LARGEST = 1 << 56  #: a component; 2**14 products of two of them fit 38 digits
 
 
@@ -141,8 +142,11 @@ def _exact(pairs: DataFrame, vectors: DataFrame, sent, wide: bool) -> DataFrame:
 
 
 def _best(rows: DataFrame, by: Column, n: int) -> DataFrame:
-    number = F.row_number().over(W.partitionBy("q").orderBy(by.desc(), "v"))
-    return rows.withColumn("_n", number).filter(F.col("_n") <= n).drop("_n")
+    """The n best rows of each query: of shares of its rows first, so that no task meets them all."""
+    for group in (["q", F.pmod(F.xxhash64("v"), F.lit(SALTS))], ["q"]):
+        number = F.row_number().over(W.partitionBy(*group).orderBy(by.desc(), "v"))
+        rows = rows.withColumn("_n", number).filter(F.col("_n") <= n).drop("_n")
+    return rows
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -170,13 +174,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
             names = np.array([r["v"] for r in block], dtype=np.int64)
             sent = spark.sparkContext.broadcast((names, np.array([r["vec"] for r in block], dtype=np.int64).reshape(len(block), dim)))
             bounds = materialize(_bounds(cells.filter(F.col("dim") == dim), grids, sent, dim, n))
+            # one row a query of the block, so QUERY_BLOCK at most are broadcast
             floor = _best(bounds, F.col("lower"), n).groupBy("q").agg(F.when(F.count("*") >= n, F.min("lower")).alias("floor"))
-            left = bounds.join(floor, "q").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor"))).drop("floor")
-            number = F.row_number().over(W.partitionBy("q").orderBy(F.desc("upper"), "v"))
-            left = materialize(left.withColumn("n", number))
-            first = materialize(_exact(left.filter(F.col("n") <= FIRST_ROUND), own, sent, wide))
+            left = bounds.join(F.broadcast(floor), "q").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+            left = materialize(left.select("q", "v", "upper"))
+            heads = materialize(_best(left, F.col("upper"), FIRST_ROUND))
+            first = materialize(_exact(heads, own, sent, wide))
             certain = _best(first, F.col("score"), n).groupBy("q").agg(F.when(F.count("*") >= n, F.min("score")).alias("floor"))
-            rest = left.filter(F.col("n") > FIRST_ROUND).join(certain, "q").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor").cast("double")))
+            place = F.struct("upper", -F.col("v"))  # the order of the first round, backwards
+            limits = heads.groupBy("q").agg(F.min(place).alias("last")).join(certain, "q")
+            rest = left.join(F.broadcast(limits), "q").filter((place < F.col("last")) & (F.col("floor").isNull() | (F.col("upper") >= F.col("floor").cast("double"))))
             part = first.unionByName(_exact(rest, own, sent, wide))
             found = part if found is None else found.unionByName(part)
     if found is None:
