@@ -1,4 +1,4 @@
-"""The language model against a plain version over dictionaries."""
+"""The language model against a plain version over dictionaries that shares no code with it."""
 
 import math
 import random
@@ -11,41 +11,59 @@ import pytest
 from flowseg.llm import katz
 
 
+DEPTH = 5
+
+
+def good_turing(counts):
+    """r -> what is left of a count of r, and whether it is Katz's form of Good-Turing's formula."""
+    n = Counter(counts)
+    halves = {r: (r - 0.5) / r for r in range(1, DEPTH + 1)}
+    if not all(n[r] for r in range(1, DEPTH + 1)):
+        return halves, False
+    a = (DEPTH + 1) * n[DEPTH + 1] / n[1]
+    if a == 1:
+        return halves, False
+    d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, DEPTH + 1)}
+    return (d, True) if all(0 < x < 1 for x in d.values()) else (halves, False)
+
+
 def brute(rows):
-    """doc_id -> (held_out, n_tokens, n_known, N, base, score)."""
-    split = [(d, zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False, katz.words(t) + [None]) for d, t in rows]
+    """Scores (held_out, n_tokens, n_known, N, base, score), sums of probabilities after contexts, whether bigrams have the formula's discounts."""
+    split = [(d, zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False, (t or "").encode().lower().split() + [None]) for d, t in rows]
     train = [w for _, h, w in split if not h]
     uni = Counter(x for w in train for x in w)
     n, v = sum(uni.values()), len(uni)
-    bi, context = defaultdict(Counter), Counter()
+    after = defaultdict(Counter)
     for w in train:
         for a, b in zip([b"<s>", *w], w):
-            bi[a, ][b] += 1
-            context[a] += 1
-    model = katz._Unigrams(Counter(r for r in uni.values() if r <= katz.DEPTH + 1), n)
-    p1 = {w: float(model(np.array([c]))[0]) for w, c in uni.items()}
-    unknown = float(model(np.array([0]))[0])
-    factors = katz.discounts(Counter(c for f in bi.values() for c in f.values()))
+            after[a][b] += 1
+    d1, _ = good_turing(uni.values())
+    d2, formula = good_turing(c for own in after.values() for c in own.values())
+    left = sum(c * (1 - d1.get(c, 1)) for c in uni.values())
+    size = n if left > 0 else n + 0.5
+    unknown = (left if left > 0 else 0.5) / size
+
+    def p1(w):
+        return uni[w] * d1.get(uni[w], 1) / size if w in uni else unknown
 
     def p2(a, b):
-        own = bi.get((a,), {})
-        total, counts = context[a], np.array(list(own.values()), dtype=np.int64)
-        if not total:
-            return p1.get(b, unknown)
-        bare = not (counts <= katz.DEPTH).any()
-        total_ = total + 0.5 * bare
+        own = after.get(a)
+        if not own:
+            return p1(b)
+        total = sum(own.values())
+        aside = 0.0 if any(c <= DEPTH for c in own.values()) else 0.5
         if b in own:
-            return float(katz.kept(np.array([own[b]]), factors)[0]) / total_
-        mass = (0.5 if bare else float((counts - katz.kept(counts, factors)).sum())) / total_
-        return mass / (1 - sum(p1[w] for w in own)) * p1.get(b, unknown)
+            return own[b] * d2.get(own[b], 1) / (total + aside)
+        mass = (aside or sum(c * (1 - d2.get(c, 1)) for c in own.values())) / (total + aside)
+        return mass * p1(b) / (1 - sum(p1(w) for w in own))
 
     out = []
     for d, h, w in split:
         base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         score = sum(math.log10(p2(a, b)) for a, b in zip([b"<s>", *w], w))
         out.append((d, h, len(w), sum(uni[x] > 0 for x in w), n, base, score))
-    sums = [sum(p2(a, b) for b in uni) + p2(a, b"never seen") for (a,) in list(bi)[:30]]
-    return out, sums
+    sums = [sum(p2(a, b) for b in uni) + p2(a, b"never seen") for a in list(after)[:30]]
+    return out, sums, formula
 
 
 def made(n, seed):
@@ -56,11 +74,12 @@ def made(n, seed):
     return rows + [(n + 2 + i, "always the same words") for i in range(40)]
 
 
-@pytest.mark.parametrize("block, file", [(10**6, 10**6), (50, 300), (200, 40)])
-def test_scores(spark, block, file):
-    rows = made(120, 1)
-    want, sums = brute(rows)
-    assert max(abs(s - 1) for s in sums) < 1e-9
+@pytest.mark.parametrize("texts, block, file", [(120, 10**6, 10**6), (120, 50, 300), (120, 200, 40), (8, 50, 40)])
+def test_scores(spark, texts, block, file):
+    """Discounts by the formula, and halves for 8 texts."""
+    rows = made(texts, 1)
+    want, sums, formula = brute(rows)
+    assert max(abs(s - 1) for s in sums) < 1e-9 and formula == (texts > 100)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in katz.score_documents(docs, block, file).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[2])
