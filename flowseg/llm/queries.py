@@ -136,6 +136,20 @@ def _linked(span: str, other: str) -> str:
     return f"EXISTS (SELECT 1 FROM {other} o WHERE o.r = {span}.r AND {span}.s - o.e <= 256 AND o.s - {span}.e <= 256)"
 
 
+#: crc32 of a number's digits: eight steps of one bit for each of them.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(c) AS BIGINT) for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, _: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+def _discounts(counts: str) -> str:
+    """SQL: one row with the factors ``f`` of counts 1 to 5, from a table with counts ``c``."""
+    kinds = ", ".join(f"count(*) FILTER (c = {r}) AS n{r}" for r in range(1, 7))
+    good = ", ".join(f"({r + 1} * n{r + 1} / nullif({r} * n{r}, 0) - a) / nullif(1 - a, 0)" for r in range(1, 6))
+    return f"""(SELECT CASE WHEN coalesce(list_bool_and([g > 0 AND g < 1 for g in good]), FALSE) AND len([g for g in good if g IS NULL]) = 0
+                            THEN good ELSE [0.5, 1.5 / 2, 2.5 / 3, 3.5 / 4, 4.5 / 5] END AS f
+                FROM (SELECT [{good}] AS good FROM (SELECT *, CAST(6 * n6 AS DOUBLE) / nullif(n1, 0) AS a FROM (SELECT {kinds} FROM {counts}))))"""
+
+
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages),
@@ -154,6 +168,31 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v o ON q.vec_id % 50 = 0 AND q.vec_id <> o.vec_id AND len(q.vec) = len(o.vec)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # ' ' stands for the end and '  ' for the start, which no word can be
+    "op10_katz": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC32} % 5 = 1, FALSE) AS held_out,
+                          list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws
+                   FROM documents),
+        t AS (SELECT r, held_out, unnest(ws) AS w, unnest(list_prepend('  ', ws[1:len(ws) - 1])) AS a FROM d),
+        uni AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        bi AS (SELECT a, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY a, w),
+        f1 AS {_discounts("uni")},
+        f2 AS {_discounts("bi")},
+        n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v, coalesce(sum(c * (1 - coalesce(f[c], 1))), 0) AS spare FROM uni, f1),
+        u AS (SELECT *, n + CASE WHEN spare > 0 THEN 0 ELSE 0.5 END AS size FROM n),
+        p AS (SELECT w, c, c * coalesce(f[c], 1) / size AS p FROM uni, f1, u),
+        unknown AS (SELECT CASE WHEN n = 0 THEN 1 WHEN spare > 0 THEN spare / size ELSE 0.5 / size END AS p0 FROM u),
+        seen AS (SELECT bi.a, bi.w, bi.c, coalesce(f[bi.c], 1) AS kept, p.p FROM bi JOIN p USING (w), f2),
+        back AS (SELECT a, sum(c) + CASE WHEN min(c) <= 5 THEN 0 ELSE 0.5 END AS total,
+                        CASE WHEN min(c) <= 5 THEN sum(c * (1 - kept)) ELSE 0.5 END AS mass, 1 - sum(p) AS free
+                 FROM seen GROUP BY a),
+        s AS (SELECT t.r, coalesce(p.c, 0) AS c,
+                     CASE WHEN back.a IS NULL THEN log10(coalesce(p.p, p0)) WHEN seen.a IS NOT NULL THEN log10(seen.c * kept / total)
+                          ELSE log10(mass / total / free * coalesce(p.p, p0)) END AS l
+              FROM t LEFT JOIN p ON t.w = p.w LEFT JOIN back ON t.a = back.a LEFT JOIN seen ON t.a = seen.a AND t.w = seen.w, unknown)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+               sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))) AS base_score, sum(l) AS score
+        FROM s JOIN d USING (r), n GROUP BY r, doc_id, held_out""",
     "op12_hard_negatives": """
         WITH x AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e
                    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),

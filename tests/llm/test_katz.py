@@ -5,10 +5,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from flowseg.llm import katz
+from flowseg.llm import katz, queries
 
 
 DEPTH = 5
@@ -74,6 +76,10 @@ def made(n, seed):
     return rows + [(n + 2 + i, "always the same words") for i in range(40)]
 
 
+def _order(row):
+    return (row[0] is None, row[0] or 0, row[2])
+
+
 @pytest.mark.parametrize("texts, block, file", [(120, 10**6, 10**6), (120, 50, 300), (120, 200, 40), (8, 50, 40)])
 def test_scores(spark, texts, block, file):
     """Discounts by the formula, and halves for 8 texts."""
@@ -82,13 +88,39 @@ def test_scores(spark, texts, block, file):
     assert max(abs(s - 1) for s in sums) < 1e-9 and formula == (texts > 100)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in katz.score_documents(docs, block, file).collect()]
-    order = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert len(got) == len(want)
-    for g, w in zip(sorted(got, key=order), sorted(want, key=order)):
+    for g, w in zip(sorted(got, key=_order), sorted(want, key=_order)):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:], abs=1e-9)
 
 
+@pytest.mark.parametrize("rows", [made(120, 1), made(8, 1), [(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]])
+def test_sql_equals_the_plain_version(rows):
+    """With the formula's discounts, without, and without training texts, where all scores are 0."""
+    frame = pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], dtype="Int64"), "text": [t for _, t in rows]})
+    with duckdb.connect() as con:
+        con.register("documents", frame)
+        got = con.sql(queries.ORACLES["op10_katz"]).fetchall()
+    want = [(d, True, 3, 0, 0, 0.0, 0.0) for d, _ in rows] if all(t == "a b" for _, t in rows) else brute(rows)[0]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=_order), sorted(want, key=_order)):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=1e-9)
+
+
+def test_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS FROM read_parquet('{folder}/documents.parquet')")
+        relation = con.sql(queries.ORACLES["op10_katz"])
+        names, want = relation.columns, relation.fetchall()
+    frame = queries.op10_katz(spark, folder)
+    assert sorted(frame.columns) == sorted(names)
+    got = [tuple(r) for r in frame.select(*names).collect()]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=_order), sorted(want, key=_order)):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-11)
+
+
 def test_without_training_and_without_rows(spark):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
     docs = spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")
