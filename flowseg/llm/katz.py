@@ -1,81 +1,60 @@
-"""Katz backoff language model: bigrams, Good-Turing discounts, exactly normalised backoff weights.
-
-Words are numbered once and for all: a word's count and its number come from one
-exchange, in which each block of documents sends its different words, filed
-by hash, and gets counts and numbers back. In a second exchange each block
-sends its bigrams, filed by the word before, with the places of the documents
-they are in. A file holds every bigram of its contexts, so it has its share of
-the model: bigram counts, and what each context's backoff weight is made of. It
-evaluates the blocks' tokens, a seen bigram by its count, else by going back to
-the unigram, and returns sums for each document, by count where a discount
-applies. The discounts follow from all files' numbers of kinds and are put in
-last. Files and blocks are rows of packed arrays of bounded size.
-
-A context with over ``FILE_TOKENS`` / 4 tokens is hot: its bigrams are filed by both
-words. Its weight is added up over the files in an aggregation, and joined to
-the few tokens (by document) that need it.
-
-A context all of whose bigrams occur too often for a discount leaves nothing to
-go back to; half a count is set aside for it. Unigrams are discounted as well; what the discounts leave is the probability of
-the one unknown word. Each row of discounts falls back to r - 1/2 out of r where
-Good-Turing's formula gives no value between 0 and 1 (small tables). So the
-probabilities after any context add up to 1 over the known words, the end and
-the unknown word.
+"""Katz backoff language model of any order: Good-Turing discounts, exactly normalised backoff weights, stored tables.
+
+``train`` counts the n-grams of every order and writes, below one path, a table
+of probabilities an order (``grams/order=n``: the words, their count, the
+discounted probability, the last word's own count) and a table of the contexts'
+backoff weights (``weights/order=n``), one row a key. ``score`` joins tokens
+with these tables: a token whose n-gram is known is done, the others take
+their context's weight and ask the next lower order, down to single words.
+The tables score any other table as well (``load``).
+
+Every step is a join or an aggregation by whole n-grams or contexts, partly
+added up before its shuffle; n-grams are compared by the 64-bit hashes of their
+words. No group is gathered in a task: a context's sums are plain aggregates, and a
+join's heavy key is split by adaptive execution, as its other side is one row a key.
+
+The discounts are Katz's form of Good-Turing's for counts up to ``DEPTH``, an
+order's own. Where the formula gives no value between 0 and 1 for each of them
+(small tables), r - 1/2 out of r is kept. A context all of whose n-grams occur
+too often for a discount leaves nothing to go back to; half a count is set aside
+for it. Single words are discounted too; what that leaves is the probability of the
+one unknown word. So the probabilities after any context add up to 1 over the
+known words, the end and the unknown word. A text's first words have the start,
+as often as needed, before them.
 
 Edge cases: a NULL or empty text has one token, the end. A NULL doc_id is not
-held out. Repeated rows count and are scored each. Without training texts every
-token is unknown, N is 0 and every score 0. Words are told apart by 64-bit hashes.
+held out. Repeated rows count and are scored each. Very long texts are read whole.
+Other columns are left aside. Without training texts every token is unknown, N is 0 and
+every score 0; an empty table has an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-import xxhash
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowseg.functions.tables import materialize
+from flowseg.functions.tables import materialize, scratch_path
 from flowseg.llm.common import id_remainder
 
 HELD_OUT = (5, 1)
-BLOCK_TOKENS = 3_000_000
-FILE_TOKENS = 2_000_000
+ORDER = 3
 DEPTH = 5  #: counts up to this are discounted
-END, START = 1, 0  #: numbers of the end and of what is before a text; words come after
+START, END = 0, 1  #: in place of a word's hash
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+@dataclass
+class Model:
+    """Tables of orders 1 to n (``weights`` from 2 on), tokens and kinds counted, the unknown word's probability."""
 
-
-def pack(values: np.ndarray) -> bytes:
-    """Type, then the bytes by place, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
-    return values.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    kind = np.dtype(data[:4].decode().strip())
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
-
-
-def small(values: np.ndarray) -> np.ndarray:
-    """The same non-negative values in the narrowest type."""
-    top = int(values.max()) if len(values) else 0
-    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
-
-
-def spread(values: np.ndarray, files: int) -> np.ndarray:
-    """File of each value."""
-    with np.errstate(over="ignore"):
-        mixed = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(40)) % np.uint64(files)).astype(np.int64)
+    grams: list[DataFrame]
+    weights: list[DataFrame]
+    tokens: int
+    kinds: int
+    unknown: float
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -92,320 +71,141 @@ def discounts(n: dict[int, int]) -> np.ndarray:
     return out
 
 
-def kept(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Discounted counts."""
-    return counts * np.where(counts <= DEPTH, factors[np.minimum(counts, DEPTH)], 1.0)
-
-
-def _firsts(*columns: np.ndarray) -> np.ndarray:
-    """Where a new combination of values starts."""
-    new = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
-    for c in columns:
-        new |= c[1:] != c[:-1]
-    return np.flatnonzero(np.concatenate(([True], new))) if len(columns[0]) else np.zeros(0, np.int64)
-
-
-def _lengths(starts: np.ndarray, end: int) -> np.ndarray:
-    return np.diff(np.append(starts, end))
-
-
-def encode(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of documents: ids, flags (1 held out, 2 no id), lengths, tokens as numbers of the block's words, the words' hashes and training counts."""
-
-    def made(block: int, some: list) -> dict:
-        kinds: dict[bytes, int] = {}
-        number = kinds.setdefault
-        tokens, sizes = [], []
-        for _, _, text in some:
-            before = len(tokens)
-            tokens.extend([number(w, len(kinds)) for w in words(text)])
-            sizes.append(len(tokens) - before)
-        tokens, sizes = np.array(tokens, dtype=np.int64), np.array(sizes, dtype=np.int64)
-        train = np.repeat(~np.array([h for _, h, _ in some], dtype=bool), sizes)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in kinds], dtype=np.uint64)
-        counts = np.bincount(tokens[train], minlength=len(kinds)).astype(np.int64)
-        often = np.argsort(-np.bincount(tokens, minlength=len(kinds)), kind="stable")  # small numbers for frequent words pack better
-        place = np.empty_like(often)
-        place[often] = np.arange(len(often))
-        return {
-            "block": block,
-            "ids": pack(np.array([d or 0 for d, _, _ in some], dtype=np.int64)),
-            "flags": pack(np.array([bool(h) + 2 * (d is None) for d, h, _ in some], dtype=np.uint8)),
-            "sizes": pack(small(sizes)),
-            "tokens": pack(small(place[tokens])),
-            "words": pack(hashes[often]),
-            "counts": pack(small(counts[often])),
-            "n_tokens": len(tokens) + len(some),
-            "train_docs": sum(not h for _, h, _ in some),
-        }
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, number, some, size = TaskContext.get().partitionId() << 24, 0, [], 0
-        for rows in batches:
-            for doc_id, out, text in zip(rows["doc_id"], rows["held_out"], rows["text"]):
-                some.append((None if pd.isna(doc_id) else int(doc_id), out, text))
-                size += len(text or "") // 6 + 1
-                if size >= block_tokens:
-                    yield pd.DataFrame([made(first + number, some)])
-                    number, some, size = number + 1, [], 0
-        if some:
-            yield pd.DataFrame([made(first + number, some)])
-
+def encode(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """Written once: ``row`` (a number of its own for every row), the columns to keep, ``words`` (hashes, then the end)."""
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    split = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.concat(F.transform(split, lambda w: F.xxhash64(w)), F.array(F.lit(END).cast("long")))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), *keep, words.alias("words")))
+
+
+def _names(n: int) -> list[str]:
+    return [f"w{k}" for k in range(1, n + 1)]
+
+
+def _ngrams(encoded: DataFrame, n: int, *keep: str) -> DataFrame:
+    """One row a token: the n - 1 words before it and the word, w1 to wn."""
+
+    def back(steps: int) -> Column:
+        padded = F.concat(F.array_repeat(F.lit(START).cast("long"), steps), F.col("words")) if steps else F.col("words")
+        return F.slice(padded, 1, F.size("words"))
+
+    columns = [back(n - k).alias(f"w{k}") for k in range(1, n + 1)]
+    return encoded.select(*keep, *columns).select(*keep, F.inline(F.arrays_zip(*_names(n))))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _discounted(counts: DataFrame) -> tuple[dict[int, int], np.ndarray, Column]:
+    """Numbers of kinds by low count, their factors, and the column of discounted counts."""
+    low = counts.filter(F.col("count") <= DEPTH + 1).groupBy("count").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = {r["count"]: r["kinds"] for r in low.collect()}  # six rows at most
+    factors = discounts(kinds)
+    kept = F.col("count").cast("double")
+    for r in range(1, DEPTH + 1):
+        kept = F.when(F.col("count") == r, F.lit(float(r * factors[r]))).otherwise(kept)
+    return kinds, factors, kept
+
+
+def train(encoded: DataFrame, path: str, order: int = ORDER) -> Model:
+    """Counts, probabilities and weights of ``words``, written below ``path``."""
+    spark = encoded.sparkSession
+    counts = materialize(_ngrams(encoded, 1).groupBy("w1").agg(F.count(F.lit(1)).alias("count")))
+    kinds_by_count, factors, kept = _discounted(counts)
+    totals = counts.agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
+    tokens, kinds = totals["tokens"] or 0, totals["kinds"]
+    left = sum(r * n * (1 - factors[r]) for r, n in kinds_by_count.items() if r <= DEPTH)
+    size = tokens if left > 0 else tokens + 0.5  # every kind occurs often: one kind more, seen half a time
+    unknown = float((left if left > 0 else 0.5) / size) if tokens else 1.0
+    settings = [(order, tokens, kinds, unknown)]
+    spark.createDataFrame(settings, "order int, tokens long, kinds long, unknown double").coalesce(1).write.parquet(f"{path}/settings")
+    single = counts.select("w1", "count", (kept / F.lit(float(size))).alias("p"), F.col("count").alias("last_count"))
+    grams, weights = [_stored(single, f"{path}/grams/order=1")], []
+    for n in range(2, order + 1):
+        own, context, shorter = _names(n), _names(n - 1), _names(n)[1:]
+        lower = grams[-1].select(*[F.col(a).alias(b) for a, b in zip(context, shorter)], F.col("p").alias("lower"), "last_count")
+        counts = _ngrams(encoded, n).groupBy(*own).agg(F.count(F.lit(1)).alias("count"))
+        counts = materialize(counts.join(lower, shorter).select(*own, "count", "lower", "last_count"))
+        _, _, kept = _discounted(counts)
+        sums = counts.groupBy(*context).agg(
+            F.sum("count").alias("total"), F.min("count").alias("least"), F.sum(F.col("count") - kept).alias("mass"), F.sum("lower").alias("used")
+        )
+        aside = F.when(F.col("least") > DEPTH, 0.5).otherwise(0.0)
+        total = F.col("total") + aside
+        weight = (F.col("mass") + aside) / total / F.greatest(1 - F.col("used"), F.lit(1e-300))
+        weights.append(_stored(sums.select(*context, total.alias("total"), weight.alias("weight")), f"{path}/weights/order={n}"))
+        known = counts.join(weights[-1].select(*context, "total"), context).select(*own, "count", (kept / F.col("total")).alias("p"), "last_count")
+        grams.append(_stored(known, f"{path}/grams/order={n}"))
+    return Model(grams, weights, tokens, kinds, unknown)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """The model that ``train`` wrote."""
+    row = spark.read.parquet(f"{path}/settings").first()
+
+    def read(kind: str, n: int) -> DataFrame:
+        words = ", ".join(f"{w} long" for w in _names(n if kind == "grams" else n - 1))
+        values = "count long, p double, last_count long" if kind == "grams" else "total double, weight double"
+        return spark.read.schema(f"{words}, {values}").parquet(f"{path}/{kind}/order={n}")
+
+    order = row["order"]
+    return Model(
+        [read("grams", n) for n in range(1, order + 1)],
+        [read("weights", n) for n in range(2, order + 1)],
+        row["tokens"], row["kinds"], row["unknown"],
+    )
+
+
+def score(encoded: DataFrame, model: Model) -> DataFrame:
+    """row, n_known (tokens whose word was counted), base (logarithms of their words' counts and a half), score (log10 probability)."""
+    parts, order = [], len(model.grams)
+    asked = _ngrams(encoded, order, "row").withColumn("back", F.lit(0.0))
+
+    def part(rows: DataFrame, p: Column, count: Column) -> DataFrame:
+        return rows.groupBy("row").agg(
+            F.sum(F.when(count > 0, 1).otherwise(0)).alias("n_known"),
+            F.sum(F.log10(count + F.lit(0.5))).alias("base"),
+            F.sum(F.log10(p) + F.col("back")).alias("score"),
+        )
+
+    for n in range(order, 1, -1):
+        own = _names(n)
+        found = asked.join(model.grams[n - 1].select(*own, "p", "last_count"), own, "left")
+        missed = F.col("p").isNull()  # only these need their words any more
+        found = materialize(found.select("row", "back", "p", "last_count", *[F.when(missed, F.col(w)).alias(w) for w in own]))
+        parts.append(part(found.filter(~missed), F.col("p"), F.col("last_count")))
+        going = found.filter(missed).select("row", "back", *own).join(model.weights[n - 2].select(*own[:-1], "weight"), own[:-1], "left")
+        back = F.col("back") + F.coalesce(F.log10("weight"), F.lit(0.0))  # a context never seen passes everything on
+        asked = going.select("row", back.alias("back"), *[F.col(a).alias(b) for a, b in zip(own[1:], own)])
+    found = asked.join(model.grams[0].select("w1", "p", "last_count"), "w1", "left")
+    parts.append(part(found, F.coalesce("p", F.lit(model.unknown)), F.coalesce("last_count", F.lit(0))))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model stays below ``path``."""
     held = F.coalesce(id_remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    schema = "block long, ids binary, flags binary, sizes binary, tokens binary, words binary, counts binary, n_tokens long, train_docs long"
-    return rows.mapInPandas(run, schema)
-
-
-def number_words(blocks: DataFrame, files: int) -> DataFrame:
-    """For each block and file of words: numbers and counts of the words sent. Numbers differ between words, from 2.
-
-    Once for each file (block -1): the numbers of kinds that occur r times, up to DEPTH + 1, then kinds and tokens.
-    """
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for block, hashes, counts in zip(rows["block"], rows["words"], rows["counts"]):
-                hashes, counts = unpack(hashes), unpack(counts)
-                to = spread(hashes, files)
-                yield pd.DataFrame([(block, f, pack(hashes[at]), pack(counts[at])) for f in np.unique(to).tolist() for at in [np.flatnonzero(to == f)]], columns=["block", "file", "words", "counts"])
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sent = [unpack(w) for w in rows["words"]]
-        kinds, place = np.unique(np.concatenate(sent), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([unpack(c) for c in rows["counts"]]).astype(np.float64)).astype(np.int64)
-        numbers = np.arange(len(kinds), dtype=np.int64) * files + key[0] + 2
-        out, at = [], 0
-        for block, w in zip(rows["block"], sent):
-            own = place[at : at + len(w)]
-            at += len(w)
-            out.append((block, key[0], pack(small(numbers[own])), pack(small(counts[own]))))
-        r = np.bincount(np.minimum(counts, DEPTH + 2), minlength=DEPTH + 3)
-        out.append((-1, key[0], pack(np.array([*r[1 : DEPTH + 2], (counts > 0).sum(), counts.sum()], dtype=np.int64)), b""))
-        return pd.DataFrame(out, columns=["block", "file", "numbers", "counts"])
-
-    sent = blocks.select("block", "words", "counts").mapInPandas(send, "block long, file int, words binary, counts binary")
-    return sent.groupBy("file").applyInPandas(merge, "block long, file int, numbers binary, counts binary")
-
-
-class _Unigrams:
-    """Probabilities of words by their counts."""
-
-    def __init__(self, kinds_by_count: dict[int, int], tokens: int):
-        self.factors, self.tokens = discounts(kinds_by_count), tokens
-        left = sum(r * n * (1 - self.factors[r]) for r, n in kinds_by_count.items() if r <= DEPTH)
-        self.unknown = left / tokens if tokens else 1.0
-        if tokens and left <= 0:  # every kind occurs often: one kind more, seen half a time
-            self.unknown = 0.5 / (tokens + 0.5)
-            self.factors, self.tokens = np.ones(DEPTH + 1), tokens + 0.5
-
-    def __call__(self, counts: np.ndarray) -> np.ndarray:
-        if not self.tokens:
-            return np.full(len(counts), self.unknown)
-        return np.where(counts > 0, kept(counts, self.factors) / self.tokens, self.unknown)
-
-
-_MESSAGE = "kind int, block long, file int, contexts binary, context_counts binary, pairs binary, words binary, counts binary, times binary, docs binary, flags binary, base binary, known binary, ids binary"
-
-
-def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
-    """A frame in which what a row lacks is None."""
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
-
-
-def bigrams(blocks: DataFrame, numbers: DataFrame, files: int, hot: float, train_docs: int) -> DataFrame:
-    """Each block's bigrams by file (kind 0), and what its documents need besides (kind 1)."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row, out = left.iloc[0], []
-        block, hashes = int(row["block"]), unpack(row["words"])
-        to, number, counts = spread(hashes, files), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        for f, n, c in zip(right["file"], right["numbers"], right["counts"]):
-            at = np.flatnonzero(to == f)
-            number[at], counts[at] = unpack(n), unpack(c)
-        sizes, tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["tokens"]).astype(np.int64)
-        ends = np.cumsum(sizes + 1) - 1
-        word, count = np.full(ends[-1] + 1, END, np.int64), np.full(ends[-1] + 1, train_docs, np.int64)
-        inner = np.ones(len(word), dtype=bool)
-        inner[ends] = False
-        word[inner], count[inner] = number[tokens], counts[tokens]
-        before, before_count = np.roll(word, 1), np.roll(count, 1)
-        before[ends - sizes], before_count[ends - sizes] = START, train_docs
-        doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-        base = np.bincount(doc, weights=np.log10(count + 0.5), minlength=len(sizes))
-        known = np.bincount(doc, weights=count > 0, minlength=len(sizes)).astype(np.int64)
-        out.append({"kind": 1, "block": block, "file": block % files, "flags": row["flags"], "times": pack(small(sizes + 1)), "base": pack(base), "known": pack(small(known)), "ids": row["ids"]})
-        with np.errstate(over="ignore"):
-            file = spread(np.where(before_count > hot, before * 1_000_003 + word, before), files)
-        order = np.lexsort((doc, word, before, file))
-        file, before, before_count, word, count, doc = (x[order] for x in (file, before, before_count, word, count, doc))
-        cuts = np.searchsorted(file, np.arange(files + 1)).tolist()
-        for f, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                p, w, d = before[a:b], word[a:b], doc[a:b]
-                pairs = _firsts(p, w)
-                contexts = _firsts(p[pairs])
-                steps = np.diff(d, prepend=0)  # the documents of a bigram ascend
-                steps[pairs] = d[pairs]
-                out.append(
-                    {"kind": 0, "block": block, "file": f, "contexts": pack(small(p[pairs][contexts])), "context_counts": pack(small(before_count[a:b][pairs][contexts]))}
-                    | {"pairs": pack(small(_lengths(contexts, len(pairs)))), "words": pack(small(w[pairs])), "counts": pack(small(count[a:b][pairs]))}
-                    | {"times": pack(small(_lengths(pairs, b - a))), "docs": pack(small(steps)), "flags": row["flags"]}
-                )
-        return _frame(out, _MESSAGE)
-
-    return blocks.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(run, _MESSAGE)
-
-
-_FOUND = "kind int, block long, context long, doc long, unseen long, seen long, context_count long, left array<long>, lower double, sums binary, low binary, c_docs binary, c_of binary, c_left binary, c_lower binary, c_counts binary, flags binary, times binary, base binary, known binary, ids binary"
-
-
-def _found(rows: list[dict]) -> pd.DataFrame:
-    return _frame(rows, _FOUND).astype({c: "Int64" for c in ("block", "context", "doc", "unseen", "seen", "context_count")})
-
-
-def evaluate(messages: DataFrame, unigrams: _Unigrams, hot: float) -> DataFrame:
-    """What each file finds, discounts of bigrams left open.
-
-    kind 0: of a block's documents the sums of what is certain, the numbers of tokens by low count, and
-    the tokens that go back from a context, with what its weight is made of. kind 1: a share of a hot
-    context. kind 2: tokens of a document that need a hot context's weight. kind 3: numbers of kinds by count.
-    kind 4: what comes with a block's documents.
-    """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        contexts, context_counts, words_, counts, trained, events = [], [], [], [], [], []
-        own = rows[rows["kind"] == 1]
-        out = [{"kind": 4} | {c: r[c] for c in ("block", "flags", "times", "base", "known", "ids")} for r in own.to_dict("records")]
-        rows = rows[rows["kind"] == 0]
-        if not len(rows):
-            return _found(out)
-        for r in rows.itertuples(index=False):
-            times, steps, per = unpack(r.times).astype(np.int64), unpack(r.docs).astype(np.int64), unpack(r.pairs).astype(np.int64)
-            starts = np.cumsum(times) - times
-            total = np.cumsum(steps)
-            docs = total - np.repeat(total[starts] - steps[starts], times)
-            held = unpack(r.flags) & 1
-            trained.append(np.add.reduceat(1 - held[docs].astype(np.int64), starts))
-            contexts.append(np.repeat(unpack(r.contexts).astype(np.int64), per))
-            context_counts.append(np.repeat(unpack(r.context_counts).astype(np.int64), per))
-            words_.append(unpack(r.words).astype(np.int64))
-            counts.append(unpack(r.counts).astype(np.int64))
-            events.append((int(r.block), len(held), times, docs))
-        sizes = [len(w) for w in words_]
-        contexts, word, trained = np.concatenate(contexts), np.concatenate(words_), np.concatenate(trained)
-        names, place = np.unique(contexts, return_inverse=True)
-        of_context = np.zeros(len(names), np.int64)
-        of_context[place] = np.concatenate(context_counts)
-        pair, first, same = np.unique(place * (word.max() + 1) + word, return_index=True, return_inverse=True)
-        bigram = np.bincount(same, weights=trained).astype(np.int64)
-        p, unigram = place[first], unigrams(np.concatenate(counts)[first])
-        seen = bigram > 0
-        low = np.stack([np.bincount(p[bigram == r], minlength=len(names)) for r in range(1, DEPTH + 1)], axis=1)
-        lower = np.bincount(p[seen], weights=unigram[seen], minlength=len(names))
-        is_hot, bare = of_context > hot, (low.sum(axis=1) == 0) & (of_context > 0)
-        aside = bare & ~is_hot
-        weight = np.where(aside, 0.5 / (of_context + 0.5) / np.maximum(1 - lower, 1e-300), 1.0)  # known here; 1 after an unknown context
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(seen, np.log10(bigram) - np.log10(of_context + 0.5 * aside)[p], np.log10(unigram) + np.log10(weight)[p])
-        goes_back = ~seen & (of_context > 0)[p] & ~aside[p]
-        out += [{"kind": 3, "left": np.bincount(np.minimum(bigram, DEPTH + 2), minlength=DEPTH + 3)[1 : DEPTH + 2]}]
-        out += [{"kind": 1, "context": int(names[i]), "context_count": int(of_context[i]), "left": low[i], "lower": float(lower[i])} for i in np.flatnonzero(is_hot)]
-        at = 0
-        for (block, n, times, docs), size in zip(events, sizes):
-            which = np.repeat(same[at : at + size], times)
-            at += size
-            sums = np.bincount(docs, weights=value[which], minlength=n)
-            by_count = np.bincount(docs * (DEPTH + 1) + np.where(bigram[which] <= DEPTH, bigram[which], 0), minlength=n * (DEPTH + 1)).reshape(n, -1)[:, 1:]
-            back = goes_back[which]
-            c = p[which]
-            own = back & ~is_hot[c]
-            used, of = np.unique(c[own], return_inverse=True)
-            out.append(
-                {"kind": 0, "block": block, "sums": pack(sums), "low": pack(small(by_count.ravel())), "c_docs": pack(small(docs[own])), "c_of": pack(small(of))}
-                | {"c_left": pack(small(low[used].ravel())), "c_lower": pack(lower[used]), "c_counts": pack(small(of_context[used]))}
-            )
-            need = is_hot[c] & (back | bare[c] & seen[which])  # bare in this file: perhaps in all
-            if need.any():
-                code, inverse = np.unique(c[need] * n + docs[need], return_inverse=True)
-                unseen = np.bincount(inverse, weights=back[need]).astype(np.int64)
-                known = np.bincount(inverse).astype(np.int64) - unseen
-                out += [
-                    {"kind": 2, "block": block, "context": int(names[k // n]), "doc": int(k % n), "unseen": int(u), "seen": int(v)}
-                    for k, u, v in zip(code.tolist(), unseen.tolist(), known.tolist())
-                ]
-        return _found(out)
-
-    return messages.groupBy("file").applyInPandas(run, _FOUND)
-
-
-def _back_weight(left: np.ndarray, lower: np.ndarray, counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Logarithms of contexts' weights: what the discounts leave over what the unigrams of unseen words have."""
-    mass = (left * ((1 - factors[1:]) * np.arange(1, DEPTH + 1))).sum(axis=1) / counts
-    return np.log10(mass) - np.log10(np.maximum(1 - lower, 1e-300))
-
-
-def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    hot = file_tokens / 4
-    blocks = materialize(encode(docs, block_tokens))
-    totals = blocks.agg(F.sum("n_tokens").alias("n"), F.sum("train_docs").alias("d")).first()
-    files, train_docs = max(1, -(-(totals["n"] or 0) // file_tokens)), int(totals["d"] or 0)
-    numbers = materialize(number_words(blocks, files))
-    r = np.zeros(DEPTH + 3, dtype=np.int64)
-    for row in numbers.filter("block = -1").select(F.col("numbers").alias("x")).toLocalIterator():  # a few numbers a file
-        r += unpack(row["x"])
-    kinds_by_count = {i: int(r[i - 1]) for i in range(1, DEPTH + 2)}
-    kinds, tokens = int(r[-2]) + (train_docs > 0), int(r[-1]) + train_docs
-    if 0 < train_docs <= DEPTH + 1:
-        kinds_by_count[train_docs] += 1
-    unigrams = _Unigrams(kinds_by_count, tokens)
-    messages = bigrams(blocks, numbers.filter("block >= 0"), files, hot, train_docs)
-    found = materialize(evaluate(messages, unigrams, hot))
-    n = found.filter("kind = 3").agg(*[F.sum(F.col("left")[i]).alias(f"r{i + 1}") for i in range(DEPTH + 1)]).first()
-    factors = discounts({i: int(n[f"r{i}"] or 0) for i in range(1, DEPTH + 2)})
-
-    @F.pandas_udf("binary")
-    def block_sums(sums: pd.Series, low: pd.Series, c_docs: pd.Series, c_of: pd.Series, c_left: pd.Series, c_lower: pd.Series, c_counts: pd.Series) -> pd.Series:
-        out = []
-        for s, lo, d, of, left, lower, counts in zip(sums, low, c_docs, c_of, c_left, c_lower, c_counts):
-            total = unpack(s) + unpack(lo).reshape(-1, DEPTH) @ np.log10(factors[1:])
-            weights = _back_weight(unpack(left).reshape(-1, DEPTH).astype(np.float64), unpack(lower), unpack(counts), factors)
-            out.append(pack(total + np.bincount(unpack(d).astype(np.int64), weights=weights[unpack(of).astype(np.int64)], minlength=len(total))))
-        return pd.Series(out)
-
-    certain = found.filter("kind = 0").select("block", block_sums("sums", "low", "c_docs", "c_of", "c_left", "c_lower", "c_counts").alias("sums"))
-    share = [F.sum(F.col("left")[i]).alias(f"r{i + 1}") for i in range(DEPTH)]
-    hots = found.filter("kind = 1").groupBy("context").agg(*share, F.sum("lower").alias("lower"), F.max("context_count").alias("n"))
-    mass = sum((F.col(f"r{i}") * float((1 - factors[i]) * i) for i in range(1, DEPTH + 1)), F.lit(0.0))
-    bare = mass == 0
-    hots = hots.select(
-        "context",
-        F.when(bare, F.log10(F.lit(0.5) / (F.col("n") + 0.5))).otherwise(F.log10(mass / F.col("n"))).alias("mass"),
-        F.when(bare, F.log10(F.col("n") / (F.col("n") + 0.5))).otherwise(0.0).alias("per_seen"),
-        F.log10(F.greatest(1 - F.col("lower"), F.lit(1e-300))).alias("lower"),
+    encoded = encode(rows, "doc_id", "held_out")
+    model = train(encoded.filter(~F.col("held_out")), path or scratch_path(docs.sparkSession, "katz"), order)
+    n_tokens = F.size("words").cast("long")
+    constant = float(np.log10(model.tokens + 0.5 * (model.kinds + 1)))
+    return (
+        encoded.select("row", "doc_id", "held_out", n_tokens.alias("n_tokens"))
+        .join(score(encoded, model), "row")
+        .select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            F.col("n_known").cast("long").alias("n_known"),
+            F.lit(model.tokens).cast("long").alias("train_tokens"),
+            (F.col("base") - F.col("n_tokens") * constant).alias("base_score"),
+            "score",
+        )
     )
-    by_hot = found.filter("kind = 2").select("block", "context", "doc", "unseen", "seen").join(hots, "context")
-    by_hot = by_hot.groupBy("block", "doc").agg(F.sum(F.col("unseen") * (F.col("mass") - F.col("lower")) + F.col("seen") * F.col("per_seen")).alias("more"))
-    by_hot = materialize(by_hot.groupBy("block").agg(F.collect_list(F.struct("doc", "more")).alias("more")))  # documents of one block
-    constant = float(np.log10(tokens + 0.5 * (kinds + 1)))
-
-    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left[left["kind"] == 4].iloc[0]
-        total = sum(unpack(s) for s in left["sums"] if s is not None)
-        for more in right["more"]:
-            for x in more:
-                total[x["doc"]] += x["more"]
-        n_tokens = unpack(own["times"]).astype(np.int64)
-        flags = unpack(own["flags"])
-        ids = pd.arrays.IntegerArray(unpack(own["ids"]), (flags & 2) > 0)
-        out = pd.DataFrame({"doc_id": ids, "held_out": (flags & 1) > 0, "n_tokens": n_tokens})
-        out["n_known"], out["train_tokens"] = unpack(own["known"]).astype(np.int64), tokens
-        out["base_score"], out["score"] = unpack(own["base"]) - n_tokens * constant, total
-        return out
-
-    own = found.filter("kind = 4").select("block", "kind", "times", "flags", "known", "base", "ids")
-    rows = own.withColumn("sums", F.lit(None).cast("binary")).unionByName(certain.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(by_hot.groupBy("block")).applyInPandas(finish, schema)

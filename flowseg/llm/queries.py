@@ -150,6 +150,10 @@ def _discounts(counts: str) -> str:
                 FROM (SELECT [{good}] AS good FROM (SELECT *, CAST(6 * n6 AS DOUBLE) / nullif(n1, 0) AS a FROM (SELECT {kinds} FROM {counts}))))"""
 
 
+#: SQL: what a context's n-grams have in all, what they leave, and what the shorter context gives others.
+_BACK = """sum(c) + CASE WHEN min(c) <= 5 THEN 0 ELSE 0.5 END AS total,
+                        CASE WHEN min(c) <= 5 THEN sum(c * (1 - kept)) ELSE 0.5 END AS mass, 1 - sum(p) AS free"""
+
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages),
@@ -173,23 +177,30 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC32} % 5 = 1, FALSE) AS held_out,
                           list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws
                    FROM documents),
-        t AS (SELECT r, held_out, unnest(ws) AS w, unnest(list_prepend('  ', ws[1:len(ws) - 1])) AS a FROM d),
+        t AS (SELECT r, held_out, unnest(ws) AS w, unnest(list_prepend('  ', ws[1:len(ws) - 1])) AS a,
+                     unnest(list_prepend('  ', list_prepend('  ', ws))[1:len(ws)]) AS b FROM d),
         uni AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
         bi AS (SELECT a, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY a, w),
+        tri AS (SELECT b, a, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY b, a, w),
         f1 AS {_discounts("uni")},
         f2 AS {_discounts("bi")},
+        f3 AS {_discounts("tri")},
         n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v, coalesce(sum(c * (1 - coalesce(f[c], 1))), 0) AS spare FROM uni, f1),
         u AS (SELECT *, n + CASE WHEN spare > 0 THEN 0 ELSE 0.5 END AS size FROM n),
         p AS (SELECT w, c, c * coalesce(f[c], 1) / size AS p FROM uni, f1, u),
         unknown AS (SELECT CASE WHEN n = 0 THEN 1 WHEN spare > 0 THEN spare / size ELSE 0.5 / size END AS p0 FROM u),
         seen AS (SELECT bi.a, bi.w, bi.c, coalesce(f[bi.c], 1) AS kept, p.p FROM bi JOIN p USING (w), f2),
-        back AS (SELECT a, sum(c) + CASE WHEN min(c) <= 5 THEN 0 ELSE 0.5 END AS total,
-                        CASE WHEN min(c) <= 5 THEN sum(c * (1 - kept)) ELSE 0.5 END AS mass, 1 - sum(p) AS free
-                 FROM seen GROUP BY a),
+        back AS (SELECT a, {_BACK} FROM seen GROUP BY a),
+        p2 AS (SELECT a, w, c * kept / total AS p FROM seen JOIN back USING (a)),
+        seen3 AS (SELECT tri.b, tri.a, tri.w, tri.c, coalesce(f[tri.c], 1) AS kept, p2.p FROM tri JOIN p2 USING (a, w), f3),
+        back3 AS (SELECT b, a, {_BACK} FROM seen3 GROUP BY b, a),
+        p3 AS (SELECT b, a, w, c * kept / total AS p FROM seen3 JOIN back3 USING (b, a)),
         s AS (SELECT t.r, coalesce(p.c, 0) AS c,
-                     CASE WHEN back.a IS NULL THEN log10(coalesce(p.p, p0)) WHEN seen.a IS NOT NULL THEN log10(seen.c * kept / total)
-                          ELSE log10(mass / total / free * coalesce(p.p, p0)) END AS l
-              FROM t LEFT JOIN p ON t.w = p.w LEFT JOIN back ON t.a = back.a LEFT JOIN seen ON t.a = seen.a AND t.w = seen.w, unknown)
+                     CASE WHEN p3.p IS NOT NULL THEN log10(p3.p)
+                          ELSE coalesce(log10(back3.mass / back3.total / back3.free), 0)
+                               + CASE WHEN p2.p IS NOT NULL THEN log10(p2.p) ELSE coalesce(log10(back.mass / back.total / back.free), 0) + log10(coalesce(p.p, p0)) END END AS l
+              FROM t LEFT JOIN p ON t.w = p.w LEFT JOIN back ON t.a = back.a LEFT JOIN p2 ON t.a = p2.a AND t.w = p2.w
+                   LEFT JOIN back3 ON t.b = back3.b AND t.a = back3.a LEFT JOIN p3 ON t.b = p3.b AND t.a = p3.a AND t.w = p3.w, unknown)
         SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
                sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))) AS base_score, sum(l) AS score
         FROM s JOIN d USING (r), n GROUP BY r, doc_id, held_out""",
