@@ -150,6 +150,48 @@ def _discounts(counts: str) -> str:
                 FROM (SELECT [{good}] AS good FROM (SELECT *, CAST(6 * n6 AS DOUBLE) / nullif(n1, 0) AS a FROM (SELECT {kinds} FROM {counts}))))"""
 
 
+def _licences_sql() -> str:
+    """SQL of query 6, from the same sentences, names and rules. RE2 can't look around: what must stay is put back or marked by _."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def texts(values) -> str:
+        return "[" + ", ".join(text(v) for v in values) + "]"
+
+    known, letters = licences.known_units(), licences.characters()
+    blank, led = r"[ \t\n\x0B\f\r]", licences.LED.replace("(?=", "(")
+    steps, names = [], []
+    for k, (name, ids) in enumerate(licences.RULES):
+        pattern = "".join(f"([^{letters[i]}]*){letters[i]}" for i in ids)
+        kept = "".join(rf"\{g}" for g in range(1, len(ids) + 1))
+        steps.append(f"regexp_replace(s{k}, {text(pattern)}, {text(kept)}, 'g') AS s{k + 1}")
+        names.append(f"CASE WHEN length(s{k + 1}) < length(s{k}) THEN {text(name)} END")
+    single = {letters[i]: name for i, name in licences.NAMED.items()}
+
+    def listed(head: str, start: str) -> str:
+        rest = f"regexp_replace(u, {text(start)}, '')"
+        rest = rf"regexp_replace({rest}, ' (or|and|with) ((?:any )?later)\b', ' \1_\2', 'g')"
+        rest = rf"regexp_replace({rest}, ' (or|and|with) the ((?:any )?later)\b', ' \1 the_\2', 'g')"
+        return f"[{text(head)} || trim(replace(x, '_', ' ')) for x in string_split_regex({rest}, ' (?:or|and|with) (?:the )?| at your option$')]"
+
+    heads = " ".join(f"WHEN starts_with(u, {text(h)}) THEN {listed(h, start)}" for h, start in licences.LISTS.items())
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+        m AS (SELECT * FROM d WHERE {" OR ".join(f"contains(t, {text(w)})" for w in licences.MARKERS)}),
+        cut AS (SELECT r, 1 AS kind, string_split_regex(regexp_replace(t, '\\bv[.]({blank}+[0-9])', 'v \\1', 'g'), {text(rf"""[.!?:;]["')\]]*{blank}|\n[ \t\r]*\n""")}) AS us FROM m
+                UNION ALL SELECT r, 2, string_split_regex(t, '[\\r\\n]+') FROM m),
+        plain AS (SELECT r, kind, [regexp_replace(regexp_replace(trim(regexp_replace(u, '[^a-z0-9]+', ' ', 'g')), {text(licences.UNDER)}, 'under '), {text(led)}, '\\1\\2') for u in us] AS us FROM cut),
+        one AS (SELECT r, kind, flatten([CASE {heads} ELSE [u] END for u in us]) AS us FROM plain),
+        known AS (SELECT r, kind, [{texts(known.values())}[list_position({texts(known)}, u)] for u in us if list_contains({texts(known)}, u)] AS ids FROM one),
+        fold AS (SELECT r, kind, ids, array_to_string([chr(CAST(255 + list_position({texts(letters)}, i) AS INTEGER)) for i in ids], '') AS s0, {", ".join(steps)} FROM known),
+        found AS (SELECT r, kind, ids, list_concat([{", ".join(names)}], [{texts(single.values())}[list_position({texts(single)}, c)] for c in string_split(s{len(steps)}, '') if list_contains({texts(single)}, c)]) AS names FROM fold),
+        a AS (SELECT r, flatten(list(names)) AS names, max(len(ids)) AS n, any_value(ids) FILTER (kind = 1) AS si, any_value(ids) FILTER (kind = 2) AS li FROM found GROUP BY r)
+        SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([x for x in names if x IS NOT NULL])), ','), '') AS licences, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences,
+               coalesce(array_to_string(si, ','), '') AS sentence_ids, coalesce(array_to_string(li, ','), '') AS line_ids
+        FROM d LEFT JOIN a USING (r)"""
+
+
 #: SQL: what a context's n-grams have in all, what they leave, and what the shorter context gives others.
 _BACK = """sum(c) + CASE WHEN min(c) <= 5 THEN 0 ELSE 0.5 END AS total,
                         CASE WHEN min(c) <= 5 THEN sum(c * (1 - kept)) ELSE 0.5 END AS mass, 1 - sum(p) AS free"""
@@ -165,6 +207,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, TRUE AS verified
         FROM p JOIN f USING (d)""",
+    "op6_licences": _licences_sql(),
     "op7_exact_topk": """
         WITH x AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         v AS (SELECT vec_id, [CAST(floor(256 * c) AS BIGINT) for c in e] AS vec FROM x WHERE len([c for c in e if c IS NULL OR NOT isfinite(c)]) = 0),

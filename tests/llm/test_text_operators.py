@@ -3,14 +3,16 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from flowseg.llm import byte_bpe, decontaminate, language_id, licences
+from flowseg.llm import byte_bpe, decontaminate, language_id, licences, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string"
@@ -371,5 +373,31 @@ def test_rules_equal_a_search_by_places(spark):
     assert [(r["licences"], r["sentence_ids"]) for r in got] == want
 
 
+def _sql(rows):
+    frame = pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], dtype="Int64"), "text": pd.array([t for _, t in rows], dtype="string")})
+    with duckdb.connect() as con:
+        con.register("documents", frame)
+        relation = con.sql(queries.ORACLES["op6_licences"])
+        return relation.columns, relation.fetchall()
+
+
+def test_licences_equal_their_sql(spark):
+    """Sentences, names, lists, headers and made sequences, wrapped or not; NULL, empty and repeated texts."""
+    rng = random.Random(5)
+    units = sorted(licences.known_units())
+    lists = ["Licensed under the MIT License or the Apache License, Version 2.0 at your option", "under GPL-2.0 or any later version", "This is released under the MIT license or the later one"]
+    notes = ["SPDX-License-Identifier: MIT OR Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later", "2. Redistributions of source code must retain", "v. 2.0", "is v.\n\n2 under", *lists]
+    notes += ["Neither the name of the Some Lab nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"]
+    texts = [None, "", "under", "software", *notes]
+    for _ in range(300):
+        some = [rng.choice([rng.choice(units), rng.choice(notes), "nothing of the kind", "the software"]) for _ in range(rng.randint(1, 12))]
+        texts.append("".join(x + rng.choice([".\n", ". ", "\n\n", "\n", "; ", ": ", ".) ", "!\x0b"]) for x in some))
+    rows = [*enumerate(texts), (0, texts[5]), (None, texts[5])]
+    frame = licences.scan(spark.createDataFrame(rows, DOCS).repartition(3))
+    names, want = _sql(rows)
+    got = sorted([tuple(r) for r in frame.select(*names).collect()], key=str)
+    assert got == sorted(want, key=str) and sum(bool(r[1]) for r in got) > 100
+
+
 def test_combining_marks_belong_to_words():
     assert language_id.letters("हिन्दी, 12 भाषा!").decode() == "हिन्दी भाषा"
