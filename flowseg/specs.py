@@ -24,91 +24,180 @@ TRAIN_FRACTION = 0.7
 PCA_SAMPLE_FRACTION = 0.2
 CLUSTER_SAMPLE_FRACTION = 0.05
 
-_TYPES = {
-    "string": T.StringType(),
-    "int": T.IntegerType(),
-    "bigint": T.LongType(),
-    "double": T.DoubleType(),
-}
-
-
-def _schema(text: str) -> T.StructType:
-    """Build an all-nullable schema from ``type: name name ...`` lines in file order."""
-    fields = []
-    for line in text.strip().splitlines():
-        kind, names = line.split(":")
-        fields += [T.StructField(n, _TYPES[kind.strip()], True) for n in names.split()]
-    return T.StructType(fields)
+# Field names and types of the three public datasets, in file order.
+IOT23_SCHEMA = T.StructType(
+    [
+        T.StructField("ts", T.DoubleType()),
+        T.StructField("uid", T.StringType()),
+        T.StructField("id_orig_h", T.StringType()),
+        T.StructField("id_orig_p", T.IntegerType()),
+        T.StructField("id_resp_h", T.StringType()),
+        T.StructField("id_resp_p", T.IntegerType()),
+        T.StructField("proto", T.StringType()),
+        T.StructField("service", T.StringType()),
+        T.StructField("duration", T.DoubleType()),
+        T.StructField("orig_bytes", T.LongType()),
+        T.StructField("resp_bytes", T.LongType()),
+        T.StructField("conn_state", T.StringType()),
+        T.StructField("local_orig", T.IntegerType()),
+        T.StructField("local_resp", T.IntegerType()),
+        T.StructField("missed_bytes", T.IntegerType()),
+        T.StructField("history", T.StringType()),
+        T.StructField("orig_pkts", T.IntegerType()),
+        T.StructField("orig_ip_bytes", T.LongType()),
+        T.StructField("resp_pkts", T.IntegerType()),
+        T.StructField("resp_ip_bytes", T.LongType()),
+        T.StructField("tunnel_parents", T.StringType()),
+        T.StructField("label", T.StringType()),
+        T.StructField("detailed_label", T.StringType()),
+    ]
+)
 
+# stcpb and dtcpb are unsigned 32-bit sequence numbers, hence LongType.
+UNSW_SCHEMA = T.StructType(
+    [
+        T.StructField("srcip", T.StringType()),
+        T.StructField("sport", T.IntegerType()),
+        T.StructField("dstip", T.StringType()),
+        T.StructField("dsport", T.IntegerType()),
+        T.StructField("proto", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("dur", T.DoubleType()),
+        T.StructField("sbytes", T.IntegerType()),
+        T.StructField("dbytes", T.IntegerType()),
+        T.StructField("sttl", T.IntegerType()),
+        T.StructField("dttl", T.IntegerType()),
+        T.StructField("sloss", T.IntegerType()),
+        T.StructField("dloss", T.IntegerType()),
+        T.StructField("service", T.StringType()),
+        T.StructField("Sload", T.DoubleType()),
+        T.StructField("Dload", T.DoubleType()),
+        T.StructField("Spkts", T.IntegerType()),
+        T.StructField("Dpkts", T.IntegerType()),
+        T.StructField("swin", T.IntegerType()),
+        T.StructField("dwin", T.IntegerType()),
+        T.StructField("stcpb", T.LongType()),
+        T.StructField("dtcpb", T.LongType()),
+        T.StructField("smeansz", T.IntegerType()),
+        T.StructField("dmeansz", T.IntegerType()),
+        T.StructField("trans_depth", T.IntegerType()),
+        T.StructField("res_bdy_len", T.IntegerType()),
+        T.StructField("Sjit", T.DoubleType()),
+        T.StructField("Djit", T.DoubleType()),
+        T.StructField("Stime", T.LongType()),
+        T.StructField("Ltime", T.LongType()),
+        T.StructField("Sintpkt", T.DoubleType()),
+        T.StructField("Dintpkt", T.DoubleType()),
+        T.StructField("tcprtt", T.DoubleType()),
+        T.StructField("synack", T.DoubleType()),
+        T.StructField("ackdat", T.DoubleType()),
+        T.StructField("is_sm_ips_ports", T.IntegerType()),
+        T.StructField("ct_state_ttl", T.IntegerType()),
+        T.StructField("ct_flw_http_mthd", T.IntegerType()),
+        T.StructField("is_ftp_login", T.IntegerType()),
+        T.StructField("ct_ftp_cmd", T.IntegerType()),
+        T.StructField("ct_srv_src", T.IntegerType()),
+        T.StructField("ct_srv_dst", T.IntegerType()),
+        T.StructField("ct_dst_ltm", T.IntegerType()),
+        T.StructField("ct_src_ltm", T.IntegerType()),
+        T.StructField("ct_src_dport_ltm", T.IntegerType()),
+        T.StructField("ct_dst_sport_ltm", T.IntegerType()),
+        T.StructField("ct_dst_src_ltm", T.IntegerType()),
+        T.StructField("attack_cat", T.StringType()),
+        T.StructField("Label", T.IntegerType()),
+    ]
+)
 
-# Field names and types of the three public datasets, in file order.
-IOT23_SCHEMA = _schema("""
-    double: ts
-    string: uid id_orig_h
-    int: id_orig_p
-    string: id_resp_h
-    int: id_resp_p
-    string: proto service
-    double: duration
-    bigint: orig_bytes resp_bytes
-    string: conn_state
-    int: local_orig local_resp missed_bytes
-    string: history
-    int: orig_pkts
-    bigint: orig_ip_bytes
-    int: resp_pkts
-    bigint: resp_ip_bytes
-    string: tunnel_parents label detailed_label
-""")
-
-# stcpb and dtcpb are unsigned 32-bit sequence numbers, hence bigint.
-UNSW_SCHEMA = _schema("""
-    string: srcip
-    int: sport
-    string: dstip
-    int: dsport
-    string: proto state
-    double: dur
-    int: sbytes dbytes sttl dttl sloss dloss
-    string: service
-    double: Sload Dload
-    int: Spkts Dpkts swin dwin
-    bigint: stcpb dtcpb
-    int: smeansz dmeansz trans_depth res_bdy_len
-    double: Sjit Djit
-    bigint: Stime Ltime
-    double: Sintpkt Dintpkt tcprtt synack ackdat
-    int: is_sm_ips_ports ct_state_ttl ct_flw_http_mthd is_ftp_login ct_ftp_cmd
-    int: ct_srv_src ct_srv_dst ct_dst_ltm ct_src_ltm ct_src_dport_ltm ct_dst_sport_ltm ct_dst_src_ltm
-    string: attack_cat
-    int: Label
-""")
-
-IOTID20_SCHEMA = _schema("""
-    string: Flow_ID Src_IP
-    int: Src_Port
-    string: Dst_IP
-    int: Dst_Port Protocol
-    string: Timestamp
-    int: Flow_Duration Tot_Fwd_Pkts Tot_Bwd_Pkts
-    double: TotLen_Fwd_Pkts TotLen_Bwd_Pkts
-    double: Fwd_Pkt_Len_Max Fwd_Pkt_Len_Min Fwd_Pkt_Len_Mean Fwd_Pkt_Len_Std
-    double: Bwd_Pkt_Len_Max Bwd_Pkt_Len_Min Bwd_Pkt_Len_Mean Bwd_Pkt_Len_Std
-    double: Flow_Byts/s Flow_Pkts/s
-    double: Flow_IAT_Mean Flow_IAT_Std Flow_IAT_Max Flow_IAT_Min
-    double: Fwd_IAT_Tot Fwd_IAT_Mean Fwd_IAT_Std Fwd_IAT_Max Fwd_IAT_Min
-    double: Bwd_IAT_Tot Bwd_IAT_Mean Bwd_IAT_Std Bwd_IAT_Max Bwd_IAT_Min
-    int: Fwd_PSH_Flags Bwd_PSH_Flags Fwd_URG_Flags Bwd_URG_Flags Fwd_Header_Len Bwd_Header_Len
-    double: Fwd_Pkts/s Bwd_Pkts/s
-    double: Pkt_Len_Min Pkt_Len_Max Pkt_Len_Mean Pkt_Len_Std Pkt_Len_Var
-    int: FIN_Flag_Cnt SYN_Flag_Cnt RST_Flag_Cnt PSH_Flag_Cnt ACK_Flag_Cnt URG_Flag_Cnt CWE_Flag_Count ECE_Flag_Cnt
-    double: Down/Up_Ratio Pkt_Size_Avg Fwd_Seg_Size_Avg Bwd_Seg_Size_Avg
-    int: Fwd_Byts/b_Avg Fwd_Pkts/b_Avg Fwd_Blk_Rate_Avg Bwd_Byts/b_Avg Bwd_Pkts/b_Avg Bwd_Blk_Rate_Avg
-    int: Subflow_Fwd_Pkts Subflow_Fwd_Byts Subflow_Bwd_Pkts Subflow_Bwd_Byts
-    int: Init_Fwd_Win_Byts Init_Bwd_Win_Byts Fwd_Act_Data_Pkts Fwd_Seg_Size_Min
-    double: Active_Mean Active_Std Active_Max Active_Min Idle_Mean Idle_Std Idle_Max Idle_Min
-    string: Label Cat Sub_Cat
-""")
+IOTID20_SCHEMA = T.StructType(
+    [
+        T.StructField("Flow_ID", T.StringType()),
+        T.StructField("Src_IP", T.StringType()),
+        T.StructField("Src_Port", T.IntegerType()),
+        T.StructField("Dst_IP", T.StringType()),
+        T.StructField("Dst_Port", T.IntegerType()),
+        T.StructField("Protocol", T.IntegerType()),
+        T.StructField("Timestamp", T.StringType()),
+        T.StructField("Flow_Duration", T.IntegerType()),
+        T.StructField("Tot_Fwd_Pkts", T.IntegerType()),
+        T.StructField("Tot_Bwd_Pkts", T.IntegerType()),
+        T.StructField("TotLen_Fwd_Pkts", T.DoubleType()),
+        T.StructField("TotLen_Bwd_Pkts", T.DoubleType()),
+        T.StructField("Fwd_Pkt_Len_Max", T.DoubleType()),
+        T.StructField("Fwd_Pkt_Len_Min", T.DoubleType()),
+        T.StructField("Fwd_Pkt_Len_Mean", T.DoubleType()),
+        T.StructField("Fwd_Pkt_Len_Std", T.DoubleType()),
+        T.StructField("Bwd_Pkt_Len_Max", T.DoubleType()),
+        T.StructField("Bwd_Pkt_Len_Min", T.DoubleType()),
+        T.StructField("Bwd_Pkt_Len_Mean", T.DoubleType()),
+        T.StructField("Bwd_Pkt_Len_Std", T.DoubleType()),
+        T.StructField("Flow_Byts/s", T.DoubleType()),
+        T.StructField("Flow_Pkts/s", T.DoubleType()),
+        T.StructField("Flow_IAT_Mean", T.DoubleType()),
+        T.StructField("Flow_IAT_Std", T.DoubleType()),
+        T.StructField("Flow_IAT_Max", T.DoubleType()),
+        T.StructField("Flow_IAT_Min", T.DoubleType()),
+        T.StructField("Fwd_IAT_Tot", T.DoubleType()),
+        T.StructField("Fwd_IAT_Mean", T.DoubleType()),
+        T.StructField("Fwd_IAT_Std", T.DoubleType()),
+        T.StructField("Fwd_IAT_Max", T.DoubleType()),
+        T.StructField("Fwd_IAT_Min", T.DoubleType()),
+        T.StructField("Bwd_IAT_Tot", T.DoubleType()),
+        T.StructField("Bwd_IAT_Mean", T.DoubleType()),
+        T.StructField("Bwd_IAT_Std", T.DoubleType()),
+        T.StructField("Bwd_IAT_Max", T.DoubleType()),
+        T.StructField("Bwd_IAT_Min", T.DoubleType()),
+        T.StructField("Fwd_PSH_Flags", T.IntegerType()),
+        T.StructField("Bwd_PSH_Flags", T.IntegerType()),
+        T.StructField("Fwd_URG_Flags", T.IntegerType()),
+        T.StructField("Bwd_URG_Flags", T.IntegerType()),
+        T.StructField("Fwd_Header_Len", T.IntegerType()),
+        T.StructField("Bwd_Header_Len", T.IntegerType()),
+        T.StructField("Fwd_Pkts/s", T.DoubleType()),
+        T.StructField("Bwd_Pkts/s", T.DoubleType()),
+        T.StructField("Pkt_Len_Min", T.DoubleType()),
+        T.StructField("Pkt_Len_Max", T.DoubleType()),
+        T.StructField("Pkt_Len_Mean", T.DoubleType()),
+        T.StructField("Pkt_Len_Std", T.DoubleType()),
+        T.StructField("Pkt_Len_Var", T.DoubleType()),
+        T.StructField("FIN_Flag_Cnt", T.IntegerType()),
+        T.StructField("SYN_Flag_Cnt", T.IntegerType()),
+        T.StructField("RST_Flag_Cnt", T.IntegerType()),
+        T.StructField("PSH_Flag_Cnt", T.IntegerType()),
+        T.StructField("ACK_Flag_Cnt", T.IntegerType()),
+        T.StructField("URG_Flag_Cnt", T.IntegerType()),
+        T.StructField("CWE_Flag_Count", T.IntegerType()),
+        T.StructField("ECE_Flag_Cnt", T.IntegerType()),
+        T.StructField("Down/Up_Ratio", T.DoubleType()),
+        T.StructField("Pkt_Size_Avg", T.DoubleType()),
+        T.StructField("Fwd_Seg_Size_Avg", T.DoubleType()),
+        T.StructField("Bwd_Seg_Size_Avg", T.DoubleType()),
+        T.StructField("Fwd_Byts/b_Avg", T.IntegerType()),
+        T.StructField("Fwd_Pkts/b_Avg", T.IntegerType()),
+        T.StructField("Fwd_Blk_Rate_Avg", T.IntegerType()),
+        T.StructField("Bwd_Byts/b_Avg", T.IntegerType()),
+        T.StructField("Bwd_Pkts/b_Avg", T.IntegerType()),
+        T.StructField("Bwd_Blk_Rate_Avg", T.IntegerType()),
+        T.StructField("Subflow_Fwd_Pkts", T.IntegerType()),
+        T.StructField("Subflow_Fwd_Byts", T.IntegerType()),
+        T.StructField("Subflow_Bwd_Pkts", T.IntegerType()),
+        T.StructField("Subflow_Bwd_Byts", T.IntegerType()),
+        T.StructField("Init_Fwd_Win_Byts", T.IntegerType()),
+        T.StructField("Init_Bwd_Win_Byts", T.IntegerType()),
+        T.StructField("Fwd_Act_Data_Pkts", T.IntegerType()),
+        T.StructField("Fwd_Seg_Size_Min", T.IntegerType()),
+        T.StructField("Active_Mean", T.DoubleType()),
+        T.StructField("Active_Std", T.DoubleType()),
+        T.StructField("Active_Max", T.DoubleType()),
+        T.StructField("Active_Min", T.DoubleType()),
+        T.StructField("Idle_Mean", T.DoubleType()),
+        T.StructField("Idle_Std", T.DoubleType()),
+        T.StructField("Idle_Max", T.DoubleType()),
+        T.StructField("Idle_Min", T.DoubleType()),
+        T.StructField("Label", T.StringType()),
+        T.StructField("Cat", T.StringType()),
+        T.StructField("Sub_Cat", T.StringType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
