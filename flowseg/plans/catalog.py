@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowseg.functions.columns import hash_below, row_hash
+from flowseg.functions.columns import as_double_array, chebyshev, hash_below, row_hash
 from flowseg.functions.tables import materialize, scratch_path
 from flowseg.operators import classify, clean, cluster, enrich, evaluate, features, reduce, rules, sample
 from flowseg.plans import jobs
@@ -409,6 +409,14 @@ def cluster_summary(spark, sf_dir):
     return cluster.summary(flows(spark, sf_dir), "clusterId")
 
 
+def chebyshev_from_first(spark, sf_dir):
+    """Distance of every vector from its label's first one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.select("vec_id", "label", as_double_array(vectors, "embedding").alias("x"))
+    first = vectors.groupBy("label").agg(F.min_by("x", "vec_id").alias("first"))
+    return vectors.join(first, "label").select("vec_id", F.round(chebyshev(F.col("x"), F.col("first")), 6).alias("distance"))
+
+
 def core_distance(spark, sf_dir):
     return _rounded(cluster.core_distance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), ["core_distance"], 6)
 
@@ -674,7 +682,7 @@ QUERIES = [
     label_encode, label_encode_large, impute_mean, standardize, corr_matrix, corr_pairs, prune_correlated, preprocess, preprocess_pruned,
     pca_norms, pca_total_variance, pca_explained_variance, pca_choose_k, pca_plane, pca_reduce,
     hash_sample, capped_sample, balanced_sample, balanced_sample_large, hash_split, undersample, class_weights, weighted_rows,
-    attach_clusters, flows_in_clusters, largest_clusters, largest_clusters_all, cluster_summary, core_distance, reachability,
+    attach_clusters, flows_in_clusters, largest_clusters, largest_clusters_all, cluster_summary, chebyshev_from_first, core_distance, reachability,
     core_distance_blocks, reachability_blocks, optics_segments_blocks,
     optics_segments, optics_by_group, flow_segments,
     tree_plain, tree_undersampled, tree_weighted, tree_enriched, tree_enriched_undersampled, tree_enriched_weighted, tree_reload,

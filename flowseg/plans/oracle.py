@@ -306,6 +306,8 @@ ORACLES: dict[str, str] = {
     "cluster_summary": f"""{_F} SELECT count(*) AS n_points, count(DISTINCT CASE WHEN "clusterId" <> -1 THEN "clusterId" END) AS n_clusters,
         CAST(sum(CASE WHEN "clusterId" = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise,
         round(sum(CASE WHEN "clusterId" = -1 THEN 1 ELSE 0 END) / count(*) * 100, 2) AS noise_pct FROM f""",
+    "chebyshev_from_first": f"WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), b AS (SELECT label, arg_min(x, vec_id) AS x FROM p GROUP BY label)"
+    f" SELECT a.vec_id, round({_DIST}, 6) AS distance FROM p a JOIN b USING (label)",
     "core_distance": f"WITH p AS (SELECT vec_id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT a.vec_id, round(min({_DIST}), 6) AS core_distance FROM p a JOIN p b ON a.n <> b.n GROUP BY a.vec_id",
     "reachability": _REACHABILITY,
     "optics_segments": _segments("0", ""),
