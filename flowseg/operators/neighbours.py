@@ -1,8 +1,8 @@
 """Nearest neighbours: for every vector the distance to the nearest other one of its group, without a tree.
 
 A vector's own block gives a first radius. Only vectors whose radius leads out of
-the block's region search on, in the blocks whose boxes lie within it (``blocks``);
-most stay at home. A vector that is alone in its block starts with the far
+the block's region search on, in the tiles whose boxes lie within it (``tiles``);
+others stay at home. A vector that is alone in its block starts with the far
 corner of a neighbouring block.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowseg.functions.tables import materialize
-from flowseg.operators.blocks import BLOCK, boxes, cut_space, lightest_across, nearest, tasks, visits
+from flowseg.operators.blocks import BLOCK, cut_space, nearest, tasks
+from flowseg.operators.tiles import lightest_edges, with_tiles
 
 _SCHEMA = "g string, blk long, node long, arr array<double>, w double, ext double"
 
@@ -29,7 +30,7 @@ def _at_home(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["g", "blk", "node", "arr"]].assign(w=nearest(x, x, own, own)[0], ext=ext)
 
 
-def nearest_distances(nodes: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
+def nearest_distances(nodes: DataFrame, dims: int, block: int = BLOCK, tile: int | None = None) -> DataFrame:
     """``(g, node, w)`` for ``distinct_vectors``; NULL where a group has one vector only."""
     groups, most = nodes.groupBy("g").count().agg(F.count(F.lit(1)), F.max("count")).first()
     if not most or most <= block:
@@ -46,7 +47,6 @@ def nearest_distances(nodes: DataFrame, dims: int, block: int = BLOCK) -> DataFr
     corner = F.greatest(F.array_max(F.zip_with("high_n", "arr", lambda h, x: h - x)), F.array_max(F.zip_with("arr", "low_n", lambda x, l: x - l)))
     alone = home.filter(F.col("w") == np.inf).join(far, ["g", "blk"]).groupBy("g", "node").agg(F.min(corner).alias("bound"))
     known = home.join(alone, ["g", "node"], "left").withColumn("bound", F.least("w", "bound"))
-    queries = known.filter(F.col("ext") <= F.col("bound")).select("g", F.col("blk").alias("p"), F.col("node").alias("c"), "bound", F.col("arr").alias("low"), F.col("arr").alias("high"))
-    found = visits(blocks, queries)
-    across = lightest_across(blocks.vectors.withColumn("c", F.col("node")), found, dims).groupBy("g", F.col("c").alias("node")).agg(F.min("w").alias("outside"))
+    asking = known.select("g", "blk", "node", "arr", F.col("node").alias("c"), "ext", F.when(F.col("ext") <= F.col("bound"), F.col("bound")).alias("bound"))
+    across = lightest_edges(with_tiles(asking, dims, tile)).groupBy("g", F.col("c").alias("node")).agg(F.min("w").alias("outside"))
     return home.join(across, ["g", "node"], "left").select("g", "node", F.least("w", "outside").alias("w"))
