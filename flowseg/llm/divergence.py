@@ -8,9 +8,9 @@ source. A task keeps merging its counts and hands them on when there are more th
 merged by key; terms in fewer than ``least_docs`` texts of their language go.
 
 What is left is dealt by hash of the term into shards of about ``SHARD_ROWS`` counts,
-with all sources of the language beside each. A shard is a matrix of sources by terms;
-it gives its share of every pair's divergence and its own best terms of every source.
-Shares add up, best terms compete. So neither a frequent term nor a large source fills
+with all sources of the language beside each. A shard is a matrix of sources by terms,
+gone through in runs of terms of at most ``CELLS`` cells; it gives its share of every
+pair's divergence and its own best terms of every source. Shares add up, best terms compete. So neither a frequent term nor a large source fills
 a task: a shard holds one count a term and source at most.
 
 With V kept terms, N occurrences of them and a count c, p = 1 + floor(10^9 (c + 1) / (N + V));
@@ -45,6 +45,7 @@ LEAST_DOCS = 3
 BATCH_BYTES = 4 << 20
 HELD_ROWS = 400_000
 SHARD_ROWS = 200_000
+CELLS = 1 << 19  # of sources by terms, held at a time
 _COUNTS = "lang string, source string, term string, n long, docs long"
 _PART = "lang string, source string, part string, item string, value long"
 _KEYS = ["lang", "source", "term"]
@@ -126,24 +127,35 @@ def _shard(key: tuple, entries: pa.Table, groups: pa.Table) -> pa.Table:
     totals, vocabulary = groups["total"].to_pylist(), groups["vocabulary"][0].as_py()
     place = {s: i for i, s in enumerate(sources)}
     words = entries["term"].combine_chunks().dictionary_encode()
-    terms = words.dictionary
-    counts = np.zeros((len(sources), len(terms)), dtype=np.int64)
-    counts[[place[s] for s in entries["source"].to_pylist()], words.indices.to_numpy()] = entries["n"].to_numpy()
-    p = np.ones_like(counts)
-    whole = np.ones((1, len(terms)), dtype=np.int64)
-    if vocabulary:
-        whole = _scaled(counts.sum(axis=0, keepdims=True), sum(totals) + vocabulary)
-        p = np.concatenate([_scaled(counts[i : i + 1], totals[i] + vocabulary) for i in range(len(sources))])
+    codes = words.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    rows, codes = np.array([place[s] for s in entries["source"].to_pylist()], dtype=np.int64)[order], codes[order]
+    n = entries["n"].to_numpy()[order]
+    shares = [[0] * len(sources) for _ in sources]
+    best: list[list[tuple[int, str]]] = [[] for _ in sources]
+    width = max(1, CELLS // len(sources))
+    for start in range(0, len(words.dictionary), width):
+        terms = words.dictionary.slice(start, width)
+        own = slice(*np.searchsorted(codes, [start, start + len(terms)]).tolist())
+        counts = np.zeros((len(sources), len(terms)), dtype=np.int64)
+        counts[rows[own], codes[own] - start] = n[own]
+        p = np.ones_like(counts)
+        whole = np.ones((1, len(terms)), dtype=np.int64)
+        if vocabulary:
+            whole = _scaled(counts.sum(axis=0, keepdims=True), sum(totals) + vocabulary)
+            p = np.concatenate([_scaled(counts[i : i + 1], totals[i] + vocabulary) for i in range(len(sources))])
+        for i in range(len(sources)):
+            shares[i] = [u + v for u, v in zip(shares[i], ((p[i] - p) ** 2 // p).sum(axis=1).tolist())]
+            more = np.flatnonzero((counts[i] > 0) & (p[i] > whole[0]))
+            value = (p[i, more] - whole[0, more]) ** 2 // whole[0, more]
+            best[i] += zip(value.tolist(), terms.take(pa.array(more)).to_pylist())
+            if len(best[i]) > TOP_TERMS:
+                least = sorted((v for v, _ in best[i]), reverse=True)[TOP_TERMS - 1]
+                best[i] = [x for x in best[i] if x[0] >= least]
     out: list[tuple[str, str, str, int]] = []
     for i, source in enumerate(sources):
-        shares = ((p[i] - p) ** 2 // p).sum(axis=1).tolist()
-        out += [(source, "pair", other, v) for j, (other, v) in enumerate(zip(sources, shares)) if j != i]
-        own = np.flatnonzero((counts[i] > 0) & (p[i] > whole[0]))
-        value = (p[i, own] - whole[0, own]) ** 2 // whole[0, own]
-        if len(own) > TOP_TERMS:
-            least = np.partition(value, len(own) - TOP_TERMS)[len(own) - TOP_TERMS]
-            own, value = own[value >= least], value[value >= least]
-        out += [(source, "term", t, v) for t, v in zip(terms.take(pa.array(own)).to_pylist(), value.tolist())]
+        out += [(source, "pair", other, v) for j, (other, v) in enumerate(zip(sources, shares[i])) if j != i]
+        out += [(source, "term", t, v) for v, t in best[i]]
     columns = list(zip(*out)) or [(), (), (), ()]
     names = ("source", "part", "item")
     made = {n: pa.array(c, type=pa.string()) for n, c in zip(names, columns)} | {"value": pa.array(columns[3], type=pa.int64())}
