@@ -49,13 +49,13 @@ def source_profile(
     )
 
 
-def add_behaviour(df: DataFrame, profile: DataFrame, src_ip: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+def add_behaviour(df: DataFrame, profile: DataFrame, src_ip: str, rows: int = BROADCAST_ROWS, written: bool = False) -> DataFrame:
     """The profile of its source on every flow.
 
     ``total_flows`` says which sources are heavy, so the join salts them when
-    the profile is too large to broadcast.
+    the profile is too large to broadcast. The profile is written first unless it is ``written`` already.
     """
-    return lookup_join(df, materialize(profile), src_ip, PROFILE[2], rows)
+    return lookup_join(df, profile if written else materialize(profile), src_ip, PROFILE[2], rows)
 
 
 def rescale_behaviour(
