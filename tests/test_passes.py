@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from flowseg.functions import tables
-from flowseg.operators import classify
+from flowseg.operators import classify, features
 from flowseg.plans import jobs
 from flowseg.plans.flows import SPEC
 
@@ -74,3 +74,24 @@ def test_rows_are_written_only_for_salts(spark, monkeypatch, heavy, nulls, writt
     out = tables.lookup_join(df, lookup, "k", "n", rows=0)
     assert len(calls) == written
     assert out.count() == 4_000 and out.filter("k IS NULL AND n IS NULL").count() == nulls and out.agg(F.max("n")).first()[0] == heavy
+
+
+def test_large_dictionary_is_written_once(spark, monkeypatch):
+    """With a stored place the rows aren't written for it, and the numbered dictionary isn't either."""
+    df = tables.materialize(spark.range(90).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), F.col("id") % 23)).alias("a"), F.col("id").cast("string").alias("b")))
+    plain = features.label_encode(df, ["a", "b"])
+    calls = []
+    store = features.materialize
+    monkeypatch.setattr(features, "materialize", lambda x: calls.append(1) or store(x))
+    found = features.label_encode(df, ["a", "b"], rows=5, position="id")
+    assert len(calls) == 1
+    assert found.count() == 90 and found.exceptAll(plain).isEmpty()
+
+
+@pytest.mark.parametrize("heavy", [1, 3_000])
+def test_large_lookups_meet_sorted_by_hash(spark, heavy):
+    df = tables.materialize(spark.range(4_000).select(F.when(F.col("id") < heavy, F.lit(0)).otherwise(F.col("id")).cast("string").alias("k")))
+    lookup = tables.materialize(df.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    out = tables.lookup_join(df, lookup.hint("merge"), "k", "n", rows=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_lookup_hash" in plan and out.columns == ["k", "n"] and out.count() == 4_000
