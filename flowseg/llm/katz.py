@@ -12,6 +12,9 @@ Every step is a join or an aggregation by whole n-grams or contexts, partly
 added up before its shuffle; n-grams are compared by the 64-bit hashes of their
 words. No group is gathered in a task: a context's sums are plain aggregates, and a
 join's heavy key is split by adaptive execution, as its other side is one row a key.
+An order's answers are added up by row as they are found; only missed n-grams are
+written for the next order. Shuffle files go when a write ends, working tables when
+nothing reads them any more: the model, the words and one step's files are there at a time.
 
 The discounts are Katz's form of Good-Turing's for counts up to ``DEPTH``, an
 order's own. Where the formula gives no value between 0 and 1 for each of them
@@ -34,10 +37,10 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from flowseg.functions.tables import materialize, scratch_path
+from flowseg.functions.tables import discard, scratch_path, shuffles_cleared
 from flowseg.llm.common import id_remainder
 
 HELD_OUT = (5, 1)
@@ -71,12 +74,24 @@ def discounts(n: dict[int, int]) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """Written once: ``row`` (a number of its own for every row), the columns to keep, ``words`` (hashes, then the end)."""
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    with shuffles_cleared(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _collected(df: DataFrame) -> list[Row]:
+    with shuffles_cleared(df.sparkSession):
+        return df.collect()
+
+
+def encode(docs: DataFrame, *keep: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """Written once, to ``path``: ``row`` (a number of its own for every row), the columns to keep, ``words`` (hashes, then the end)."""
     lower = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     split = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     words = F.concat(F.transform(split, lambda w: F.xxhash64(w)), F.array(F.lit(END).cast("long")))
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), *keep, words.alias("words")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, words.alias("words"))
+    return _stored(rows, path or scratch_path(docs.sparkSession, "katz-words"))
 
 
 def _names(n: int) -> list[str]:
@@ -94,15 +109,10 @@ def _ngrams(encoded: DataFrame, n: int, *keep: str) -> DataFrame:
     return encoded.select(*keep, *columns).select(*keep, F.inline(F.arrays_zip(*_names(n))))
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _discounted(counts: DataFrame) -> tuple[dict[int, int], np.ndarray, Column]:
     """Numbers of kinds by low count, their factors, and the column of discounted counts."""
     low = counts.filter(F.col("count") <= DEPTH + 1).groupBy("count").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = {r["count"]: r["kinds"] for r in low.collect()}  # six rows at most
+    kinds = {r["count"]: r["kinds"] for r in _collected(low)}  # six rows at most
     factors = discounts(kinds)
     kept = F.col("count").cast("double")
     for r in range(1, DEPTH + 1):
@@ -113,9 +123,10 @@ def _discounted(counts: DataFrame) -> tuple[dict[int, int], np.ndarray, Column]:
 def train(encoded: DataFrame, path: str, order: int = ORDER) -> Model:
     """Counts, probabilities and weights of ``words``, written below ``path``."""
     spark = encoded.sparkSession
-    counts = materialize(_ngrams(encoded, 1).groupBy("w1").agg(F.count(F.lit(1)).alias("count")))
+    work = scratch_path(spark, "katz-counts")
+    counts = _stored(_ngrams(encoded, 1).groupBy("w1").agg(F.count(F.lit(1)).alias("count")), f"{work}/order=1")
     kinds_by_count, factors, kept = _discounted(counts)
-    totals = counts.agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
+    (totals,) = _collected(counts.agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("kinds")))
     tokens, kinds = totals["tokens"] or 0, totals["kinds"]
     left = sum(r * n * (1 - factors[r]) for r, n in kinds_by_count.items() if r <= DEPTH)
     size = tokens if left > 0 else tokens + 0.5  # every kind occurs often: one kind more, seen half a time
@@ -124,11 +135,12 @@ def train(encoded: DataFrame, path: str, order: int = ORDER) -> Model:
     spark.createDataFrame(settings, "order int, tokens long, kinds long, unknown double").coalesce(1).write.parquet(f"{path}/settings")
     single = counts.select("w1", "count", (kept / F.lit(float(size))).alias("p"), F.col("count").alias("last_count"))
     grams, weights = [_stored(single, f"{path}/grams/order=1")], []
+    discard(spark, work)
     for n in range(2, order + 1):
         own, context, shorter = _names(n), _names(n - 1), _names(n)[1:]
         lower = grams[-1].select(*[F.col(a).alias(b) for a, b in zip(context, shorter)], F.col("p").alias("lower"), "last_count")
         counts = _ngrams(encoded, n).groupBy(*own).agg(F.count(F.lit(1)).alias("count"))
-        counts = materialize(counts.join(lower, shorter).select(*own, "count", "lower", "last_count"))
+        counts = _stored(counts.join(lower, shorter).select(*own, "count", "lower", "last_count"), f"{work}/order={n}")
         _, _, kept = _discounted(counts)
         sums = counts.groupBy(*context).agg(
             F.sum("count").alias("total"), F.min("count").alias("least"), F.sum(F.col("count") - kept).alias("mass"), F.sum("lower").alias("used")
@@ -139,6 +151,7 @@ def train(encoded: DataFrame, path: str, order: int = ORDER) -> Model:
         weights.append(_stored(sums.select(*context, total.alias("total"), weight.alias("weight")), f"{path}/weights/order={n}"))
         known = counts.join(weights[-1].select(*context, "total"), context).select(*own, "count", (kept / F.col("total")).alias("p"), "last_count")
         grams.append(_stored(known, f"{path}/grams/order={n}"))
+        discard(spark, work)
     return Model(grams, weights, tokens, kinds, unknown)
 
 
@@ -161,42 +174,48 @@ def load(spark: SparkSession, path: str) -> Model:
 
 def score(encoded: DataFrame, model: Model) -> DataFrame:
     """row, n_known (tokens whose word was counted), base (logarithms of their words' counts and a half), score (log10 probability)."""
-    parts, order = [], len(model.grams)
-    asked = _ngrams(encoded, order, "row").withColumn("back", F.lit(0.0))
-
-    def part(rows: DataFrame, p: Column, count: Column) -> DataFrame:
-        return rows.groupBy("row").agg(
-            F.sum(F.when(count > 0, 1).otherwise(0)).alias("n_known"),
-            F.sum(F.log10(count + F.lit(0.5))).alias("base"),
-            F.sum(F.log10(p) + F.col("back")).alias("score"),
-        )
+    spark, order = encoded.sparkSession, len(model.grams)
+    work = scratch_path(spark, "katz-asked")
+    sums = ["n_known", "base", "score"]
+    asked = _ngrams(encoded, order, "row").withColumn("times", F.lit(1).cast("long"))
+
+    def answers(p: Column, count: Column) -> list[Column]:
+        known = F.when(count > 0, F.col("times")).otherwise(0)
+        return [known.alias("n_known"), (F.col("times") * F.log10(count + F.lit(0.5))).alias("base"), (F.col("times") * F.log10(p)).alias("score")]
 
+    parts = []
     for n in range(order, 1, -1):
         own = _names(n)
         found = asked.join(model.grams[n - 1].select(*own, "p", "last_count"), own, "left")
-        missed = F.col("p").isNull()  # only these need their words any more
-        found = materialize(found.select("row", "back", "p", "last_count", *[F.when(missed, F.col(w)).alias(w) for w in own]))
-        parts.append(part(found.filter(~missed), F.col("p"), F.col("last_count")))
-        going = found.filter(missed).select("row", "back", *own).join(model.weights[n - 2].select(*own[:-1], "weight"), own[:-1], "left")
-        back = F.col("back") + F.coalesce(F.log10("weight"), F.lit(0.0))  # a context never seen passes everything on
-        asked = going.select("row", back.alias("back"), *[F.col(a).alias(b) for a, b in zip(own[1:], own)])
+        missed = [F.when(F.col("p").isNull(), F.col(w)).alias(w) for w in own]  # NULL in what is answered
+        found = found.select("row", *missed, "times", *answers(F.col("p"), F.col("last_count"))).groupBy("row", *own)
+        found = _stored(found.agg(F.sum("times").alias("times"), *[F.sum(c).alias(c) for c in sums]), f"{work}/order={n}")
+        parts.append(found.filter(F.col("w1").isNull()).select("row", *sums))
+        going = found.filter(F.col("w1").isNotNull()).select("row", *own, "times")
+        back = going.join(model.weights[n - 2].select(*own[:-1], "weight"), own[:-1])  # a context never seen passes everything on
+        parts.append(back.select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), (F.col("times") * F.log10("weight")).alias("score")))
+        asked = going.select("row", "times", *[F.col(a).alias(b) for a, b in zip(own[1:], own)])
     found = asked.join(model.grams[0].select("w1", "p", "last_count"), "w1", "left")
-    parts.append(part(found, F.coalesce("p", F.lit(model.unknown)), F.coalesce("last_count", F.lit(0))))
+    parts.append(found.select("row", *answers(F.coalesce("p", F.lit(model.unknown)), F.coalesce("last_count", F.lit(0)))))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    rows = _stored(rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in sums]), scratch_path(spark, "katz-scores"))
+    discard(spark, work)
+    return rows
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model stays below ``path``."""
+    spark = docs.sparkSession
+    words = scratch_path(spark, "katz-words")
     held = F.coalesce(id_remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    encoded = encode(rows, "doc_id", "held_out")
-    model = train(encoded.filter(~F.col("held_out")), path or scratch_path(docs.sparkSession, "katz"), order)
+    encoded = encode(rows, "doc_id", "held_out", path=words)
+    model = train(encoded.filter(~F.col("held_out")), path or scratch_path(spark, "katz"), order)
     n_tokens = F.size("words").cast("long")
     constant = float(np.log10(model.tokens + 0.5 * (model.kinds + 1)))
-    return (
+    scored = (
         encoded.select("row", "doc_id", "held_out", n_tokens.alias("n_tokens"))
         .join(score(encoded, model), "row")
         .select(
@@ -209,3 +228,6 @@ def score_documents(docs: DataFrame, order: int = ORDER, path: str | None = None
             "score",
         )
     )
+    scored = _stored(scored, scratch_path(spark, "katz-scored"))
+    discard(spark, words)
+    return scored

@@ -1,7 +1,9 @@
 """The language model against a plain version over dictionaries that shares no code with it."""
 
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from flowseg.functions.tables import SHUFFLE_CLEANUP, scratch_path
 from flowseg.llm import katz, queries
 
 
@@ -166,3 +169,33 @@ def test_without_training_and_without_rows(spark):
 
 def test_discounts_without_kinds():
     assert katz.discounts({}).tolist() == [0, 0.5, 0.75, pytest.approx(2.5 / 3), 0.875, 0.9]
+
+
+def test_only_the_model_and_small_tables_are_left_on_disk(spark, tmp_path):
+    """Encoded texts, counts, asked n-grams and shuffle files go while the job runs; the session's setting stays as it was."""
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    scratch = os.path.dirname(scratch_path(spark))
+    os.makedirs(scratch, exist_ok=True)
+    before, tables, setting = shuffled(), set(os.listdir(scratch)), spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = made(120, 1)
+    scored = katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), path=f"{tmp_path}/model")
+    assert {t.rsplit("-", 1)[0] for t in set(os.listdir(scratch)) - tables} <= {"katz-scores", "katz-scored"}
+    until = time.time() + 20  # files are deleted in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    same([tuple(r) for r in scored.collect()], brute(rows)[0])
+
+
+def test_missed_ngrams_of_a_text_that_repeats_itself(spark, tmp_path):
+    """Many times the same n-gram, found, missed, and with its context missed too, in one text."""
+    held = next(i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [*made(120, 1), (held, "w1 w2 w3 " * 50 + "w9 w8 new " * 40), (held, "new " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for order in (2, 3, 4):
+        same([tuple(r) for r in katz.score_documents(docs, order).collect()], brute(rows, order)[0])
