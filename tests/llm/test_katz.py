@@ -199,3 +199,45 @@ def test_missed_ngrams_of_a_text_that_repeats_itself(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for order in (2, 3, 4):
         same([tuple(r) for r in katz.score_documents(docs, order).collect()], brute(rows, order)[0])
+
+
+def _by_hash(text):
+    return [katz.xxhash.xxh64_intdigest(w, seed=42) - (1 << 64) * (katz.xxhash.xxh64_intdigest(w, seed=42) >> 63) for w in (text or "").encode().lower().split()] + [1]
+
+
+@pytest.mark.parametrize("bucket_tokens, order", [(60, 3), (400, 2), (400, 4), (10**6, 3)])
+def test_stored_tables_add_up_with_many_buckets_and_hot_words(spark, tmp_path, bucket_tokens, order):
+    """Counts are those of the texts; what a context leaves is its weight; each n-gram and each context is there once."""
+    rows, path = made(120, 1), f"{tmp_path}/model"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same([tuple(r) for r in katz.score_documents(docs, order, path, bucket_tokens).collect()], brute(rows, order)[0])
+    model = katz.load(spark, path)
+    assert len(model.hots[0]) > 5 and (model.buckets > 5) == (bucket_tokens < 10**6)
+    p = [{}]
+    for n, grams in enumerate(model.grams, 1):
+        want = Counter()
+        for d, t in rows:
+            if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+                words = [0] * (n - 1) + _by_hash(t)
+                want.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        got = [(tuple(r[f"w{k}"] for k in range(1, n + 1)), r) for r in grams.collect()]
+        assert len(got) == len(want) and {k: r["count"] for k, r in got} == want
+        p.append({k: r["p"] for k, r in got})
+    for n, weights in enumerate(model.weights, 2):
+        seen, lower = Counter(), Counter()
+        for k, x in p[n].items():
+            seen[k[:-1]] += x
+            lower[k[:-1]] += p[n - 1][k[1:]]
+        got = {tuple(r[f"w{k}"] for k in range(1, n)): r["weight"] for r in weights.collect()}
+        assert got.keys() == seen.keys() and weights.count() == len(got)
+        assert all(1 - seen[c] == pytest.approx(w * (1 - lower[c]), abs=1e-9) for c, w in got.items())
+
+
+def test_model_takes_few_bytes(spark, tmp_path):
+    """Under 8 bytes a token of model."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(300))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    tokens = sum(r["n_tokens"] for r in katz.score_documents(docs, path=f"{tmp_path}/model").collect())
+    held = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(f"{tmp_path}/model") for f in files if f.endswith(".parquet"))
+    assert held < 8 * tokens
