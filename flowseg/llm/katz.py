@@ -62,7 +62,7 @@ ORDER = 3
 DEPTH = 5  #: counts up to this are discounted
 START, END = 0, 1  #: in place of a word's hash
 UNKNOWN = 1  #: number of words that the model doesn't have; START's is 0
-BLOCK_BYTES = 8 << 20  #: of text
+BLOCK_BYTES = 10 << 20  #: of text, about
 BUCKET_TOKENS = 2_000_000
 HOT_SHARE = 0.005  #: of all tokens; a word with more is hot in small tables too
 PORTIONS = 3
@@ -197,7 +197,9 @@ def _packed(rows: DataFrame, path: str) -> DataFrame:
                 continue
             own = batch.column("text" if by_text else "words")
             length = pc.fill_null(pc.binary_length(own) if by_text else pc.multiply(pc.list_value_length(own), 8), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(length.astype(np.int64)) // BLOCK_BYTES
+            upto = np.cumsum(length.astype(np.int64))
+            total = max(int(upto[-1]), 1)
+            part = upto * -(-total // BLOCK_BYTES) // (total + 1)  # blocks of equal size
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 hashes, tokens, sizes = (_split if by_text else _coded)(own.slice(a, b - a))
